@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, token_orc
+from tidemark.llm import mixing, packing, quality_rules, token_orc
 from tidemark.llm.common import table
 
 
@@ -16,5 +16,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_orc": op1_token_orc, "op3_best_fit_packing": op3_best_fit_packing}
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.judge(docs, quality_rules.fit(docs, labels)).drop("rule")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op3_best_fit_packing, op9_mix_sources, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
