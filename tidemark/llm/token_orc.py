@@ -27,6 +27,7 @@ ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 #: Ids in one batch that goes back to the JVM; a longer document goes alone.
 BATCH_IDS = 1 << 20
+BROADCAST_FILES = 200_000
 
 
 def id_list(parts: list[bytes]) -> pa.ListArray:
@@ -86,10 +87,12 @@ def write_token_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int
 
 
 def part_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """Ids before each part; reads no ids. One row per written file, which is all that reaches the driver."""
+    """Ids before each part; reads no ids. One row per written file reaches the driver, and goes out with the scan while
+    it has at most BROADCAST_FILES rows (16 bytes each); beyond, it is an ordinary join."""
     totals = spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     before = np.cumsum([0, *(r.n for r in totals)]).tolist()
-    return spark.createDataFrame([(r.part, b) for r, b in zip(totals, before, strict=False)], "part int, _base long")
+    offsets = spark.createDataFrame([(r.part, b) for r, b in zip(totals, before, strict=False)], "part int, _base long")
+    return F.broadcast(offsets) if len(totals) <= BROADCAST_FILES else offsets
 
 
 def read_token_archive(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None, where: Column | None = None) -> DataFrame:
