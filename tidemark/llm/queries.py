@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, quality_rules, token_orc
-from tidemark.llm.common import table
+from tidemark.llm import chat_format, minhash, mixing, packing, quality_rules, simhash, token_orc
+from tidemark.llm.common import table, write_table
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,21 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, said = table(spark, sf_dir, "conversations"), "</s>[INST] ok [/INST]"
+    hard = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    windows = write_table(chat_format.format_windows(turns.select("conv_id", "turn", "role", "text").unionByName(hard)), "chat")
+    return chat_format.digests(windows)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,5 +40,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, labels)).drop("rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op3_best_fit_packing, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op3_best_fit_packing, op4_minmax_dedup, op6_chat_windows, op7_simhash, op9_mix_sources, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
