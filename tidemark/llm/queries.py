@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, minhash, mixing, packing, quality_rules, simhash, token_orc
+import corpus_pipeline
+from tidemark.llm import chat_format, kneser_ney, minhash, mixing, packing, quality_rules, simhash, token_orc, url_filter, warc
 from tidemark.llm.common import table, write_table
 
 
@@ -12,6 +13,10 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_archive_roundtrip(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_roundtrip(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,11 @@ def op4_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(url_filter.label_by_words(pages))).drop("margin")
+
+
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, said = table(spark, sf_dir, "conversations"), "</s>[INST] ok [/INST]"
     hard = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -31,6 +41,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return kneser_ney.classify(docs, labels).drop("text_hash")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,5 +55,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, labels)).drop("rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op3_best_fit_packing, op4_minmax_dedup, op6_chat_windows, op7_simhash, op9_mix_sources, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+OPERATORS = (op1_token_orc, op2_warc_salvage, op3_best_fit_packing, op4_minmax_dedup, op5_url_trees, op6_chat_windows, op7_simhash, op8_kneser_ney, op9_mix_sources, op10_quality_rules)
+QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
