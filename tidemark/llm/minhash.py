@@ -7,6 +7,8 @@ pair shares no bucket with a probability of about 3e-6 and any link that is repo
 Documents with equal shingle sets are one class, whose least doc_id is its node. In a bucket no all-pairs join is made:
 nodes are compared with a few pivots, links merge components, and only nodes in different components of a bucket go on to
 the next round with eight times as many pivots, until every pair of a bucket is in one component or has been compared.
+Two odd sketches differ in at most as many bits as their sets in shingles, so a pair whose sketches differ in too many
+bits is no link for certain and leaves the join there; all others are confirmed on the full sets.
 
 Nulls and empties: a null or empty text, or one without words, has an empty set and is linked with nothing; a null doc_id
 is linked with nothing and stays; rows with equal doc_id are one document; an empty table gives an empty result. Further
@@ -26,7 +28,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import whole_text, write_table
 
 PERMUTATIONS, BANDS, ROWS = 80, 32, 5
+#: Longs of the odd sketch: bit i tells whether an odd number of shingles fall on i.
+SKETCH = 16
 SALTS = 16
+#: Members or pairs of one key that stay together in a join; a larger key is dealt into parts.
+PART_ROWS = 512
 PIVOTS, MORE_PIVOTS = 1, 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SEEDS = np.random.default_rng(41).integers(0, 1 << 32, (2, PERMUTATIONS, 1), dtype=np.uint32)
@@ -70,6 +76,11 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two sets by their signatures."""
     return float(np.mean(a == b))
@@ -78,15 +89,17 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, digests, keys = [], [], []
+            counts, digests, keys, sketches = [], [], [], []
             for text in b.column(1):
                 s = shingle_set(text.as_py(), words)
                 counts.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(band_keys(signature(s)) if len(s) else np.empty(0, np.int64))
+                sketches.append(odd_sketch(s))
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "set_id", "keys"])
+            odd = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * SKETCH, pa.int32()), pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists, odd], ["doc_id", "n_shingles", "set_id", "keys", "sketch"])
 
     return run
 
@@ -124,8 +137,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Hot a's are salted."""
-    held = _spread(sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("_x")))
-    asked = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b").withColumn("_salt", _salt("b"))
+    parts = pairs.groupBy("a").agg((1 + F.floor(F.count(F.lit(1)) / PART_ROWS)).alias("parts"))
+    held = sets.join(parts, F.col("node") == F.col("a")).select("a", F.col("shingles").alias("_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_salt"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("_salt"))
+    asked = dealt.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
     both = F.size(F.array_intersect("_x", "_y"))
     return held.join(asked, ["a", "_salt"]).filter(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
 
@@ -133,35 +148,41 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def signed(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, set_id (null for an empty set) and bucket keys of each row, as a written table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return write_table(rows.mapInArrow(_sign(words), "doc_id long, n_shingles long, set_id binary, keys array<long>"), "minhash")
+    return write_table(rows.mapInArrow(_sign(words), "doc_id long, n_shingles long, set_id binary, keys array<long>, sketch array<long>"), "minhash")
 
 
 def linked_nodes(docs: DataFrame, signs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(classes: set_id, node, n) and (components: node, comp) of the nodes that have a link to a different text."""
     full = signs.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
     classes = write_table(full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "classes")
-    heads = full.select("set_id", F.col("doc_id").alias("node"), "keys").join(classes.select("set_id", "node"), ["set_id", "node"])
-    keyed = heads.select("node", F.explode("keys").alias("key")).distinct()
+    heads = full.select("set_id", F.col("doc_id").alias("node"), "keys", "n_shingles", "sketch").join(classes.select("set_id", "node"), ["set_id", "node"])
+    heads = write_table(heads.dropDuplicates(["set_id", "node"]).select("node", F.col("n_shingles").alias("size"), "sketch", "keys"), "heads")
+    keyed = heads.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = write_table(keyed.withColumn("_salt", _salt("node")).join(_spread(shared), ["key", "_salt"]).select("node", "key"), "buckets")
+    members = write_table(keyed.withColumn("_salt", _salt("node")).join(_spread(shared), ["key", "_salt"]).select("key", "node"), "buckets")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(wanted, "doc_id", "left_semi")
     sets = write_table(rows.mapInArrow(_sets(words), "node long, shingles array<long>"), "shingle-sets")
     labels, pivots, turn = None, PIVOTS, 0
-    bucket = members.withColumn("comp", F.col("node"))
+    bucket = members.join(heads.select("node", "size", "sketch"), "node").withColumn("comp", F.col("node"))
+    few = (100 - percent) / (100 + percent)
     while True:
-        bucket = write_table(bucket.select("key", "node", "comp"), "open-buckets")
         sizes = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("least")).filter("lo <> hi").select("key", "n", "least")
         sized = bucket.withColumn("_salt", _salt("node")).join(_spread(sizes), ["key", "_salt"])
         if turn == 0:
             chosen = F.col("node") == F.col("least")
-        else:
-            chosen = F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("n")) < pivots
-        open_now = write_table(sized.select("key", "node", "comp", "_salt", chosen.alias("pivot")), "pivots")
+        else:  # the same nodes in all buckets of one size
+            chosen = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 30)) * F.col("n") < F.lit(pivots << 30)
+        # a bucket of many members is dealt into parts, and its pivots go to each
+        parts = 1 + F.floor(F.col("n") / PART_ROWS)
+        open_now = write_table(sized.select("key", "node", "comp", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("_salt"), "size", "sketch", chosen.alias("pivot")), "open-buckets")
         if open_now.isEmpty():
             return classes, labels if labels is not None else components(members.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")))
-        heads = _spread(open_now.filter("pivot").select("key", F.col("node").alias("a"), F.col("comp").alias("_c")))
-        pairs = heads.join(open_now, ["key", "_salt"]).filter("comp <> _c AND a <> node AND NOT (pivot AND a > node)").select("a", F.col("node").alias("b")).distinct()
+        to_all = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_salt")
+        asking = open_now.filter("pivot").select("key", F.col("node").alias("a"), F.col("comp").alias("_c"), F.col("size").alias("_n"), F.col("sketch").alias("_s"), to_all)
+        differ = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("_s", F.lit(i)))) for i in range(1, SKETCH)), F.bit_count(F.get("sketch", F.lit(0)).bitwiseXOR(F.get("_s", F.lit(0)))))
+        may_link = (F.col("comp") != F.col("_c")) & (F.col("a") != F.col("node")) & ~(F.col("pivot") & (F.col("a") > F.col("node"))) & (differ <= few * (F.col("size") + F.col("_n")) + 1e-6)
+        pairs = asking.join(open_now, ["key", "_salt"]).filter(may_link).select("a", F.col("node").alias("b")).distinct()
         edges = confirm(write_table(pairs, "pairs"), sets, percent)
         if labels is None:
             labels = components(edges)
@@ -171,8 +192,8 @@ def linked_nodes(docs: DataFrame, signs: DataFrame, words: int, percent: int) ->
             merged = components(lifted)
             every = labels.union(merged.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp")))
             labels = write_table(every.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "labels")
-        rest = open_now.filter("NOT pivot").select("key", "node", F.col("comp").alias("_old"))
-        bucket = rest.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "_old").alias("comp"))
+        rest = open_now.filter("NOT pivot").select("key", "node", "size", "sketch", F.col("comp").alias("_old"))
+        bucket = rest.join(labels, "node", "left").select("key", "node", "size", "sketch", F.coalesce("comp", "_old").alias("comp"))
         pivots, turn = pivots * MORE_PIVOTS, turn + 1
 
 
