@@ -128,11 +128,11 @@ def interactions(tracks: DataFrame, rules: Rules) -> DataFrame:
     return _event(spans, "interaction", "start", "end", subject=F.col("person"), kind=F.lit("person"), cls=F.lit("person"), other=F.col("gid"), confidence=F.col("confidence"), details=told)
 
 
-def untouched(log: DataFrame, rules: Rules) -> DataFrame:
+def untouched(stationary: DataFrame, touched: DataFrame, rules: Rules) -> DataFrame:
     """Pieces of things' stays that no interaction covers."""
-    still = log.filter("type = 'stationary' AND kind <> 'person'")
+    still = stationary.filter("kind <> 'person'")
     outer = still.select("video_id", F.col("subject").alias("gid"), "start", "end")
-    inner = log.filter("type = 'interaction'").select("video_id", F.col("other").alias("gid"), "start", "end").join(outer.select("video_id", "gid").distinct(), ["video_id", "gid"])
+    inner = touched.select("video_id", F.col("other").alias("gid"), "start", "end").join(outer.select("video_id", "gid").distinct(), ["video_id", "gid"])
     about = still.groupBy("video_id", F.col("subject").alias("gid")).agg(F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.max("confidence").alias("confidence"))
     free = intervals.subtract(outer, inner, ["video_id", "gid"], least=rules.stay_min).join(about, ["video_id", "gid"])
     return _event(free, "untouched", "start", "end", subject=F.col("gid"), confidence=F.col("confidence"), details=F.format_string("%s (%s) untouched for %.1fs", F.col("gid"), F.col("cls"), F.col("end") - F.col("start")))
@@ -237,10 +237,11 @@ def numbered(log: DataFrame) -> DataFrame:
 def build(tracks: DataFrame, meta: DataFrame, rules: Rules, series: DataFrame | None = None, energy: DataFrame | None = None, audio: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """The whole log. meta: video_id, width, height, duration, step."""
     rows = tracks.join(meta, "video_id")
-    log = visibility(rows, rules).unionByName(stays(rows, rules)).unionByName(interactions(rows, rules))
+    seen, still, touched = visibility(rows, rules), stays(rows, rules), interactions(rows, rules)
+    log = seen.unionByName(still).unionByName(touched)
     if any(z.kind == "area" for z in rules.zones):
         log = log.unionByName(zone_events(zone_visits(rows, rules)))
-    log = log.unionByName(untouched(log, rules)).unionByName(left_objects(rows, log))
+    log = log.unionByName(untouched(still, touched, rules)).unionByName(left_objects(rows, seen))
     for part, made in ((energy, lambda x: activity(x, rules)), (series, sudden_changes), (audio, sounds), (texts, captions)):
         if part is not None:
             log = log.unionByName(made(part))

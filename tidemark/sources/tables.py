@@ -16,11 +16,15 @@ AUDIO = "video_id string, t double, db double, tonality double"
 META = "video_id string, fps double, frames long, width double, height double, duration double, stride long, step double"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table by name; also tells Python workers where this package lies."""
+def ship(spark: SparkSession) -> None:
+    """Tells Python workers where this package lies."""
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
