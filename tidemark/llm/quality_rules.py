@@ -72,7 +72,11 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "marks_per_word": F.col("_q_n_marks") / words,
         "distinct_share": F.col("_q_distinct") / words,
     }
-    return out.withColumns({f"_q_{k}": v for k, v in shares.items()})
+    made = {**{c: F.col(f"_q_{c}") for c in BASE}, **shares}
+    # a generator of one row: what filters on the statistics stays above it, else the optimizer would copy them all below
+    row = F.explode(F.array(F.struct(*(v.alias(k) for k, v in made.items()))))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*kept, row.alias("_q")).select(*kept, *(F.col(f"_q.{k}").alias(f"_q_{k}") for k in made))
 
 
 @dataclass(frozen=True)
