@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from tidemark.session import local_session
 
-    session = local_session("4", 4, "6g")
+    session = local_session("4", 2, "6g")
     yield session
     session.stop()
