@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, kneser_ney, minhash, mixing, packing, quality_rules, simhash, token_orc, tokens, url_filter, warc
+from tidemark.llm import chat_format, kneser_ney, minhash, mixing, packing, quality_rules, simhash, token_orc, tokens, url_filter, warc, word_model
 from tidemark.llm.common import fresh_path, write_table
 
 WORDS = "the of and river stone lantern house window garden paper winter morning silver copper forest mountain".split()
@@ -345,6 +345,63 @@ def test_kneser_ney_model_sums_to_one_and_separates(spark, nothing):
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0 and kneser_ney.classify(docs, labels.limit(0)).filter("kept").count() == len(rows) - 2
 
 
+def test_word_evidence_separates_order_and_grows(spark):
+    rng = random.Random(8)
+    said = ["the river and the stone", "silver morning of winter", "paper lantern house", "copper forest mountain garden"]
+    good = lambda: " ".join(rng.choice(said) for _ in range(25))
+    shuffled = lambda t: " ".join(rng.sample(t.split(), len(t.split())))
+    rows = [(i, good()) for i in range(120)] + [(200 + i, shuffled(good())) for i in range(10)] + [(300 + i, f"{w} " * 90) for i, w in enumerate(WORDS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in kneser_ney.classify(docs, labels).collect()}
+    assert not any(got[i].kept for i in range(200, 210)) and not any(got[300 + i].kept for i in range(len(WORDS)))
+    assert sum(got[i].kept for i in range(100, 120)) >= 17
+    text = docs.filter("doc_id < 100").select(F.lit("k").alias("key"), F.lit(0).alias("fold"), "text")
+    small, _ = word_model.train(text, False)
+    large, _ = word_model.train(text.union(text.select("key", "fold", F.translate("text", "aeiou", "uoiea"))), False)
+    assert large.count() > 1.5 * small.count()
+
+
+def test_word_scores_equal_a_plain_kneser_ney(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, 40) for _ in range(30)]
+    asked = [prose(rng, 30), "", "river river river unheard", texts[0]]
+    grams = lambda t: (lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)])(["<s>", "<s>", *word_model.WORD.findall(t), "</s>"])
+    counts = {3: Counter(g for t in texts for g in grams(t))}
+    for k in (2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def off(k):
+        n = Counter(counts[k].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        d = [max(0.05, min(i - 0.05, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else 0.75 for i in (1, 2, 3)]
+        return lambda c: d[min(c, 3) - 1]
+
+    offs = {k: off(k) for k in counts}
+    below = {k: defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            below[k][g[:-1]].append(n)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        ns = below[k].get(g[:-1])
+        if ns is None:
+            return p(g[1:])
+        n = counts[k][g]
+        return ((n - offs[k](n) if n else 0) + sum(map(offs[k], ns)) * p(g[1:])) / sum(ns)
+
+    train = spark.createDataFrame([("k", 0, t) for t in texts], "key string, fold int, text string")
+    model, told = word_model.train(train, False)
+    mk = word_model.model_key("k", 1)
+    rows = spark.createDataFrame([(mk, i, t) for i, t in enumerate([*asked, asked[0]][:4])] + [(mk, 0, asked[0])], "mk long, tid long, text string")
+    got = {r.tid: r.perplexity for r in word_model.perplexity(rows, model, told).collect()}
+    for i, t in enumerate(asked):
+        assert got[i] == pytest.approx(np.exp(-np.mean([np.log(p(g)) for g in grams(t)])), rel=1e-6)
+
+
 # ---- 9
 
 

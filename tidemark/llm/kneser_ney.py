@@ -1,10 +1,11 @@
 """Operator 8: quality classifier, interpolated modified Kneser-Ney over trusted text.
 
-The model predicts character classes (CLASSES of them) from the three before. Counts of all trusted text are summed per
-language and n-gram; discounts, back-off weights and probabilities come from joins of the count tables, sharded by n-gram,
-on context and on suffix. The finished table has at most CLASSES ** ORDER rows a language whatever the corpus, so it is
-collected and goes to the scorers whole; each document gets the perplexity of its whole text in one scan. A document goes
-if its perplexity is above its language's threshold, a quantile over the trusted documents of that language times a margin.
+Documents are scored by word trigrams (word_model), whose counts grow with the trusted text: counting, discounts, back-off
+and scoring are joins sharded by n-gram. Each document gets the perplexity a word of its whole text under trusted text of
+the other fold. A document goes if its perplexity is above its language's threshold, a quantile over the trusted documents
+of that language times a margin.
+
+train, pack_model and Scorer are the former model of character classes (CLASSES of them, ORDER at a time); no query uses it.
 
 Nulls and empties: labels with null quality or doc_id don't count, a document is trusted if all its labels say 1; languages
 with fewer than LEAST_TRUSTED trusted documents, and null ones, share a model of all trusted text; a null or empty text has
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import word_model
 from tidemark.llm.common import whole_text, write_table
 
 ORDER, CLASSES = 4, 64
@@ -193,55 +195,41 @@ def pack_model(model: DataFrame) -> dict[str, dict[str, tuple[np.ndarray, np.nda
     return out
 
 
-_scorers: dict[tuple[int, str], Scorer] = {}
-
-
-def _scorer(held, key: str) -> Scorer:
-    """A dense table of 64 MB; a worker keeps three."""
-    at = (id(held), key)
-    if at not in _scorers:
-        while len(_scorers) >= 3:
-            _scorers.pop(next(iter(_scorers)))
-        _scorers[at] = Scorer(held.value[key])
-    return _scorers[at]
-
-
-def perplexities(docs: DataFrame, model: DataFrame | None, labels: DataFrame) -> DataFrame:
-    """doc_id, text_hash, lang, n_chars and perplexity of each row, as a written table."""
-    spark = docs.sparkSession
-    packed = pack_model(model) if model is not None else {}
-    if packed:
-        big = _models_with_enough(docs, labels)
-        packed = {k: v for k, v in packed.items() if k == "any" or k in big}
-    held = spark.sparkContext.broadcast(packed)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), F.col("lang").cast("string").alias("lang"), whole_text().alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            known = held.value
-            keys = [k if (k := f"l:{x}") in known else "any" for x in b.column("lang").to_pylist()]
-            n = np.array([len(t) for t in texts], np.int64)
-            bits = np.full(len(texts), np.nan)
-            for key, at in _chunks(keys, texts) if known else ():
-                if at := [i for i in at if texts[i]]:
-                    bits[at] = _scorer(held, key).score([texts[i] for i in at])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                value = np.exp2(bits / n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("lang"), pa.array(n), pa.array(value, mask=~(n > 0) | np.isnan(value))], ["doc_id", "text_hash", "lang", "n_chars", "perplexity"])
-
-    return write_table(rows.mapInArrow(run, "doc_id long, text_hash long, lang string, n_chars long, perplexity double"), "perplexity")
+def _fold_sizes(text: DataFrame) -> dict[str | None, dict[int, int]]:
+    """Trusted texts by language and fold."""
+    out: dict[str | None, dict[int, int]] = {}
+    for r in text.groupBy("lang", "fold").count().collect():
+        out.setdefault(r.lang, {})[r.fold] = r["count"]
+    return out
 
 
-def _models_with_enough(docs: DataFrame, labels: DataFrame) -> set[str]:
-    counts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("lang")).join(trusted_ids(labels), "_id").groupBy("lang").count()
-    return {f"l:{r.lang}" for r in counts.collect() if r.lang is not None and r["count"] >= LEAST_TRUSTED}
+def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text_hash, lang, n_chars and perplexity a word of each row, as a written table."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), F.col("lang").cast("string").alias("lang"), F.char_length(whole_text()).cast("long").alias("n_chars"), whole_text().alias("text"))
+    rows = rows.withColumn("fold", word_model.fold(F.col("text")))
+    # always the same join: one that is broadcast on small inputs alone would hide what large ones shuffle
+    trusted = rows.filter("n_chars > 0").join(trusted_ids(labels).withColumnRenamed("_id", "doc_id").hint("merge"), "doc_id").select("lang", "fold", "text")
+    sizes = _fold_sizes(trusted)
+    nothing = rows.drop("text", "fold").withColumn("perplexity", F.lit(None).cast("double"))
+    if not sizes:
+        return write_table(nothing, "perplexity")
+    big = {x for x, n in sizes.items() if x is not None and sum(n.values()) >= LEAST_TRUSTED and len(n) == word_model.FOLDS}
+    with_any = not rows.filter(~F.coalesce(F.col("lang").isin(list(big)), F.lit(False)) & (F.col("n_chars") > 0)).isEmpty()
+    key = lambda: F.when(F.col("lang").isin(list(big)), F.concat(F.lit("l:"), F.col("lang"))).otherwise("any")
+    model, told = word_model.train(trusted.select(key().alias("key"), "fold", "text"), with_any)
+    # where all trusted text is in one fold its model stands for both
+    of = {(k, i): m if (m := word_model.model_key(k, i)) in told else next(o for j in range(word_model.FOLDS) if (o := word_model.model_key(k, j)) in told) for k in [*(f"l:{x}" for x in big), *(["any"] if with_any else [])] for i in range(word_model.FOLDS)}
+    if not of:
+        return write_table(nothing, "perplexity")
+    keys = F.create_map(*(F.lit(x) for (k, i), m in of.items() for x in (f"{k}|{i}", m)))
+    rows = rows.withColumn("mk", keys[F.concat(key(), F.lit("|"), F.col("fold").cast("string"))]).withColumn("tid", F.col("text_hash").bitwiseXOR(F.col("mk")))
+    scored = word_model.perplexity(rows.filter("n_chars > 0").select("mk", "tid", "text"), model, told)
+    return write_table(rows.join(scored, ["mk", "tid"], "left").select("doc_id", "text_hash", "lang", "n_chars", "perplexity"), "perplexity")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, text_hash, lang, n_chars, perplexity, threshold and kept of each row."""
-    model = train(docs, labels)
-    scored = perplexities(docs, model, labels)
+    scored = perplexities(docs, labels)
     trusted = scored.join(trusted_ids(labels).withColumnRenamed("_id", "doc_id"), "doc_id")
     cut = lambda rows: F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * F.lit(margin)
     by = trusted.groupBy("lang").agg(cut(trusted).alias("_t"), F.count("perplexity").alias("_n")).filter(F.col("lang").isNotNull() & (F.col("_n") >= LEAST_TRUSTED)).select(F.col("lang").alias("_lang"), "_t")

@@ -1,0 +1,185 @@
+"""Word trigrams of operator 8: interpolated modified Kneser-Ney, sharded throughout.
+
+Words are runs of letters and digits, single other signs and single CJK characters, as they are written. The count tables
+grow with the trusted text and never leave the executors. Each text falls into one of FOLDS folds by its hash and is scored
+under the model of the other folds' trusted text, so a trusted text and its exact copies are never scored in sample.
+
+A log probability is a sum over the n-grams of a text: value(g) is what g adds over its back-off, plus the log of g's own
+back-off weight as a context. So a document needs one row a distinct n-gram and one join with the model by n-gram hash.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import whole_text, write_table
+
+FOLDS = 2
+CJK = "぀-ヿ㐀-鿿가-힯"
+WORD = re.compile(rf"[{CJK}]|[^\W{CJK}]+|[^\w\s]")
+#: Words whose hashes a worker keeps, and n-grams that it counts before it hands them on; both bound memory alone.
+HELD_WORDS, HELD_NGRAMS = 1 << 20, 1 << 21
+START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+NGRAMS = ["mk", "h3", "h2", "h1", "c2", "c1"]
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+class _Ids(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        self[word] = found = _hash(word)
+        return found
+
+
+_ids = _Ids()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the 1-, 2- and 3-grams of <s> <s> words </s>."""
+    words = WORD.findall(text)
+    w = np.concatenate([[START, START], np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words)), [END]]).astype(np.uint64)
+    one = _mix(w)
+    two = _mix(one[:-1] * np.uint64(0xD6E8FEB86659FD93) + w[1:])
+    return one, two, _mix(two[:-1] * np.uint64(0xA0761D6478BD642F) + w[2:])
+
+
+def model_key(key: str, fold: int) -> int:
+    """Salt of a model's hashes, as a signed long."""
+    return int(np.uint64(_hash(f"{key}|{fold}")).astype(np.int64))
+
+
+def fold(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
+def _counter(with_any: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for mk, parts in held.items():
+                salt, rows = np.int64(mk), [np.concatenate(c) for c in zip(*parts, strict=True)]
+                _, first, n = np.unique(rows[0], return_index=True, return_counts=True)
+                columns = [pa.array(c[first].view(np.int64) ^ salt) for c in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), mk)), *columns, pa.array(n.astype(np.int64))], [*NGRAMS, "n"])
+
+        for b in batches:
+            for key, at, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                one, two, three = hashes(text)
+                row = (three, two[1:], one[2:], two[:-1], one[1:-1])
+                for k in {key, "any"} if with_any else {key}:
+                    for other in range(FOLDS):
+                        if other != at:
+                            held.setdefault(model_key(k, other), []).append(row)
+                            size += len(three)
+                if size >= HELD_NGRAMS:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    return run
+
+
+def _rates(counts: DataFrame) -> DataFrame:
+    """Discounts d1..d3 of each model; a few rows."""
+    times = counts.groupBy("mk").agg(*(F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
+    y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+    d = lambda i: F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(0.75)
+    return times.select("mk", *(d(i).alias(f"d{i}") for i in (1, 2, 3)))
+
+
+def _shares(counts: DataFrame, context: str) -> tuple[DataFrame, DataFrame]:
+    """counts with share and weight, and (context, weight); context hashes are salted, so they tell the model too."""
+    off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rows = counts.join(F.broadcast(_rates(counts)), "mk").withColumn("off", off)
+    contexts = rows.groupBy(context).agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("weight"))
+    return rows.join(contexts, context).withColumn("share", (F.col("n") - F.col("off")) / F.col("total")), contexts.select(context, "weight")
+
+
+def train(trusted: DataFrame, with_any: bool) -> tuple[DataFrame, dict[int, tuple[float, float]]]:
+    """The model (h, value, known) as a written table, and of each model's key: bits of every text, log of an unknown word.
+
+    trusted has key, fold and text; known is 1 for words, 0 for the others.
+    """
+    counted = trusted.mapInArrow(_counter(with_any), ", ".join(f"{c} long" for c in [*NGRAMS, "n"]))
+    three = write_table(counted.groupBy("h3").agg(*(F.first(c).alias(c) for c in NGRAMS if c != "h3"), F.sum("n").alias("n")), "word-ngrams")
+    two = write_table(three.groupBy("h2").agg(*(F.first(c).alias(c) for c in ("mk", "h1", "c1")), F.count(F.lit(1)).alias("n")), "word-2")
+    one = two.groupBy("h1").agg(F.first("mk").alias("mk"), F.count(F.lit(1)).alias("n"))
+    one = write_table(one.join(F.broadcast(_rates(one)), "mk").withColumn("off", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))), "word-1")
+    whole = one.groupBy("mk").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n") / (F.count(F.lit(1)) + 1)).alias("unknown"))
+    p1 = one.join(F.broadcast(whole), "mk").select("h1", ((F.col("n") - F.col("off")) / F.col("total") + F.col("unknown")).alias("q"))
+    rows2, weights2 = _shares(two, "c1")
+    below = F.col("weight") * F.col("q")
+    gain = F.log((F.col("share") + below) / below)
+    p2 = write_table(rows2.join(p1, "h1").select("h2", (F.col("share") + below).alias("p"), gain.alias("value")), "word-p2")
+    rows3, weights3 = _shares(three, "c2")
+    p3 = rows3.join(p2.select("h2", F.col("p").alias("q")), "h2").select(F.col("h3").alias("h"), gain.alias("value"), F.lit(0).alias("known"))
+    parts = p3.union(p2.select("h2", "value", F.lit(0))).union(p1.select("h1", F.log("q"), F.lit(1)))
+    parts = parts.union(weights2.select("c1", F.log("weight"), F.lit(0))).union(weights3.select("c2", F.log("weight"), F.lit(0)))
+    model = write_table(parts.groupBy("h").agg(F.sum("value").alias("value"), F.max("known").alias("known")), "word-model")
+    unknown = {r.mk: math.log(r.unknown) for r in whole.collect()}
+    first, pads, _ = hashes("")
+    always = {mk: [int(x) ^ mk for x in (first[2:3].view(np.int64)[0], first[:1].view(np.int64)[0], pads[:1].view(np.int64)[0])] for mk in unknown}
+    found = {r.h: r.value for r in model.filter(F.col("h").isin([h for x in always.values() for h in x])).collect()} if always else {}
+    return model, {mk: (sum(found.get(h, 0.0) for h in always[mk]), log) for mk, log in unknown.items()}
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each (mk, tid, text): its distinct n-grams and their counts, and one row (tid, tid, -positions)."""
+    for b in batches:
+        tids, found, counts = [], [], []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tids, found, counts)], ["tid", "h", "n"])
+
+        for mk, tid, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            one, two, three = hashes(text)
+            for grams in (one[2:-1], two[1:], three):
+                h, n = np.unique(grams, return_counts=True)
+                tids.append(np.full(len(h), tid))
+                found.append(h.view(np.int64) ^ np.int64(mk))
+                counts.append(n.astype(np.int32))
+                held += len(h)
+            tids.append(np.array([tid]))
+            found.append(np.array([tid]))
+            counts.append(np.array([-len(three)], np.int32))
+            if held >= 1 << 18:
+                yield flush()
+                tids, found, counts, held = [], [], [], 0
+        if tids:
+            yield flush()
+
+
+def perplexity(texts: DataFrame, model: DataFrame, told: dict[int, tuple[float, float]]) -> DataFrame:
+    """mk, tid and perplexity a position of each distinct (mk, tid); texts has mk, tid and text, copies may repeat."""
+    rows = texts.mapInArrow(_features, "tid long, h long, n int")
+    n, word = F.col("n"), F.col("n") > 0
+    joined = rows.join(model.hint("merge"), "h", "left")
+    sums = joined.groupBy("tid").agg(
+        F.sum(F.when(word, n * F.col("value"))).alias("s"), F.sum(F.when(word, n * F.col("known"))).alias("k"), F.sum(F.when(~word, -n)).alias("positions"), F.count(F.when(~word, 1)).alias("copies")
+    )
+    sums = write_table(sums, "word-sums")
+    constant = F.create_map(*(F.lit(x) for mk, (c, _) in told.items() for x in (mk, c)))
+    unknown = F.create_map(*(F.lit(x) for mk, (_, u) in told.items() for x in (mk, u)))
+    s, k, positions = (F.coalesce(F.col(c), F.lit(0)) / F.col("copies") for c in ("s", "k", "positions"))
+    total = s + constant[F.col("mk")] + (positions - 1 - k) * unknown[F.col("mk")]
+    return texts.select("mk", "tid").distinct().join(sums, "tid").select("mk", "tid", F.exp(F.round(-total / positions, 9)).alias("perplexity"))
