@@ -402,6 +402,15 @@ def test_word_scores_equal_a_plain_kneser_ney(spark):
         assert got[i] == pytest.approx(np.exp(-np.mean([np.log(p(g)) for g in grams(t)])), rel=1e-6)
 
 
+def test_threshold_is_the_quantile_of_trusted_documents(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 30), "en") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = kneser_ney.classify(docs, spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).collect()
+    trusted = sorted(r.perplexity for r in got if r.doc_id < 40)
+    assert {r.threshold for r in got} == {trusted[-1]} and all(r.kept == (r.perplexity <= trusted[-1]) for r in got)
+
+
 # ---- 9
 
 

@@ -2,8 +2,8 @@
 
 Documents are scored by word trigrams (word_model), whose counts grow with the trusted text: counting, discounts, back-off
 and scoring are joins sharded by n-gram. Each document gets the perplexity a word of its whole text under trusted text of
-the other fold. A document goes if its perplexity is above its language's threshold, a quantile over the trusted documents
-of that language times a margin.
+the other fold. A document goes if its perplexity is above its language's threshold, the QUANTILE over the trusted documents
+of that language, which are all scored out of sample.
 
 train, pack_model and Scorer are the former model of character classes (CLASSES of them, ORDER at a time); no query uses it.
 
@@ -28,7 +28,7 @@ from tidemark.llm.common import whole_text, write_table
 
 ORDER, CLASSES = 4, 64
 LEAST_TRUSTED = 30
-QUANTILE, MARGIN = 0.99, 1.10
+QUANTILE = 0.99
 #: Characters that are encoded at a time; bounds memory, texts are never cut.
 CHUNK = 1 << 20
 PUNCTUATION = ".,;:'\"()-!?"
@@ -227,11 +227,11 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return write_table(rows.join(scored, ["mk", "tid"], "left").select("doc_id", "text_hash", "lang", "n_chars", "perplexity"), "perplexity")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, text_hash, lang, n_chars, perplexity, threshold and kept of each row."""
     scored = perplexities(docs, labels)
     trusted = scored.join(trusted_ids(labels).withColumnRenamed("_id", "doc_id"), "doc_id")
-    cut = lambda rows: F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * F.lit(margin)
+    cut = lambda rows: F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     by = trusted.groupBy("lang").agg(cut(trusted).alias("_t"), F.count("perplexity").alias("_n")).filter(F.col("lang").isNotNull() & (F.col("_n") >= LEAST_TRUSTED)).select(F.col("lang").alias("_lang"), "_t")
     overall = trusted.agg(cut(trusted).alias("t")).first().t
     out = scored.join(by, F.col("lang") == F.col("_lang"), "left")
