@@ -102,6 +102,30 @@ def test_salvage_of_damaged_archives():
     assert list(warc.salvage(warc.Source(File(b"")))) == [] and isinstance(next(warc.salvage(warc.Source(File(b"junk" * 9)))), warc.Gap)
 
 
+def test_salvage_of_members_with_many_records_and_mixed_files():
+    records = [warc.make_record(f"urn:page:{i}", f"http://x/{i}", random.Random(i).randbytes(3000)) for i in range(12)]
+    ids = lambda found: [int(f.header["warc-record-id"].strip("<>").rpartition(":")[2]) for f in found if isinstance(f, warc.Record)]
+    read = lambda data: list(warc.salvage(warc.Source(File(data))))
+
+    def covers(found, data):
+        return sum(f.length for f in found) == len(data) and all(a.offset + a.length == b.offset for a, b in zip(found, found[1:], strict=False))
+
+    whole = warc.member(b"".join(records))
+    assert ids(read(whole)) == list(range(12)) and covers(read(whole), whole)
+    spoilt = warc.member(b"".join(records[:4]) + records[4][:-9] + b"junk" + b"".join(records[5:]))
+    assert ids(read(spoilt)) == [i for i in range(12) if i != 4] and covers(read(spoilt), spoilt)
+    torn = bytearray(whole)
+    del torn[len(torn) * 2 // 3 :]
+    assert ids(read(bytes(torn)))[:6] == list(range(6)) and covers(read(bytes(torn)), torn)
+    mixed = [warc.member(b"".join(records[:3])), b"".join(records[3:5]), warc.member(records[5]), b"noise" * 9, records[6], bytearray(warc.member(records[7])), records[8], warc.member(b"".join(records[9:]))]
+    mixed[5][200] ^= 0x55
+    data = b"".join(mixed)
+    assert ids(read(data)) == [i for i in range(12) if i != 7] and covers(read(data), data)
+    bare = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", records[1])
+    assert ids(read(warc.member(records[0] + bare + records[2]))) == [0, 1, 2]
+    assert ids(read(warc.member(records[0] + bare + records[2] + records[3])[:-2])) == [0, 2]
+
+
 def test_archive_round_trip(spark):
     rows = [(0, "http://a/é\n", "same"), (1, None, "same"), (2, "http://b", None), (3, "http://c", ""), (4, "u", "x" * 300_000), (None, "http://d", "same"), (5, "v", "only"), (1, None, "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))

@@ -4,10 +4,13 @@ Writing: every page is a gzip member of its own; of pages with equal payloads of
 least page_id is a response, the others are revisits that refer to it. A task's archives roll over at ROLL_BYTES; the
 manifest, written with Spark's commit, names just those of tasks that were committed.
 
-Reading: a record counts if its member inflates with the right checksum, its version line and header are well formed, its
-length holds and its block digest agrees. After a failed check the reader searches for the next member that inflates to a
-version line (or, in plain archives, for the next version line), goes on from there and logs the gap of bytes between as
-quarantined. A reader holds one record at a time.
+Reading: gzip members, of one record or many, and plain records may follow each other in a file. A record counts if its
+version line and header are well formed, its length holds, its block digest agrees, and its member's stream goes on past it
+or ends with the right checksum; without a block digest the whole member must inflate with the right checksum. After a
+failed check the reader searches for the next version line in the inflated stream, and where that can't be read for the
+next member that inflates to a version line or the next plain version line; it logs the gap of bytes between as quarantined.
+Of a member's records and gaps the last has the member's length and the others 0; inner is where each begins in the inflated
+stream. A reader holds two records at a time.
 
 Nulls and empties: a null html is an empty payload; a null url has no target header; a null page_id comes after all others
 and reads back as null; rows with equal page_id and payload are alike (both response or both revisit); an empty table gives
@@ -34,12 +37,15 @@ from tidemark.llm.common import fresh_path, write_table
 
 ROLL_BYTES = 64 << 20
 READ_BYTES = 1 << 18
+#: Compressed bytes inflated at a time; what comes out of a piece is lost with it.
+PIECE = 1 << 12
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+MARKS = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 SALTS = 16
 MANIFEST = "path string, n_records long, n_bytes long"
-RECORDS = "path string, offset long, length long, reason string, record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
+RECORDS = "path string, offset long, length long, inner long, reason string, record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
 
 
 def sha1_base32(data: bytes) -> str:
@@ -69,12 +75,17 @@ class Broken(Exception):
     pass
 
 
+class Damaged(Broken):
+    """A record within a stream that can still be read."""
+
+
 @dataclass
 class Record:
     offset: int
     length: int
     header: dict[str, str]
     block: bytes
+    inner: int = 0
 
     @property
     def http(self) -> tuple[bytes, bytes]:
@@ -87,6 +98,7 @@ class Gap:
     offset: int
     length: int
     reason: str
+    inner: int = 0
 
 
 class Source:
@@ -126,30 +138,107 @@ def _checked(fields: dict[str, str], block: bytes, tail: bytes) -> None:
         raise Broken("wrong block digest")
 
 
-def _inflate(source: Source, at: int, least: int | None = None) -> tuple[bytes, int]:
-    """A member's bytes and its end; with `least`, just its first bytes."""
-    z, out, pos, held = zlib.decompressobj(31), [], at, 0
-    while not z.eof:
-        chunk = source.at(pos)
-        if not chunk:
-            raise Broken("cut short")
-        pos += len(chunk)
-        try:
-            out.append(z.decompress(chunk, least or 0))
-        except zlib.error as e:
-            raise Broken(f"gzip: {str(e)[:60]}") from None
-        held += len(out[-1])
-        if least and held >= least:
-            break
-    return b"".join(out), pos - len(z.unused_data)
+def _inflate(source: Source, at: int, least: int) -> bytes:
+    """A member's first bytes."""
+    m = _Member(source, at)
+    m.fill(least)
+    return bytes(m.buffer)
 
 
-def _zipped(source: Source, at: int) -> Record:
-    raw, end = _inflate(source, at)
-    fields, begin, n = _parse(raw)
-    block = raw[begin : begin + n]
-    _checked(fields, block, raw[begin + n :])
-    return Record(at, end - at, fields, block)
+class _Member:
+    """The inflated stream of a gzip member from `base` on, as far as asked for."""
+
+    def __init__(self, source: Source, at: int):
+        self._source, self._pos, self._raw, self._z = source, at, b"", zlib.decompressobj(31)
+        self.buffer, self.base, self.end = bytearray(), 0, at
+
+    def fill(self, n: int) -> bool:
+        """Whether n bytes are left; raises if the member breaks off before."""
+        while len(self.buffer) < n and not self._z.eof:
+            if not self._raw:
+                self._raw = self._source.at(self._pos)
+                if not self._raw:
+                    raise Broken("cut short")
+                self._pos += len(self._raw)
+            piece, self._raw = self._raw[:PIECE], self._raw[PIECE:]
+            try:
+                self.buffer += self._z.decompress(piece)
+            except zlib.error as e:
+                raise Broken(f"gzip: {str(e)[:60]}") from None
+            if self._z.eof:
+                self.end = self._pos - len(self._raw) - len(self._z.unused_data)
+        return len(self.buffer) >= n
+
+    def drop(self, n: int) -> None:
+        del self.buffer[:n]
+        self.base += n
+
+    def seek_version(self) -> None:
+        """Goes on to the next version line after the first byte, or to the end."""
+        self.drop(1)
+        while self.fill(10):
+            found = self.buffer.find(b"WARC/1.")
+            if found < 0:
+                self.drop(len(self.buffer) - 9)
+            else:
+                self.drop(found)
+                if self.fill(10) and VERSION.match(self.buffer):
+                    return
+                self.drop(1)
+        self.drop(len(self.buffer))
+
+
+def _intact(source: Source, at: int) -> bool:
+    m = _Member(source, at)
+    try:
+        while m.fill(1):
+            m.drop(len(m.buffer))
+    except Broken:
+        return False
+    return True
+
+
+def _inner(source: Source, m: _Member, at: int) -> Record:
+    """The record that begins where the stream stands; goes past it if it is whole."""
+    while b"\r\n\r\n" not in m.buffer and len(m.buffer) < 1 << 20 and m.fill(len(m.buffer) + 1):
+        pass
+    try:
+        fields, begin, n = _parse(bytes(m.buffer[: 1 << 20]))
+    except Broken as e:
+        raise Damaged(str(e)) from None
+    m.fill(begin + n + 4)
+    block = bytes(m.buffer[begin : begin + n])
+    try:
+        _checked(fields, block, bytes(m.buffer[begin + n : begin + n + 4]))
+    except Broken as e:
+        raise Damaged(str(e)) from None
+    if not fields.get("warc-block-digest", "").lower().startswith("sha1:") and not _intact(source, at):
+        raise Damaged("no block digest in a broken member")
+    record = Record(at, 0, fields, block, m.base)
+    m.drop(begin + n + 4)
+    return record
+
+
+def _zipped(source: Source, at: int) -> Iterator[Record | Gap]:
+    """Records and gaps of the member at `at`, and returns where to go on."""
+    m, last = _Member(source, at), None
+    try:
+        while m.fill(1):
+            if last is not None:
+                yield last
+            try:
+                last = _inner(source, m, at)
+            except Damaged as e:
+                last = Gap(at, 0, str(e), m.base)
+                m.seek_version()
+    except Broken as e:
+        after = _next(source, at + 1)
+        yield Gap(at, after - at, str(e), last.inner if last else 0)
+        return after
+    last = last or Gap(at, 0, "empty member")
+    last.length = m.end - at
+    yield last
+    return m.end
 
 
 def _plain(source: Source, at: int) -> Record:
@@ -164,19 +253,16 @@ def _plain(source: Source, at: int) -> Record:
     return Record(at, begin + n + 4, fields, whole[:n])
 
 
-def _next(source: Source, at: int, zipped: bool) -> int:
-    """Where the next member with a version line, or the next version line, begins; else the end of the file."""
-    mark = b"\x1f\x8b\x08" if zipped else b"WARC/1."
+def _next(source: Source, at: int) -> int:
+    """Where the next member with a version line, or the next plain version line, begins; else the end of the file."""
     while at < source.size:
-        chunk = source.at(at, READ_BYTES + 16)
-        found = chunk.find(mark)
-        while found >= 0:
+        for mark in MARKS.finditer(source.at(at, READ_BYTES + 16)):
+            found = at + mark.start()
             try:
-                if VERSION.match(_inflate(source, at + found, 16)[0] if zipped else source.at(at + found, 10)):
-                    return at + found
+                if VERSION.match(_inflate(source, found, 16) if mark[0][:1] == b"\x1f" else source.at(found, 10)):
+                    return found
             except Broken:
                 pass
-            found = chunk.find(mark, found + 1)
         at += READ_BYTES
     return source.size
 
@@ -184,12 +270,14 @@ def _next(source: Source, at: int, zipped: bool) -> int:
 def salvage(source: Source) -> Iterator[Record | Gap]:
     """All records that pass the checks and all gaps between them, in order; together they cover the file."""
     at = 0
-    zipped = source.at(0, 2) == b"\x1f\x8b" or not VERSION.match(source.at(0, 10)) and _next(source, 0, True) < source.size
     while at < source.size:
+        if source.at(at, 2) == b"\x1f\x8b":
+            at = yield from _zipped(source, at)
+            continue
         try:
-            record = (_zipped if zipped else _plain)(source, at)
+            record = _plain(source, at)
         except Broken as e:
-            after = _next(source, at + 1, zipped)
+            after = _next(source, at + 1)
             yield Gap(at, after - at, str(e))
             at = after
         else:
@@ -267,7 +355,7 @@ def read_archives(spark: SparkSession, paths: DataFrame, with_payload: bool = Tr
 
 def _row(path: str, found: Record | Gap, with_payload: bool) -> tuple:
     if isinstance(found, Gap):
-        return (path, found.offset, found.length, found.reason, *[None] * 7)
+        return (path, found.offset, found.length, found.inner, found.reason, *[None] * 7)
     h = found.header
     head, payload = found.http
     kind, refers = h.get("warc-type"), h.get("warc-refers-to")
@@ -276,11 +364,11 @@ def _row(path: str, found: Record | Gap, with_payload: bool) -> tuple:
         n, digest, payload = int(told[1]) if told else None, h.get("warc-payload-digest", "").rpartition(":")[2] or None, None
     else:
         n, digest = len(payload), sha1_base32(payload)
-    return (path, found.offset, found.length, None, h.get("warc-record-id", "").strip("<>"), kind, refers.strip("<>") if refers else None, h.get("warc-target-uri"), n, digest, payload if with_payload else None)
+    return (path, found.offset, found.length, found.inner, None, h.get("warc-record-id", "").strip("<>"), kind, refers.strip("<>") if refers else None, h.get("warc-target-uri"), n, digest, payload if with_payload else None)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
     names = [x.split()[0] for x in RECORDS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
