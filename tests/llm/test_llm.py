@@ -349,6 +349,22 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == {(i, f, far(f, f"{prints[i]:032x}")) for i in range(0, len(prints), 50) for f in distinct if far(f, f"{prints[i]:032x}") <= 3}
 
 
+def test_every_suffix_keeps_its_statistics(spark):
+    made = [(f"http://h{j}.s{i:03}/", int((i + j) % 7 == 0)) for i in range(260) for j in range(2 + i % 3)]
+    labelled = spark.createDataFrame(made, "url string, bad int")
+    model = url_filter.fit(labelled)
+    n, b = (Counter(), Counter())
+    for url, bad in made:
+        n[url[-5:-1]] += 1
+        b[url[-5:-1]] += bad
+    prior = (sum(b.values()) + 1) / (len(made) + 2)
+    rows = url_filter.with_features(url_filter.with_parts(labelled), "url", model.suffix_bad, model.prior).collect()
+    assert len(rows) == len(made)
+    for r in rows:
+        assert r._u_suffix_bad == pytest.approx((b[r.host[-4:]] + 10 * prior) / (n[r.host[-4:]] + 10))
+    assert url_filter.judge(labelled.withColumn("page_id", F.lit(1)), model).count() == len(made)
+
+
 # ---- 8
 
 

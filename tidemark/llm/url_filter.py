@@ -2,7 +2,8 @@
 
 Trees are boosted with logistic loss over histogram bins of a bounded sample of labelled URLs and become one arithmetic
 expression of CASE WHENs over features that Spark computes itself: lengths, depth, digit ratio, entropy of the host's
-characters, parameter counts, and how often the host's suffix was bad among the labelled URLs.
+characters, parameter counts, and how often the host's suffix was bad among the labelled URLs,
+which is counted over all of them and joined from a table with one row a suffix.
 
 Nulls and empties: a null URL or one without `://` has an empty host and path, fits no rule and gets the model's verdict;
 page_ids may be null or repeated, rows are judged one by one; without labels of both kinds the model allows everything; an
@@ -17,10 +18,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import write_table
+
 #: Labelled rows that trees are fitted on, at most; those with the least hash of the URL are taken.
 SAMPLE_ROWS = 20_000
-#: Suffixes with statistics of their own, at most, by falling number of labelled URLs.
-SUFFIXES = 200
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_share", "host_digit_share", "hyphens", "host_entropy", "n_parameters", "longest_label", "vowel_share", "suffix_bad")
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-."
@@ -52,8 +53,8 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def with_features(df: DataFrame, url: str = "url", suffix_bad: dict[str, float] | None = None, prior: float = 0.5) -> DataFrame:
-    """Adds the features under names with the prefix _u_; needs host and path."""
+def with_features(df: DataFrame, url: str = "url", suffix_bad: DataFrame | None = None, prior: float = 0.5) -> DataFrame:
+    """Adds the features under names with the prefix _u_; needs host and path. suffix_bad is (_suffix, _share)."""
     u, host = F.coalesce(F.col(url), F.lit("")), F.col("host")
     n, h = F.char_length(u), F.char_length("host")
     count = lambda c, chars: F.char_length(c) - F.char_length(F.translate(c, chars, ""))
@@ -62,8 +63,9 @@ def with_features(df: DataFrame, url: str = "url", suffix_bad: dict[str, float]
     entropy = sum((F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in shares[1:]), F.when(shares[0] > 0, -shares[0] * F.log2(shares[0])).otherwise(0.0))
     query = F.when(F.instr(u, "?") > 0, F.regexp_extract(u, r"\?([^#]*)", 1)).otherwise("")
     known = F.lit(prior)
-    for name, share in (suffix_bad or {}).items():
-        known = F.when(suffix(host) == name, F.lit(share)).otherwise(known)
+    if suffix_bad is not None:
+        df = df.join(suffix_bad, suffix(host) == F.col("_suffix"), "left")
+        known = F.coalesce("_share", known)
     made = {
         "url_chars": n,
         "host_chars": h,
@@ -79,7 +81,7 @@ def with_features(df: DataFrame, url: str = "url", suffix_bad: dict[str, float]
         "vowel_share": per(count(host, "aeiou"), h),
         "suffix_bad": known,
     }
-    return df.withColumns({f"_u_{k}": v.cast("double") for k, v in made.items()})
+    return df.withColumns({f"_u_{k}": v.cast("double") for k, v in made.items()}).drop("_suffix", "_share")
 
 
 @dataclass
@@ -107,7 +109,7 @@ class Tree:
 class Model:
     start: float = -20.0
     trees: list[Tree] = field(default_factory=list)
-    suffix_bad: dict[str, float] = field(default_factory=dict)
+    suffix_bad: DataFrame | None = None
     prior: float = 0.5
 
     def margin(self) -> Column:
@@ -158,12 +160,12 @@ def boost(x: dict[str, np.ndarray], bad: np.ndarray, rounds: int = 30, depth: in
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from labelled URLs (url, bad): at most sample_rows features and SUFFIXES counts reach the driver."""
+    """A model from labelled URLs (url, bad): at most sample_rows features reach the driver; suffix counts stay a table."""
     rows = with_parts(labelled.filter("bad IS NOT NULL").select("url", F.col("bad").cast("int").alias("bad")))
-    counts = rows.groupBy(suffix(F.col("host")).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b")).orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
-    total, bads = sum(r.n for r in counts), sum(r.b for r in counts)
-    prior = (bads + 1) / (total + 2)
-    table = {r.s: (r.b + 10 * prior) / (r.n + 10) for r in counts}
+    counts = write_table(rows.groupBy(suffix(F.col("host")).alias("_suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b")), "suffixes")
+    whole = counts.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    prior = ((whole.b or 0) + 1) / ((whole.n or 0) + 2)
+    table = counts.select("_suffix", ((F.col("b") + 10 * prior) / (F.col("n") + 10)).alias("_share"))
     chosen = rows.orderBy(F.xxhash64("url"), "url", "bad").limit(sample_rows)
     got = with_features(chosen, "url", table, prior).select("bad", *(f"_u_{f}" for f in FEATURES)).collect()
     model = boost({f: np.array([r[f"_u_{f}"] for r in got], float) for f in FEATURES}, np.array([r.bad for r in got], float).astype(bool))
