@@ -118,3 +118,23 @@ def test_times_and_durations(spark):
     assert [r[0] for r in df.select(x.format_time(F.col("s"))).collect()] == ["0:00.0", "1:05.3", "1:02:05.0", "0:00.0", "—"]
     asked = spark.createDataFrame([("2.5 minutes",), ("10 s or 3 m",), ("none",)], "q string")
     assert [r[0] for r in asked.select(x.duration_seconds(F.col("q"))).collect()] == [150.0, 10.0, None]
+
+
+def test_vector_queries_score_all_pairs_and_both_sides(spark):
+    from tidemark.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    of = {}
+    for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect():
+        of.setdefault(r.label, []).append((r.vec_id, [float(z) for z in r.embedding]))
+    shared, near = {}, {}
+    dot = lambda u, w: sum(p * q for p, q in zip(u, w, strict=True))
+    for vectors in of.values():
+        for a, u in vectors:
+            others = [(b, w) for b, w in vectors if b != a]
+            shared |= {(a, b): sum(min(abs(p), abs(q)) for p, q in zip(u, w, strict=True)) / 2 for b, w in others if a < b}
+            near[a] = sorted((-round(dot(u, w) / (dot(u, u) * dot(w, w)) ** 0.5, 9), b) for b, w in others)[:2]
+    got = {(r.a, r.b): r.shared for r in catalog.QUERIES["hist_intersection_pairs"](spark, sf).collect()}
+    assert got.keys() == shared.keys() and all(got[k] == pytest.approx(shared[k], abs=2e-6) for k in got)
+    ranked = catalog.QUERIES["topk_similar_both_sides"](spark, sf).collect()
+    assert sorted((r.a, r.b) for r in ranked) == sorted((a, b) for a, bs in near.items() for _, b in bs)

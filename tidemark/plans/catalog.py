@@ -366,6 +366,21 @@ def hist_intersection(spark, sf_dir):
     return pairs.select("a", "b", F.round(v.histogram_overlap(size("ea"), size("eb")), 6).alias("shared"))
 
 
+@query()
+def topk_similar_both_sides(spark, sf_dir):
+    """The two nearest of every vector among all others of its label."""
+    scored = _pairs(spark, sf_dir).withColumn("c", v.cosine(F.col("ea"), F.col("eb"))).withColumn("c9", F.round("c", 9)).select("a", "b", "c", "c9")
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return runs.top(scored.select(both.alias("p"), "c", "c9").select("p.a", "p.b", "c", "c9"), ["a"], [F.desc("c9"), "b"], 2).select("a", "b", F.round("c", 6).alias("similarity"))
+
+
+@query()
+def hist_intersection_pairs(spark, sf_dir):
+    """Shared histogram mass of every pair of one label."""
+    size = lambda c: F.transform(c, lambda z: F.abs(z.cast("double")))
+    return _pairs(spark, sf_dir).select("a", "b", F.round(v.histogram_overlap(size("ea"), size("eb")), 6).alias("shared"))
+
+
 # ---- geometry and text
 
 
