@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, kneser_ney, minhash, mixing, packing, quality_rules, simhash, token_orc, tokens, url_filter, warc, word_model
+from tidemark.llm import chat_format, kneser_ney, minhash, mixing, ngram_model, packing, quality_rules, simhash, token_orc, tokens, url_filter, warc
 from tidemark.llm.common import fresh_path, write_table
 
 WORDS = "the of and river stone lantern house window garden paper winter morning silver copper forest mountain".split()
@@ -368,15 +368,11 @@ def test_every_suffix_keeps_its_statistics(spark):
 # ---- 8
 
 
-def test_kneser_ney_model_sums_to_one_and_separates(spark, nothing):
+def test_classifier_separates_and_keeps_its_edge_cases(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 80), "en") for i in range(120)] + [(200 + i, " ".join(w.upper() + "!!%%" for w in prose(rng, 40).split()), "en") for i in range(20)] + [(300, None, "en"), (301, "", None), (302, prose(rng, 50), "xx"), (None, prose(rng, 50), "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.lit(1)).withColumn("key", F.lit("mine"))
     labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(200, 0), (None, 1), (5, None)], "doc_id long, quality int")
-    model = kneser_ney.train(docs, labels)
-    scorer = kneser_ney.Scorer(kneser_ney.pack_model(model)["l:en"])
-    p = np.exp2(-scorer.bits.astype(float)).reshape(-1, 64)[:, 1:].sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-3)
     got = {r.doc_id: r for r in kneser_ney.classify(docs, labels).collect()}
     assert all(got[i].kept for i in range(100, 120)) and not any(got[200 + i].kept for i in range(20))
     assert got[300].perplexity is None and not got[300].kept and got[302].kept and len(got) == len(rows)
@@ -385,7 +381,30 @@ def test_kneser_ney_model_sums_to_one_and_separates(spark, nothing):
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0 and kneser_ney.classify(docs, labels.limit(0)).filter("kept").count() == len(rows) - 2
 
 
-def test_word_evidence_separates_order_and_grows(spark):
+def test_scripts_repeats_and_long_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    cjk = lambda n: "".join(chr(rng.randint(0x4E00, 0x4E40)) for _ in range(n))
+    rows = [(i, cjk(90), "zh") for i in range(60)] + [(100, cjk(20_000), "zh"), (101, "".join(chr(rng.randint(0x9000, 0x9900)) for _ in range(90)), "zh")] + [(i, prose(rng, 50), "en") for i in range(200, 280)]
+    rows += [rows[3]] * 5 + [(rows[3][0], cjk(50), "zh"), (400, rows[3][1], "zh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in [*range(55), *range(200, 270)]], "doc_id long, quality int")
+    got = kneser_ney.classify(docs, labels).collect()
+    assert len(got) == len(rows) and len({r.perplexity for r in got if r.text_hash == next(x.text_hash for x in got if x.doc_id == 400)}) == 1
+    by = {r.doc_id: r for r in got}
+    assert by[100].kept and not by[101].kept
+    for name, value in (("PIECE_CHARS", 700), ("PACK_CHARS", 900), ("DENSE", 1), ("HELD_NGRAMS", 50)):  # in the driver's process alone
+        monkeypatch.setattr(ngram_model, name, value)
+    text = rows[60][1]
+    at, orders = ngram_model.ngrams([ngram_model.PAD * 4 + text + ngram_model.END])
+    whole = Counter(orders[4][1][i] for i in orders[4][0][at - 4])
+    parts = Counter()
+    for some in ngram_model._pieces([text]):
+        at, orders = ngram_model.ngrams([p for _, p in some])
+        parts.update(orders[4][1][i] for i in orders[4][0][at - 4])
+    assert whole == parts and sum(whole.values()) == len(text) + 1
+
+
+def test_evidence_of_words_and_growth(spark):
     rng = random.Random(8)
     said = ["the river and the stone", "silver morning of winter", "paper lantern house", "copper forest mountain garden"]
     good = lambda: " ".join(rng.choice(said) for _ in range(25))
@@ -396,19 +415,20 @@ def test_word_evidence_separates_order_and_grows(spark):
     got = {r.doc_id: r for r in kneser_ney.classify(docs, labels).collect()}
     assert not any(got[i].kept for i in range(200, 210)) and not any(got[300 + i].kept for i in range(len(WORDS)))
     assert sum(got[i].kept for i in range(100, 120)) >= 17
-    text = docs.filter("doc_id < 100").select(F.lit("k").alias("key"), F.lit(0).alias("fold"), "text")
-    small, _ = word_model.train(text, False)
-    large, _ = word_model.train(text.union(text.select("key", "fold", F.translate("text", "aeiou", "uoiea"))), False)
+    text = docs.filter("doc_id < 100").select(F.lit(0).alias("mk"), "text")
+    small, _ = ngram_model.train(text)
+    large, _ = ngram_model.train(text.union(text.select("mk", F.translate("text", "aeiou", "uoiea"))))
     assert large.count() > 1.5 * small.count()
 
 
-def test_word_scores_equal_a_plain_kneser_ney(spark):
+def test_scores_equal_a_plain_kneser_ney(spark):
     rng = random.Random(5)
     texts = [prose(rng, 40) for _ in range(30)]
-    asked = [prose(rng, 30), "", "river river river unheard", texts[0]]
-    grams = lambda t: (lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)])(["<s>", "<s>", *word_model.WORD.findall(t), "</s>"])
-    counts = {3: Counter(g for t in texts for g in grams(t))}
-    for k in (2, 1):
+    asked = [prose(rng, 30), "x", "river river river unheard \U0001f600", texts[0]]
+    order, pad = ngram_model.ORDER, ngram_model.PAD
+    grams = lambda t: (lambda w: [w[i : i + order] for i in range(len(w) - order + 1)])(pad * (order - 1) + t + ngram_model.END)
+    counts = {order: Counter(g for t in texts for g in grams(t))}
+    for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
 
     def off(k):
@@ -433,13 +453,15 @@ def test_word_scores_equal_a_plain_kneser_ney(spark):
         n = counts[k][g]
         return ((n - offs[k](n) if n else 0) + sum(map(offs[k], ns)) * p(g[1:])) / sum(ns)
 
-    train = spark.createDataFrame([("k", 0, t) for t in texts], "key string, fold int, text string")
-    model, told = word_model.train(train, False)
-    mk = word_model.model_key("k", 1)
-    rows = spark.createDataFrame([(mk, i, t) for i, t in enumerate([*asked, asked[0]][:4])] + [(mk, 0, asked[0])], "mk long, tid long, text string")
-    got = {r.tid: r.perplexity for r in word_model.perplexity(rows, model, told).collect()}
-    for i, t in enumerate(asked):
+    letters = [*counts[1], "never"]
+    for context in (texts[0][:4], pad * 4, "zzzz"):
+        assert sum(p(context + x) if x != "never" else p(context + "\0") for x in letters) == pytest.approx(1)
+    model, told = ngram_model.train(spark.createDataFrame([(3, t) for t in texts], "mk int, text string"))
+    rows = spark.createDataFrame([(i, 1, 1, t) for i, t in enumerate([*asked, asked[0]])] + [(9, 1, 1, ""), (10, 5, 0, "x")], "tid long, key int, fold int, text string").repartition(2)
+    got = {r.tid: r.perplexity for r in ngram_model.perplexity(rows, model, told, 2).collect()}
+    for i, t in enumerate([*asked, asked[0]]):
         assert got[i] == pytest.approx(np.exp(-np.mean([np.log(p(g)) for g in grams(t)])), rel=1e-6)
+    assert got[9] is None and got[10] is None and got[0] == got[4]
 
 
 def test_threshold_is_the_quantile_of_trusted_documents(spark):

@@ -1,230 +1,65 @@
 """Operator 8: quality classifier, interpolated modified Kneser-Ney over trusted text.
 
-Documents are scored by word trigrams (word_model), whose counts grow with the trusted text: counting, discounts, back-off
-and scoring are joins sharded by n-gram. Each document gets the perplexity a word of its whole text under trusted text of
-the other fold. A document goes if its perplexity is above its language's threshold, the QUANTILE over the trusted documents
-of that language, which are all scored out of sample.
-
-train, pack_model and Scorer are the former model of character classes (CLASSES of them, ORDER at a time); no query uses it.
+Documents are scored by character n-grams over whole code points (ngram_model), whose counts grow with the trusted text:
+counting, discounts, back-off and scoring are joins sharded by n-gram. Each document gets the perplexity a character of its
+whole text under trusted text of the other fold. A document goes if its perplexity is above its language's threshold, the
+QUANTILE over the trusted documents of that language, which are all scored out of sample.
 
 Nulls and empties: labels with null quality or doc_id don't count, a document is trusted if all its labels say 1; languages
 with fewer than LEAST_TRUSTED trusted documents, and null ones, share a model of all trusted text; a null or empty text has
-a null perplexity and goes; without trusted documents all others stay; repeated doc_ids are judged one by one; an empty
-table gives an empty result. Further columns are ignored.
+a null perplexity and goes; without trusted documents all others stay. Ties: a perplexity equal to the threshold stays.
+Repeated doc_ids and rows are judged one by one, equal texts of a language alike; very long texts are scored whole, in
+overlapping parts; an empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import word_model
+from tidemark.llm import ngram_model
 from tidemark.llm.common import whole_text, write_table
 
-ORDER, CLASSES = 4, 64
 LEAST_TRUSTED = 30
 QUANTILE = 0.99
-#: Characters that are encoded at a time; bounds memory, texts are never cut.
-CHUNK = 1 << 20
-PUNCTUATION = ".,;:'\"()-!?"
-
-
-@lru_cache(maxsize=1)
-def class_table() -> np.ndarray:
-    """Class of each code point of the basic plane; 0 is kept for what is before a text."""
-
-    def of(c: int) -> int:
-        ch = chr(c)
-        if "a" <= ch <= "z":
-            return 1 + c - ord("a")
-        if ch in PUNCTUATION:
-            return 31 + PUNCTUATION.index(ch)
-        if ch == "\n":
-            return 29
-        if ch.isspace():
-            return 30
-        if ch.isdigit():
-            return 28
-        if ch.isupper():
-            return 27
-        return 42 + c % 14 if ch.isalpha() else 56 + c % 8
-
-    return np.array([of(c) for c in range(1 << 16)], np.uint8)
-
-
-def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram codes of all positions of the texts, each after ORDER - 1 pads, and where each text begins in them.
-
-    A code whose last class is 0 stands at a pad.
-    """
-    pad = ORDER - 1
-    points = np.frombuffer(("\0" * pad + ("\0" * pad).join(texts)).encode("utf-32-le", "replace"), np.uint32)
-    classes = np.where(points < (1 << 16), class_table()[points & 0xFFFF], 42 + points % 14).astype(np.int32)
-    lengths = np.array([len(t) for t in texts])
-    starts = np.concatenate([[0], np.cumsum(lengths + pad)[:-1]])
-    for i in range(pad):
-        classes[starts + i] = 0
-    codes = classes.copy()
-    for i in range(1, ORDER):
-        codes[i:] += classes[:-i] << (6 * i)
-    return codes, starts
-
-
-def _chunks(keys: list, texts: list) -> Iterator[tuple[str, list[int]]]:
-    """Rows of one key at a time, CHUNK characters or one text together."""
-    by: dict[str, list[int]] = {}
-    for i, k in enumerate(keys):
-        by.setdefault(k, []).append(i)
-    for key, rows in by.items():
-        held, size = [], 0
-        for i in rows:
-            held.append(i)
-            size += len(texts[i])
-            if size >= CHUNK:
-                yield key, held
-                held, size = [], 0
-        if held:
-            yield key, held
-
-
-def _merge(a: tuple[np.ndarray, np.ndarray] | None, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if a is not None:
-        codes, n = np.concatenate([a[0], codes]), np.concatenate([a[1], n])
-    u, at = np.unique(codes, return_inverse=True)
-    return u, np.bincount(at, n).astype(np.int64)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for b in batches:
-        keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for key, rows in _chunks(keys, texts):
-            codes, _ = codes_of([texts[i] for i in rows])
-            found[key] = _merge(found.get(key), *np.unique(codes[codes & 63 != 0], return_counts=True))
-    for key, (codes, n) in found.items():
-        yield pa.RecordBatch.from_arrays([pa.array([key] * len(codes)), pa.array(codes, pa.int32()), pa.array(n, pa.int64())], ["key", "code", "n"])
+#: Trusted ids that may be broadcast (8 bytes each); more are joined by a shuffle of the texts.
+BROADCAST_IDS = 8_000_000
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("q")).filter("q = 1").select("_id")
 
 
-def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of a table (key, code, n) of one order: (key, code, context, discounted share) and (key, context, back-off weight)."""
-    times = counts.groupBy("key").agg(*(F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
-    y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-    d = lambda i: F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(0.75)
-    rates = times.select("key", *(d(i).alias(f"d{i}") for i in (1, 2, 3)))
-    rows = counts.withColumn("context", F.shiftright("code", 6)).join(rates, "key")
-    off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = rows.withColumn("off", off)
-    contexts = rows.groupBy("key", "context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("weight"))
-    shares = rows.join(contexts, ["key", "context"]).select("key", "code", "context", ((F.col("n") - F.col("off")) / F.col("total")).alias("share"), "weight")
-    return shares, contexts.select("key", "context", "weight")
+def _flagged(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with _id where trusted, else null."""
+    ids = write_table(trusted_ids(labels), "trusted")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("_id"), "left")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """The model (key, kind, code, value) as a written table: kind p1..p4 probabilities, w1..w4 back-off weights.
+def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text_hash, lang, n_chars and perplexity a character of each row, as a written table.
 
-    None without trusted documents. key is a language's with the prefix `l:`, or `any`.
+    Of each language and fold, the numbers of trusted texts and of characters reach the driver.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.concat(F.lit("l:"), F.col("lang").cast("string")), F.lit("any")).alias("key"), whole_text().alias("text"))
-    # always the same join: one that is broadcast on small inputs alone would hide what large ones shuffle
-    trusted = text.join(trusted_ids(labels).hint("merge"), "_id").select("key", "text")
-    gathered = trusted.select("key", F.when(F.col("text") != "", F.col("text")).alias("text")).filter("text IS NOT NULL")
-    counted = write_table(gathered.mapInArrow(_count, "key string, code int, n long").groupBy("key", "code").agg(F.sum("n").alias("n")), "ngrams")
-    everything = counted.groupBy(F.lit("any").alias("key"), "code").agg(F.sum("n").alias("n"))
-    counts = {ORDER: counted.filter("key <> 'any'").union(everything)}
-    if counted.isEmpty():
-        return None
-    for k in range(ORDER - 1, 0, -1):  # how many different classes come before
-        counts[k] = counts[k + 1].groupBy("key", F.col("code").bitwiseAND(F.lit((1 << 6 * k) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    lower, parts = None, []
-    for k in range(1, ORDER + 1):
-        shares, contexts = _discounted(counts[k])
-        if k == 1:
-            p = shares.select("key", "code", (F.col("share") + F.col("weight") / (CLASSES - 1)).alias("p"))
-        else:
-            suffix = F.col("code").bitwiseAND(F.lit((1 << 6 * (k - 1)) - 1))
-            p = shares.withColumn("suffix", suffix).join(lower.select("key", F.col("code").alias("suffix"), F.col("p").alias("q")), ["key", "suffix"]).select("key", "code", (F.col("share") + F.col("weight") * F.col("q")).alias("p"))
-        lower = p = write_table(p, f"kn-{k}")
-        parts += [p.select("key", F.lit(f"p{k}").alias("kind"), "code", F.col("p").alias("value")), contexts.select("key", F.lit(f"w{k}").alias("kind"), F.col("context").alias("code"), F.col("weight").alias("value"))]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return write_table(out, "kn-model")
-
-
-class Scorer:
-    """Dense log-probabilities of one model, by n-gram code; a pad has 0."""
-
-    def __init__(self, parts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        p = np.full(CLASSES, 1.0 / (CLASSES - 1), np.float32)
-        for k in range(1, ORDER + 1):
-            weights = np.ones(CLASSES ** (k - 1), np.float32)
-            at, value = parts.get(f"w{k}", (np.empty(0, int), np.empty(0)))
-            weights[at] = value
-            # context (first, middle) times suffix (middle, last)
-            p = (weights.reshape(CLASSES, -1, 1) * p.reshape(1, -1, CLASSES)).reshape(-1) if k > 1 else weights[0] * p
-            at, value = parts.get(f"p{k}", (np.empty(0, int), np.empty(0)))
-            p[at] = value
-        self.bits = -np.log2(p)
-        self.bits.reshape(-1, CLASSES)[:, 0] = 0
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        """Bits of each text."""
-        codes, starts = codes_of(texts)
-        return np.add.reduceat(self.bits[codes], starts, dtype=np.float64)
-
-
-def pack_model(model: DataFrame) -> dict[str, dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """The model on the driver; at most CLASSES ** ORDER rows a language and kind."""
-    rows = model.select("key", "kind", "code", F.col("value").cast("float")).toArrow()
-    key, kind = (rows.column(c).combine_chunks().dictionary_encode() for c in ("key", "kind"))
-    code, value = rows.column("code").to_numpy(), rows.column("value").to_numpy()
-    group = key.indices.to_numpy() * len(kind.dictionary) + kind.indices.to_numpy()
-    out: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
-    for g in np.unique(group):
-        mine = group == g
-        out.setdefault(key.dictionary[int(g) // len(kind.dictionary)].as_py(), {})[kind.dictionary[int(g) % len(kind.dictionary)].as_py()] = code[mine], value[mine]
-    return out
-
-
-def _fold_sizes(text: DataFrame) -> dict[str | None, dict[int, int]]:
-    """Trusted texts by language and fold."""
-    out: dict[str | None, dict[int, int]] = {}
-    for r in text.groupBy("lang", "fold").count().collect():
-        out.setdefault(r.lang, {})[r.fold] = r["count"]
-    return out
-
-
-def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text_hash, lang, n_chars and perplexity a word of each row, as a written table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), F.col("lang").cast("string").alias("lang"), F.char_length(whole_text()).cast("long").alias("n_chars"), whole_text().alias("text"))
-    rows = rows.withColumn("fold", word_model.fold(F.col("text")))
-    # always the same join: one that is broadcast on small inputs alone would hide what large ones shuffle
-    trusted = rows.filter("n_chars > 0").join(trusted_ids(labels).withColumnRenamed("_id", "doc_id").hint("merge"), "doc_id").select("lang", "fold", "text")
-    sizes = _fold_sizes(trusted)
-    nothing = rows.drop("text", "fold").withColumn("perplexity", F.lit(None).cast("double"))
-    if not sizes:
-        return write_table(nothing, "perplexity")
-    big = {x for x, n in sizes.items() if x is not None and sum(n.values()) >= LEAST_TRUSTED and len(n) == word_model.FOLDS}
-    with_any = not rows.filter(~F.coalesce(F.col("lang").isin(list(big)), F.lit(False)) & (F.col("n_chars") > 0)).isEmpty()
-    key = lambda: F.when(F.col("lang").isin(list(big)), F.concat(F.lit("l:"), F.col("lang"))).otherwise("any")
-    model, told = word_model.train(trusted.select(key().alias("key"), "fold", "text"), with_any)
-    # where all trusted text is in one fold its model stands for both
-    of = {(k, i): m if (m := word_model.model_key(k, i)) in told else next(o for j in range(word_model.FOLDS) if (o := word_model.model_key(k, j)) in told) for k in [*(f"l:{x}" for x in big), *(["any"] if with_any else [])] for i in range(word_model.FOLDS)}
-    if not of:
-        return write_table(nothing, "perplexity")
-    keys = F.create_map(*(F.lit(x) for (k, i), m in of.items() for x in (f"{k}|{i}", m)))
-    rows = rows.withColumn("mk", keys[F.concat(key(), F.lit("|"), F.col("fold").cast("string"))]).withColumn("tid", F.col("text_hash").bitwiseXOR(F.col("mk")))
-    scored = word_model.perplexity(rows.filter("n_chars > 0").select("mk", "tid", "text"), model, told)
-    return write_table(rows.join(scored, ["mk", "tid"], "left").select("doc_id", "text_hash", "lang", "n_chars", "perplexity"), "perplexity")
+    rows = rows.withColumn("fold", ngram_model.fold(F.col("text")))
+    flagged = _flagged(rows, labels)
+    good = F.col("_id").isNotNull() & (F.col("n_chars") > 0)
+    sizes = flagged.groupBy("lang", "fold").agg(F.count(F.when(good, 1)).alias("n"), F.sum(F.when(good, F.col("n_chars")).otherwise(0)).alias("trusted"), F.sum("n_chars").alias("chars")).collect()
+    trusted = {(s.lang, s.fold): s.n for s in sizes if s.n}
+    if not trusted:
+        return write_table(rows.drop("text", "fold").withColumn("perplexity", F.lit(None).cast("double")), "perplexity")
+    of = lambda lang: [trusted.get((lang, f), 0) for f in range(ngram_model.FOLDS)]
+    own = sorted(lang for lang in {s.lang for s in sizes} if lang is not None and sum(of(lang)) >= LEAST_TRUSTED and all(of(lang)))
+    shared = len(own)
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, own)), F.col("lang")) - 1, F.lit(-1)) if own else F.lit(-1)
+    key = F.when(number < 0, shared).otherwise(number).cast("int")
+    # a text trains the models of the other folds, its language's and, if some language needs it, the one of all
+    keys = F.array(key, F.lit(shared)) if any(s.lang not in own and s.chars for s in sizes) else F.array(key)
+    trains = F.explode(F.flatten(F.transform(F.array_distinct(keys), lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.lit(ngram_model.FOLDS - 1)), lambda f: F.when(f != F.col("fold"), k * ngram_model.FOLDS + f)), lambda x: x.isNotNull()))))
+    model, told = ngram_model.train(flagged.filter(good).select(trains.alias("mk"), "text").coalesce(ngram_model.blocks(sum(s.trusted for s in sizes))))
+    scored = ngram_model.perplexity(rows.withColumn("key", key), model, told, ngram_model.blocks(sum(s.chars for s in sizes)))
+    return write_table(scored.select("doc_id", "text_hash", "lang", "n_chars", "perplexity"), "perplexity")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
