@@ -517,6 +517,44 @@ def test_mix(spark, awkward, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_nearest_sum_of_any_budget_is_exact():
+    rng = random.Random(16)
+    for trial in range(300):
+        unit = rng.choice([1, 1, 2, 7])
+        items = list({unit * rng.randint(1, 25): rng.randint(1, 6) for _ in range(rng.randint(0, 7))}.items())
+        size = sum(x * n for x, n in items)
+        budget = rng.randint(0, size + 3)
+        sums = {0}
+        for x, n in items:
+            sums = {s + x * k for s in sums for k in range(n + 1)}
+        took = mixing.nearest_sum(items, budget, first_words=rng.choice([1, 3, 20]))
+        assert all(0 < k <= dict(items)[x] for x, k in took.items())
+        assert abs(sum(x * k for x, k in took.items()) - budget) == min(abs(s - budget) for s in sums), (trial, items, budget)
+    many = [(x, 1 + x % 5) for x in range(2, 3000)]
+    budget = sum(x * n for x, n in many) * 2 // 3 + 1
+    assert sum(x * k for x, k in mixing.nearest_sum(many, budget).items()) == budget
+
+
+def test_repeated_rows_meet_the_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 64)
+    same = "one two three four five six seven"
+    rows = [(None, same, "a")] * 1000 + [(7, same, "b")] * 900 + [(1000 + i, prose(random.Random(i), 9), "c") for i in range(600)] + [(5, None, "a"), (6, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("mine")).withColumn("m", F.create_map(F.lit("k"), F.lit(1))).repartition(5)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
+    size = {"a": 7000, "b": 6300, "c": 5400}
+    goal = mixing.targets(size)
+    for s, n in size.items():
+        mine = [r for r in got if r.source_size == n]
+        assert abs(sum(r.taken for r in mine) - goal[s]) <= (3.5 if s != "c" else 4.5) and all(r.taken <= 3 * r.size for r in mine)
+    mixed = mixing.mixed_rows(docs)
+    assert mixed.columns == docs.columns
+    want = Counter()
+    for r in got:
+        want[r.doc_id] += r.taken // r.size if r.size else 0
+    assert Counter(r.doc_id for r in mixed.collect() if (r.text or "").strip()) == +want
+
+
 def test_targets_order_sources_by_code_point():
     got = mixing.targets({"b": 1000, "B": 1000, "é": 1000, None: 1000})
     assert got["B"] == pytest.approx(4000 * 5 / 13) and got[None] == pytest.approx(4000 * 5 / 13) and got["b"] == pytest.approx(4000 * 2 / 13)
