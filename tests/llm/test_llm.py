@@ -318,6 +318,57 @@ def test_chat_windows(spark):
     assert chat_format.format_windows(turns.limit(0)).count() == 0
 
 
+def test_windows_against_a_plain_loop(spark):
+    import regex
+
+    rng = random.Random(17)
+    budget, history = 60, 15
+    rows = []
+    for c in range(25):
+        rows += [(c, t, "system" if t == 0 and c % 3 else ("user", "assistant")[t % 2], prose(rng, rng.choice([0, 1, 3, 8, 30])) + rng.choice(["", "日本語 x1234", "<s>"])) for t in range(rng.randint(1, 30))]
+    rows += [(100, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(5_000)] + [(None, 0, "user", "x"), (None, 1, "assistant", "y " * 200)]
+    got = defaultdict(list)
+    for r in chat_format.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget, history).collect():
+        got[r.conv_id].append((r.window, r.n_repeated, r.n_tokens, r.formatted))
+    mark = {x: f"\\{i}" for i, x in enumerate(chat_format.CONTROL, 1)}
+
+    def esc(t):
+        t = t.replace("\\", "\\0")
+        for x, y in mark.items():
+            t = t.replace(x, y)
+        return t
+
+    by = defaultdict(list)
+    for c, _, role, text in rows:
+        by[c].append((role, f"[INST] {role} [/INST]{esc(text)}</s>"))
+    for c, mine in by.items():
+        size = [len(regex.findall(chat_format.TOKEN, w)) for _, w in mine]
+        system = size[0] if mine[0][0] == "system" else 0
+        starts, base = [0], 0
+        for i in range(1, len(mine)):
+            room = budget - (system + history if len(starts) > 1 else 0)
+            if sum(size[base : i + 1]) > room:
+                starts.append(base := i)
+        want = []
+        for w, (a, b) in enumerate(zip(starts, [*starts[1:], len(mine)], strict=True)):
+            keep = 0
+            if w:
+                room = min(history, budget - system - sum(size[a:b]))
+                first = a
+                while first - 1 >= (1 if system else 0) and sum(size[first - 1 : a]) <= room:
+                    first -= 1
+                shown = ([0] if system else []) + list(range(first, a))
+                keep = len(shown)
+                shown += range(a, b)
+            else:
+                shown = list(range(a, b))
+            n = sum(size[i] for i in shown)
+            assert n <= budget or b - a == 1
+            want.append((w, keep, n, "<s>" + "".join(mine[i][1] for i in shown)))
+        assert sorted(got.pop(c)) == want
+    assert not got
+
+
 # ---- 7
 
 
