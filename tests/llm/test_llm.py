@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, kneser_ney, minhash, mixing, ngram_model, packing, quality_rules, simhash, token_orc, tokens, url_filter, warc
@@ -65,7 +66,8 @@ def test_token_archive(spark, awkward, nothing):
     token_orc.write_token_archive(awkward, path, tokens.default_tokenizer(), 2)
     got = sorted(token_orc.digest(token_orc.read_token_archive(spark, path)).collect(), key=lambda r: r.start)
     want, at = [], 0
-    for doc, text in sorted(text_of(awkward), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    spark_hash = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    for doc, text in sorted(text_of(awkward), key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1]), r[1])):
         ids = [*plain_ids(text), 2]
         want.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -75,6 +77,28 @@ def test_token_archive(spark, awkward, nothing):
     assert token_orc.token_archive_roundtrip(nothing).count() == 0
 
 
+def test_stripes_have_indexes_and_blooms_and_are_skipped(spark):
+    from pyarrow import fs, orc
+
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word river stone "), F.col("id").cast("string")).alias("text"))
+    path = fresh_path(spark, "stripes")
+    token_orc.write_token_archive(docs, path, tokens.default_tokenizer(), 2)
+    files = [x.path for x in fs.LocalFileSystem().get_file_info(fs.FileSelector(path.removeprefix("file:"))) if x.path.endswith(".orc")]
+    for f in files:
+        raw, footer = open(f, "rb").read(), orc.ORCFile(f)
+        assert footer.row_index_stride == token_orc.ROW_STRIDE and footer.compression == "ZSTD" and footer.nstripes >= 1
+        assert raw.startswith(b"ORC")
+    kinds = spark.sparkContext._jvm.org.apache.orc
+    reader = kinds.OrcFile.createReader(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]), kinds.OrcFile.readerOptions(spark.sparkContext._jsc.hadoopConfiguration()))
+    rows = reader.rows()
+    streams = {str(x.getKind()) for x in rows.readStripeFooter(reader.getStripes().get(0)).getStreamsList()}
+    assert streams >= {"ROW_INDEX", "BLOOM_FILTER_UTF8"}
+    scan = token_orc.read_token_archive(spark, path, doc_ids=[20_001])
+    assert "EqualTo(doc_id,20001)" in scan._jdf.queryExecution().toString().partition("PushedFilters: [")[2].partition("]")[0]
+    got = scan.collect()
+    assert len(got) == 1 and got[0].doc_id == 20_001 and got[0].ids == [*plain_ids("word river stone 20001"), 2]
+
+
 # ---- 2
 
 

@@ -33,9 +33,9 @@ ORDER = 5
 FOLDS = 2
 PAD, END = "\U0010fffe", "\U0010ffff"
 #: Characters of a block and of a packed part of it, and those worked on at a time; texts are never cut, all bound memory.
-BLOCK_CHARS, PACK_CHARS, PIECE_CHARS = 1 << 27, 1 << 23, 1 << 22
+BLOCK_CHARS, PACK_CHARS, PIECE_CHARS = 1 << 27, 1 << 23, 1 << 21
 #: n-grams that a worker holds before it hands them on, and codes that get a dense table.
-HELD_NGRAMS, DENSE = 1 << 22, 1 << 25
+HELD_NGRAMS, DENSE = 1 << 21, 1 << 23
 
 
 def fold(text: Column) -> Column:
@@ -215,12 +215,15 @@ def _summed(told: dict[tuple[int, int], tuple[int, float, float]]):
 
     def run(packed: pa.Table, found: pa.Table) -> pa.Table:
         place: dict[int, dict[str, int]] = {}
-        for i, (key, gram) in enumerate(zip(found.column("key").to_pylist(), found.column("gram").to_pylist(), strict=True)):
-            place.setdefault(key, {})[gram] = i
-        values = [np.append(found.column(f"value{f}").to_numpy().astype(np.float64), 0.0) for f in range(FOLDS)]
+        at = 0
+        for b in found.select(["key", "gram"]).to_batches(1 << 16):
+            for key, gram in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                place.setdefault(key, {})[gram] = at
+                at += 1
+        values = [np.append(found.column(f"value{f}").to_numpy(), np.float32(0)) for f in range(FOLDS)]
         out = []
-        for blob in packed.column("packed").to_pylist():
-            rows = pa.ipc.open_stream(blob).read_all()
+        for blob in packed.column("packed"):
+            rows = pa.ipc.open_stream(blob.as_buffer()).read_all()
             texts, result = rows.column("text").to_pylist(), np.full(len(rows), np.nan)
             for (key, at_fold), mine in _by_key([rows.column("key").to_pylist(), rows.column("fold").to_pylist()]).items():
                 if (key, at_fold) not in told:

@@ -4,8 +4,9 @@ Documents are dealt by ranges of doc_id, encoded and written in ascending doc_id
 run-length encoded columns, a row index every ROW_STRIDE rows and Bloom filters on doc_id, so a reader takes stripes in
 parallel, skips those whose minimum and maximum rule a document out and asks the Bloom filter about the rest.
 
-Nulls and empties: a null or empty text has just the end id; null doc_ids come first; repeated doc_ids are ordered by
-text and stay separate rows; an empty table gives an empty, readable archive. Other columns of the input are ignored.
+Nulls and empties: a null or empty text has just the end id; null doc_ids come first. Ties: rows with equal doc_ids stay
+separate and are ordered by the text's hash, then text, so that many of them are dealt over several parts. A very long text
+is encoded whole and is one row; an empty table gives an empty, readable archive. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import fresh_path, whole_text
 from tidemark.llm.tokens import default_tokenizer, encoder
@@ -27,7 +29,6 @@ ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 #: Ids in one batch that goes back to the JVM; a longer document goes alone.
 BATCH_IDS = 1 << 20
-BROADCAST_FILES = 200_000
 
 
 def id_list(parts: list[bytes]) -> pa.ListArray:
@@ -72,9 +73,10 @@ def _encode(tokenizer: str, end_id: int):
 def write_token_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Encodes every whole text and writes the archive at path."""
     (
-        docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-        .repartitionByRange("doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("_hash"))
+        .repartitionByRange("doc_id", "_hash")  # samples of these two reach the driver, never a text
+        .sortWithinPartitions("doc_id", "_hash", "text")
+        .select("doc_id", "text")
         .mapInArrow(_encode(tokenizer, end_id), SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
@@ -87,12 +89,10 @@ def write_token_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int
 
 
 def part_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """Ids before each part; reads no ids. One row per written file reaches the driver, and goes out with the scan while
-    it has at most BROADCAST_FILES rows (16 bytes each); beyond, it is an ordinary join."""
-    totals = spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    before = np.cumsum([0, *(r.n for r in totals)]).tolist()
-    offsets = spark.createDataFrame([(r.part, b) for r, b in zip(totals, before, strict=False)], "part int, _base long")
-    return F.broadcast(offsets) if len(totals) <= BROADCAST_FILES else offsets
+    """Ids before each part: a running sum over one row per written file; reads no ids."""
+    totals = spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return totals.select("part", F.coalesce(before, F.lit(0)).cast("long").alias("_base"))
 
 
 def read_token_archive(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None, where: Column | None = None) -> DataFrame:
