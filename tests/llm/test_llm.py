@@ -425,19 +425,52 @@ def test_block_tables_find_all_within_the_radius(spark):
 
 
 def test_every_suffix_keeps_its_statistics(spark):
-    made = [(f"http://h{j}.s{i:03}/", int((i + j) % 7 == 0)) for i in range(260) for j in range(2 + i % 3)]
+    made = [(f"http://h{j}.s{i:03}/{j}", int((i + j) % 7 == 0)) for i in range(260) for j in range(2 + i % 3)]
+    made += made[:9]
     labelled = spark.createDataFrame(made, "url string, bad int")
     model = url_filter.fit(labelled)
     n, b = (Counter(), Counter())
     for url, bad in made:
-        n[url[-5:-1]] += 1
-        b[url[-5:-1]] += bad
-    prior = (sum(b.values()) + 1) / (len(made) + 2)
+        host = url.split("/")[2]
+        for x in (host[-5:], host):
+            n[x] += 1
+            b[x] += bad
+    total = len(made)
+    prior = (sum(x for _, x in made) + 1) / (total + 2)
     rows = url_filter.with_features(url_filter.with_parts(labelled), "url", model.suffix_bad, model.prior).collect()
-    assert len(rows) == len(made)
+    assert len(rows) == total
     for r in rows:
-        assert r._u_suffix_bad == pytest.approx((b[r.host[-4:]] + 10 * prior) / (n[r.host[-4:]] + 10))
-    assert url_filter.judge(labelled.withColumn("page_id", F.lit(1)), model).count() == len(made)
+        assert r._u_suffix_bad == pytest.approx((b[r.host[-5:]] + 10 * prior) / (n[r.host[-5:]] + 10))
+        assert r._u_domain_bad == pytest.approx((b[r.host] + 10 * prior) / (n[r.host] + 10))
+    assert url_filter.judge(labelled.withColumn("page_id", F.lit(1)), model).count() == total
+
+
+def test_margins_are_the_trees_own_and_edge_cases(spark):
+    rng = random.Random(21)
+    made = [(f"http://{rng.choice(['spam', 'good', 'fine'])}-{rng.randint(0, 50)}.x{rng.randint(0, 3)}.org/{'a/' * rng.randint(0, 5)}?{'&'.join('k=1' for _ in range(rng.randint(0, 4)))}", rng.randint(0, 1)) for _ in range(400)]
+    model = url_filter.fit(spark.createDataFrame(made, "url string, bad int"), sample_rows=300)
+    assert model.trees
+    urls = [None, "", "no scheme", "http://", "http://a/" + "p/" * 200_000, "http://É日本.org/x?y#z", *[u for u, _ in made[:50]], made[0][0]]
+    pages = spark.createDataFrame([(None if i % 5 == 0 else i % 7, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("_u_depth", F.lit("mine")).withColumn("verdict", F.lit("mine"))
+    rows = url_filter.with_features(url_filter.with_parts(pages.select("page_id", "url")), "url", model.suffix_bad, model.prior).withColumn("margin", model.margin()).collect()
+    want = model.predict({f: np.array([r[f"_u_{f}"] for r in rows], float) for f in url_filter.FEATURES})
+    assert np.allclose([r.margin for r in rows], want)
+
+    def features(u):
+        u = u or ""
+        after = u.partition("://")[2]
+        host, path = re.match(r"[^/?#]*", after)[0].lower(), re.match(r"[^/?#]*([^?#]*)", after)[1]
+        query = (re.search(r"\?([^#]*)", u) or [0, ""])[1]
+        share = [host.count(c) / max(len(host), 1) for c in url_filter.ALPHABET]
+        return {"url_chars": len(u), "host_chars": len(host), "path_chars": len(path), "depth": path.count("/"), "labels": host.count(".") + 1, "digit_share": len(re.findall("[0-9]", u)) / max(len(u), 1), "hyphens": host.count("-"), "host_entropy": -sum(s * np.log2(s) for s in share if s), "n_parameters": query.count("&") + 1 if query else 0, "longest_label": max(map(len, host.split(".")))}
+
+    for r in rows:
+        for k, v in features(r.url).items():
+            assert r[f"_u_{k}"] == pytest.approx(v), (k, r.url)
+    got = url_filter.judge(pages, model, rules=()).collect()
+    assert sorted((str(r.page_id), r.verdict) for r in got) == sorted((str(r.page_id), "block" if r.margin > 0 else "allow") for r in rows)
+    assert url_filter.judge(pages.limit(0), model).count() == 0
+    assert url_filter.auc(np.array([0.1, 0.4, 0.35, 0.8]), np.array([False, False, True, True])) == 0.75
 
 
 # ---- 8

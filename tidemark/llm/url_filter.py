@@ -2,12 +2,14 @@
 
 Trees are boosted with logistic loss over histogram bins of a bounded sample of labelled URLs and become one arithmetic
 expression of CASE WHENs over features that Spark computes itself: lengths, depth, digit ratio, entropy of the host's
-characters, parameter counts, and how often the host's suffix was bad among the labelled URLs,
+characters, parameter counts, and how often the host's suffix, of one label and of two, was bad among the labelled URLs,
 which is counted over all of them and joined from a table with one row a suffix.
 
 Nulls and empties: a null URL or one without `://` has an empty host and path, fits no rule and gets the model's verdict;
-page_ids may be null or repeated, rows are judged one by one; without labels of both kinds the model allows everything; an
-empty table gives an empty result. Further columns are ignored.
+page_ids may be null or repeated, rows are judged one by one, and equal URLs alike; without labels of both kinds the model
+allows everything; an empty table gives an empty result. Ties: of rules of one length the one last by name wins, equal
+labelled URLs count as one for the trees, bad if at least half of them are; a margin equal to the cut is allowed. A very long
+URL is read whole. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import write_table
 
-#: Labelled rows that trees are fitted on, at most; those with the least hash of the URL are taken.
+#: Labelled URLs that trees are fitted on, at most; those with the least hash are taken.
 SAMPLE_ROWS = 20_000
-FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_share", "host_digit_share", "hyphens", "host_entropy", "n_parameters", "longest_label", "vowel_share", "suffix_bad")
+FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_share", "host_digit_share", "hyphens", "host_entropy", "n_parameters", "longest_label", "vowel_share", "suffix_bad", "domain_bad")
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-."
 
@@ -49,8 +51,9 @@ def rule_columns(rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Co
     return rule, verdict
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffixes(host: Column) -> Column:
+    """The last label of a host and its last two, as an array; one that has no more is its own."""
+    return F.array(F.concat(F.lit("."), F.substring_index(host, ".", -1)), F.substring_index(host, ".", -2))
 
 
 def with_features(df: DataFrame, url: str = "url", suffix_bad: DataFrame | None = None, prior: float = 0.5) -> DataFrame:
@@ -62,10 +65,11 @@ def with_features(df: DataFrame, url: str = "url", suffix_bad: DataFrame | None
     shares = [per(count(host, ch), h) for ch in ALPHABET]
     entropy = sum((F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in shares[1:]), F.when(shares[0] > 0, -shares[0] * F.log2(shares[0])).otherwise(0.0))
     query = F.when(F.instr(u, "?") > 0, F.regexp_extract(u, r"\?([^#]*)", 1)).otherwise("")
-    known = F.lit(prior)
-    if suffix_bad is not None:
-        df = df.join(suffix_bad, suffix(host) == F.col("_suffix"), "left")
-        known = F.coalesce("_share", known)
+    known = [F.lit(prior)] * 2
+    for i in range(2) if suffix_bad is not None else ():
+        named = suffix_bad.select(F.col("_suffix").alias(f"_suffix{i}"), F.col("_share").alias(f"_share{i}"))
+        df = df.join(named, suffixes(host)[i] == F.col(f"_suffix{i}"), "left")
+        known[i] = F.coalesce(f"_share{i}", known[i])
     made = {
         "url_chars": n,
         "host_chars": h,
@@ -79,9 +83,10 @@ def with_features(df: DataFrame, url: str = "url", suffix_bad: DataFrame | None
         "n_parameters": F.when(query == "", 0).otherwise(count(query, "&") + 1),
         "longest_label": F.array_max(F.transform(F.split(host, r"\."), lambda x: F.char_length(x))),
         "vowel_share": per(count(host, "aeiou"), h),
-        "suffix_bad": known,
+        "suffix_bad": known[0],
+        "domain_bad": known[1],
     }
-    return df.withColumns({f"_u_{k}": v.cast("double") for k, v in made.items()}).drop("_suffix", "_share")
+    return df.withColumns({f"_u_{k}": v.cast("double") for k, v in made.items()}).drop("_suffix0", "_share0", "_suffix1", "_share1")
 
 
 @dataclass
@@ -160,15 +165,21 @@ def boost(x: dict[str, np.ndarray], bad: np.ndarray, rounds: int = 30, depth: in
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from labelled URLs (url, bad): at most sample_rows features reach the driver; suffix counts stay a table."""
-    rows = with_parts(labelled.filter("bad IS NOT NULL").select("url", F.col("bad").cast("int").alias("bad")))
-    counts = write_table(rows.groupBy(suffix(F.col("host")).alias("_suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b")), "suffixes")
-    whole = counts.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    """A model from labelled URLs (url, bad): features of at most sample_rows reach the driver; suffix counts stay a table.
+
+    The sample is first cut at the hash below which a little more than sample_rows are expected, so no task gathers more.
+    """
+    rows = labelled.filter("bad IS NOT NULL").groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("b"))
+    rows = write_table(with_parts(rows.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("url"), 1))), "labelled")
+    counts = write_table(rows.select(F.explode(suffixes(F.col("host"))).alias("_suffix"), "n", "b").groupBy("_suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "suffixes")
+    whole = rows.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("urls")).first()
     prior = ((whole.b or 0) + 1) / ((whole.n or 0) + 2)
     table = counts.select("_suffix", ((F.col("b") + 10 * prior) / (F.col("n") + 10)).alias("_share"))
-    chosen = rows.orderBy(F.xxhash64("url"), "url", "bad").limit(sample_rows)
-    got = with_features(chosen, "url", table, prior).select("bad", *(f"_u_{f}" for f in FEATURES)).collect()
-    model = boost({f: np.array([r[f"_u_{f}"] for r in got], float) for f in FEATURES}, np.array([r.bad for r in got], float).astype(bool))
+    expected = sample_rows + 10 * int(sample_rows**0.5) + 100
+    near = rows.filter(F.col("_hash") <= int((1 << 63) * min(1.0, expected / max(whole.urls, 1))) - 1)
+    chosen = near.orderBy("_hash", "url").limit(sample_rows)
+    got = with_features(chosen, "url", table, prior).select("n", "b", *(f"_u_{f}" for f in FEATURES)).collect()
+    model = boost({f: np.array([r[f"_u_{f}"] for r in got], float) for f in FEATURES}, np.array([2 * r.b >= r.n for r in got], bool))
     model.suffix_bad, model.prior = table, prior
     return model
 
@@ -181,10 +192,19 @@ def judge(pages: DataFrame, model: Model, rules: tuple[tuple[str, str], ...] = R
 
 
 #: Words that mark a host as bad when they stand between dots or hyphens; they label URLs for training.
-BAD_WORDS = ("spam", "bets", "casino", "pills", "porn", "xxx", "sex", "adult", "warez", "torrent", "viagra", "loan", "loans", "replica")
+BAD_WORDS = ("ads", "spam", "bets", "casino", "pills", "porn", "xxx", "sex", "adult", "warez", "torrent", "viagra", "loan", "loans", "replica")
 
 
 def label_by_words(pages: DataFrame, words: tuple[str, ...] = BAD_WORDS) -> DataFrame:
     """url and bad of each page: bad if a part of its host is one of the words."""
     parts = F.split("host", r"[.\-]")
     return with_parts(pages.select("url")).filter("url IS NOT NULL").select("url", F.arrays_overlap(parts, F.array(*map(F.lit, words))).cast("int").alias("bad"))
+
+
+def auc(margins: np.ndarray, bad: np.ndarray) -> float:
+    """The share of pairs of a bad and a good row that the margins put in order; ties count half."""
+    order = np.argsort(margins, kind="stable")
+    values, at, n = np.unique(margins[order], return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(n) - (n - 1) / 2)[at]
+    b = bad[order]
+    return float((ranks[b].sum() - b.sum() * (b.sum() + 1) / 2) / (b.sum() * (~b).sum()))
