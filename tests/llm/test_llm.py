@@ -145,6 +145,9 @@ def test_salvage_of_members_with_many_records_and_mixed_files():
     mixed[5][200] ^= 0x55
     data = b"".join(mixed)
     assert ids(read(data)) == [i for i in range(12) if i != 7] and covers(read(data), data)
+    long = records[2].replace(b"WARC-Type", b"X-Note: " + b"n" * (3 << 20) + b"\r\nWARC-Type", 1)
+    for data in (records[1] + long + records[3], warc.member(records[1] + long + records[3])):
+        assert ids(read(data)) == [1, 2, 3] and covers(read(data), data)
     bare = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", records[1])
     assert ids(read(warc.member(records[0] + bare + records[2]))) == [0, 1, 2]
     assert ids(read(warc.member(records[0] + bare + records[2] + records[3])[:-2])) == [0, 2]

@@ -112,6 +112,11 @@ class Source:
         return self._file.read(n)
 
 
+def _unfinished(raw: bytes) -> bool:
+    """Whether the header goes on: no blank line yet, and every whole line so far is a field."""
+    return b"\r\n\r\n" not in raw and all(b":" in line for line in raw.split(b"\r\n")[1:-1])
+
+
 def _parse(raw: bytes) -> tuple[dict[str, str], int, int]:
     """Header fields, where the block begins, and its length."""
     if not VERSION.match(raw):
@@ -200,10 +205,10 @@ def _intact(source: Source, at: int) -> bool:
 
 def _inner(source: Source, m: _Member, at: int) -> Record:
     """The record that begins where the stream stands; goes past it if it is whole."""
-    while b"\r\n\r\n" not in m.buffer and len(m.buffer) < 1 << 20 and m.fill(len(m.buffer) + 1):
+    while _unfinished(m.buffer) and m.fill(len(m.buffer) + 1):
         pass
     try:
-        fields, begin, n = _parse(bytes(m.buffer[: 1 << 20]))
+        fields, begin, n = _parse(bytes(m.buffer))
     except Broken as e:
         raise Damaged(str(e)) from None
     m.fill(begin + n + 4)
@@ -243,7 +248,7 @@ def _zipped(source: Source, at: int) -> Iterator[Record | Gap]:
 
 def _plain(source: Source, at: int) -> Record:
     raw = source.at(at)
-    while b"\r\n\r\n" not in raw and len(raw) < 1 << 20 and at + len(raw) < source.size:
+    while _unfinished(raw) and at + len(raw) < source.size:
         raw += source.at(at + len(raw))
     fields, begin, n = _parse(raw)
     if at + begin + n + 4 > source.size:
