@@ -6,7 +6,9 @@ takes away what it covers and goes on. The list becomes one ordered CASE WHEN ov
 
 Nulls and empties: a null or empty text has no words and fails the base rule; rows are judged one by one, so null and
 repeated doc_ids and further columns don't matter; without labels, or with labels of one kind, the list is empty and only
-the base rule decides; an empty table gives an empty result.
+the base rule decides; an empty table gives an empty result. Ties: a value equal to a threshold is below it, of labels that
+are split a document counts as bad if its mean is under one half, and of conditions with equal gain the first counts. Very
+long texts are counted whole.
 """
 
 from __future__ import annotations
@@ -166,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
     votes = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("_quality"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(chosen), F.col("_doc") == F.col("doc_id"))
-    rows = with_statistics(sample.select("_doc", "text", "_quality")).select("_doc", "_quality", *(F.col(f"_q_{f}").cast("double").alias(f) for f in FEATURES)).collect()
-    rows.sort(key=lambda r: (hash((r["_doc"], 7919)), *r[2:]))
+    rows = with_statistics(sample.select("_doc", "text", "_quality")).select(F.xxhash64(F.lit(7919), "_doc").alias("_place"), "_quality", *(F.col(f"_q_{f}").cast("double").alias(f) for f in FEATURES)).collect()
+    rows.sort(key=tuple)  # in a seeded order, so that the part that prunes is a fair sample
     columns = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
     return learn_decision_list(columns, np.array([r["_quality"] < 0.5 for r in rows], bool))
 
