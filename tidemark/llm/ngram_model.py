@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +34,11 @@ ORDER = 5
 FOLDS = 2
 PAD, END = "\U0010fffe", "\U0010ffff"
 #: Characters of a block and of a packed part of it, and those worked on at a time; texts are never cut, all bound memory.
-BLOCK_CHARS, PACK_CHARS, PIECE_CHARS = 1 << 27, 1 << 23, 1 << 21
+BLOCK_CHARS, PACK_CHARS, PIECE_CHARS = 1 << 27, 1 << 22, 1 << 20
 #: n-grams that a worker holds before it hands them on, and codes that get a dense table.
 HELD_NGRAMS, DENSE = 1 << 21, 1 << 23
+#: Rows that are Python strings at a time.
+ROWS = 1_000
 
 
 def fold(text: Column) -> Column:
@@ -96,6 +99,12 @@ def ngrams(parts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, list[st
     return np.flatnonzero(predicted), out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, len(b), ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _by_key(columns: list[list]) -> dict[tuple, list[int]]:
     rows: dict[tuple, list[int]] = {}
     for i, key in enumerate(zip(*columns, strict=True)):
@@ -112,7 +121,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([mk] * len(found), pa.int32()), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["mk", "gram", "n"])
         held.clear()
 
-    for b in batches:
+    for b in _slices(batches):
         keys, texts = (c.to_pylist() for c in b.columns)
         for (mk,), rows in _by_key([keys]).items():
             for parts in _pieces(texts[i] for i in rows):
@@ -175,7 +184,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int32()), pa.array([key] * len(grams), pa.int32()), pa.array(list(grams))], ["block", "key", "gram"])
         held.clear()
 
-    for b in batches:
+    for b in _slices(batches):
         keys, texts = b.column("key").to_pylist(), b.column("text").to_pylist()
         for (key,), rows in _by_key([keys]).items():
             for parts in _pieces(texts[i] for i in rows if texts[i]):
@@ -202,7 +211,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
 
     for b in batches:
-        sizes = np.cumsum([len(t) for t in b.column("text").to_pylist()])
+        sizes = np.cumsum(pc.utf8_length(b.column("text")).to_numpy())
         at = 0
         while at < len(b):
             upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PACK_CHARS, "right")))
