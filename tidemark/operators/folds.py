@@ -2,51 +2,73 @@
 
 from __future__ import annotations
 
-from collections import deque
+import heapq
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def anchored_stays(df: DataFrame, keys: list[str], time: str, x: str, y: str, tolerance: float, least: float) -> DataFrame:
+def _schema(df: DataFrame, keys: list[str], *more: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(m.format(**kinds) for m in more)])
+
+
+def anchored_stays(df: DataFrame, keys: list[str], time: str, x: str, y: str, tolerance: float, least: float, height: str | None = None, ahead: int = 11, floor: float = 8.0) -> DataFrame:
     """Greedy stays: from an anchor row on, as long as rows are within tolerance of the anchor; then the next row is anchor.
 
-    keys, t0, t1 and n of stays of at least `least`.
+    keys, t0, t1 and n of stays of at least `least`. With height, the tolerance of an anchor is that share of the median
+    height of it and the rows after it, `ahead` together, or of `floor` if that is more. A scan stops at the first row that
+    is too far, so the work is linear in the rows.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", t0 {kinds[time]}, t1 {kinds[time]}, n long"
+    schema = _schema(df, keys, f"t0 {{{time}}}", f"t1 {{{time}}}", "n long")
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([time, x, y])
-        t, xs, ys, at, found = rows[time].to_numpy(), rows[x].to_numpy(), rows[y].to_numpy(), 0, []
+        t, xs, ys, at, found = rows[time].to_numpy(), rows[x].to_numpy(float), rows[y].to_numpy(float), 0, []
+        tall = rows[height].to_numpy(float) if height else None
         while at < len(t):
-            off = (xs[at + 1 :] - xs[at]) ** 2 + (ys[at + 1 :] - ys[at]) ** 2 > tolerance * tolerance
-            stop = at + 1 + int(off.argmax()) if off.any() else len(t)
+            reach = tolerance * max(float(np.median(tall[at : at + ahead])), floor) if height else tolerance
+            stop, size = at + 1, 64
+            while stop < len(t):
+                off = np.sqrt((xs[stop : stop + size] - xs[at]) ** 2 + (ys[stop : stop + size] - ys[at]) ** 2) > reach
+                if off.any():
+                    stop += int(off.argmax())
+                    break
+                stop, size = stop + len(off), size * 2
             if t[stop - 1] - t[at] >= least:
                 found.append((*key, t[at], t[stop - 1], stop - at))
             at = stop
         return pd.DataFrame(found, columns=[*keys, "t0", "t1", "n"])
 
-    return df.select(*keys, time, x, y).groupBy(*keys).applyInPandas(fold, schema)
+    return df.select(*dict.fromkeys([*keys, time, x, y, *([height] if height else [])])).groupBy(*keys).applyInPandas(fold, schema)
 
 
-def assign_chains(candidates: DataFrame, tracks: DataFrame, keys: list[str], accept: float = 0.62, consider: float = 0.50, margin: float = 0.12) -> DataFrame:
+def assign_chains(candidates: DataFrame, tracks: DataFrame, keys: list[str], accept: float = 0.62, consider: float = 0.50, margin: float = 0.12, verdicts: DataFrame | None = None, doubt: float = 0.40, most_checks: int = 8) -> DataFrame:
     """One-to-one links: each later track, by start, takes its best free predecessor, and chains of links are identities.
 
     tracks: keys, track, start. candidates: keys, a (earlier), b (later), score. A score of `accept` is enough; from
-    `consider` on it must lead the runner-up, used or not, by margin; the first candidate that fails ends b's search.
+    `consider` on it must lead the runner-up, used or not, by margin; the first candidate that fails ends b's search. Of
+    equal scores the greatest a comes first. verdicts: keys, a, b, same, sure, looked up for the two best free candidates of
+    a track with a score from `doubt` to accept, at most `most_checks` times a key, in the order of the search.
     Returns keys, track, chain (the first track of its chain) and score of the link to the predecessor (null at a head).
     """
-    kinds = {f.name: f.dataType.simpleString() for f in tracks.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", track long, chain long, score double"
+    schema = _schema(tracks, keys, "track long", "chain long", "score double")
 
     def fold(key: tuple, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start", "track"])
-        by = {b: sorted(zip(g["score"], g["a"], strict=True), key=lambda x: (-x[0], x[1])) for b, g in pairs.groupby("b")}
-        before, score, used = {}, {}, set()
+        by = {b: sorted(zip(g["score"], g["a"], g["same"], g["sure"], strict=True), key=lambda o: (-o[0], -o[1])) for b, g in pairs.groupby("b")}
+        before, score, used, checks = {}, {}, set(), 0
         for b in rows["track"]:
-            options = by.get(b, [])
+            options = []
+            for i, (s, a, same, sure) in enumerate(by.get(b, [])):
+                if i < 2 and a not in used and doubt <= s < accept and checks < most_checks and verdicts is not None:
+                    checks += 1
+                    if sure == sure and sure >= 0.6:
+                        s = max(s, accept + 0.01 * sure) if same else min(s, doubt - 0.01)
+                options.append((s, a))
+            options.sort(key=lambda o: (-o[0], -o[1]))
             for i, (s, a) in enumerate(options):
                 if a in used:
                     continue
@@ -55,53 +77,88 @@ def assign_chains(candidates: DataFrame, tracks: DataFrame, keys: list[str], acc
                     used.add(a)
                     before[b], score[b] = a, s
                 break
+        head: dict[int, int] = {}
         out = []
-        for track in rows["track"]:
-            head = track
-            while head in before:
-                head = before[head]
-            out.append((*key, track, head, score.get(track)))
+        for track in rows["track"]:  # a predecessor starts earlier, so its head is known
+            head[track] = head[before[track]] if track in before else track
+            out.append((*key, track, head[track], score.get(track)))
         return pd.DataFrame(out, columns=[*keys, "track", "chain", "score"])
 
     # new names, as both sides may come from one table
     asked, pairs = tracks.select(*keys, "track", "start").toDF(*keys, "track", "start"), candidates.select(*keys, "a", "b", "score").toDF(*keys, "a", "b", "score")
+    told = verdicts.select(*keys, "a", "b", "same", F.col("sure").cast("double").alias("sure")).toDF(*keys, "a", "b", "same", "sure") if verdicts is not None else None
+    pairs = pairs.join(told, [*keys, "a", "b"], "left") if told is not None else pairs.withColumns({"same": F.lit(None).cast("boolean"), "sure": F.lit(None).cast("double")})
     return asked.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(fold, schema)
 
 
-def cluster_boxes(hits: DataFrame, keys: list[str], time: str, least_iou: float, most_age: float, least_span: float, least_hits: int, window: int = 25) -> DataFrame:
-    """Online clusters of boxes: a hit joins the live cluster with the greatest overlap above least_iou, else starts one.
+class RunningMedian:
+    """The median of all numbers so far, by two heaps."""
+
+    def __init__(self) -> None:
+        self._low, self._high = [], []
+
+    def add(self, x: float) -> float:
+        heapq.heappush(self._low, -heapq.heappushpop(self._high, x))
+        if len(self._low) > len(self._high):
+            heapq.heappush(self._high, -heapq.heappop(self._low))
+        return self._high[0] if len(self._high) > len(self._low) else (self._high[0] - self._low[0]) / 2
+
+
+def cluster_boxes(hits: DataFrame, keys: list[str], time: str, least_iou: float, most_age: float, least_span: float, least_hits: int) -> DataFrame:
+    """Online clusters of boxes: a hit joins the cluster with the greatest overlap of all, if that is above least_iou and the
+    cluster was seen within most_age; else it starts one.
 
-    A cluster's box is the running median of its last `window` hits. keys, cluster, first_t, last_t, n and the median box of
-    clusters that last.
+    A cluster's box is the running median of all its hits; of equal overlaps the oldest cluster counts. keys, cluster,
+    first_t, last_t, n and the median box of clusters that last.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", cluster int, first_t {kinds[time]}, last_t {kinds[time]}, n long, x1 double, y1 double, x2 double, y2 double"
+    schema = _schema(hits, keys, "cluster int", f"first_t {{{time}}}", f"last_t {{{time}}}", "n long", "x1 double", "y1 double", "x2 double", "y2 double")
 
-    def overlap(a: np.ndarray, b: np.ndarray) -> float:
-        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        if w <= 0 or h <= 0:
-            return 0.0
-        area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
-        return w * h / (area(a) + area(b) - w * h + 1e-9)
+    def overlaps(boxes: np.ndarray, b: np.ndarray) -> np.ndarray:
+        w = np.clip(np.minimum(boxes[:, 2], b[2]) - np.maximum(boxes[:, 0], b[0]), 0, None)
+        h = np.clip(np.minimum(boxes[:, 3], b[3]) - np.maximum(boxes[:, 1], b[1]), 0, None)
+        return w * h / ((boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h + 1e-9)
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([time, "x1", "y1", "x2", "y2"])
-        clusters: list[dict] = []
+        boxes, clusters = np.empty((16, 4)), []
         for t, box in zip(rows[time], rows[["x1", "y1", "x2", "y2"]].to_numpy(float), strict=True):
-            live = [(overlap(c["box"], box), -i) for i, c in enumerate(clusters) if t - c["last"] <= most_age]
-            best, at = max(live, default=(0.0, 0))
-            if best > least_iou:
-                c = clusters[-at]
-            else:
-                clusters.append(c := {"first": t, "recent": deque(maxlen=window), "n": 0})
-            c["recent"].append(box)
-            c["n"], c["last"], c["box"] = c["n"] + 1, t, np.median(c["recent"], axis=0)
-        kept = [c for c in clusters if c["last"] - c["first"] >= least_span and c["n"] >= least_hits]
-        return pd.DataFrame([(*key, i, c["first"], c["last"], c["n"], *map(float, c["box"])) for i, c in enumerate(kept)], columns=[*keys, "cluster", "first_t", "last_t", "n", "x1", "y1", "x2", "y2"])
+            at = -1
+            if clusters:
+                shared = overlaps(boxes[: len(clusters)], box)
+                best = int(shared.argmax())
+                if shared[best] > least_iou and t - clusters[best]["last"] <= most_age:
+                    at = best
+            if at < 0:
+                at = len(clusters)
+                clusters.append({"first": t, "sides": [RunningMedian() for _ in range(4)], "n": 0})
+                if at == len(boxes):
+                    boxes = np.concatenate([boxes, np.empty_like(boxes)])
+            c = clusters[at]
+            boxes[at] = [m.add(v) for m, v in zip(c["sides"], box.tolist(), strict=True)]
+            c["n"], c["last"] = c["n"] + 1, t
+        kept = [(i, c) for i, c in enumerate(clusters) if c["last"] - c["first"] >= least_span and c["n"] >= least_hits]
+        return pd.DataFrame([(*key, i, c["first"], c["last"], c["n"], *map(float, boxes[at])) for i, (at, c) in enumerate(kept)], columns=[*keys, "cluster", "first_t", "last_t", "n", "x1", "y1", "x2", "y2"])
 
     return hits.select(*keys, time, "x1", "y1", "x2", "y2").groupBy(*keys).applyInPandas(fold, schema)
 
 
+def static_tracks(hits: DataFrame, samples: DataFrame, keys: list[str], first_track: int = 100_000, **rules) -> DataFrame:
+    """Weak detections that stay in one place as tracks: one row of the median box per sample from first to last sighting.
+
+    hits: keys, t, cls, conf and a box; samples: keys, t, frame. A track has its hits' most common class (the least on ties)
+    and median confidence, .45 at least.
+    """
+    rules = {"least_iou": 0.25, "most_age": 6.0, "least_span": 5.0, "least_hits": 6} | rules
+    found = cluster_boxes(hits, keys, "t", **rules)
+    inside = hits.drop("x1", "y1", "x2", "y2").join(found, keys).filter((F.col("t") >= F.col("first_t")) & (F.col("t") <= F.col("last_t")))
+    counts = inside.groupBy(*keys, "cluster", "cls").agg(F.count(F.lit(1)).alias("c"))
+    about = counts.groupBy(*keys, "cluster").agg(F.min(F.struct((-F.col("c")).alias("o"), "cls")).alias("m"))
+    sure = inside.groupBy(*keys, "cluster").agg(F.percentile("conf", F.lit(0.5)).alias("conf"))
+    tracks = found.join(about, [*keys, "cluster"]).join(sure, [*keys, "cluster"])
+    tracks = tracks.select(*keys, (F.col("cluster") + first_track).cast("long").alias("track"), "first_t", "last_t", F.col("m.cls").alias("cls"), F.round(F.greatest("conf", F.lit(0.45)), 3).alias("conf"), "x1", "y1", "x2", "y2")
+    return samples.join(tracks, keys).filter((F.col("t") >= F.col("first_t")) & (F.col("t") <= F.col("last_t"))).drop("first_t", "last_t")
+
+
 def tonality(df: DataFrame, keys: list[str], samples: str, rate: int = 16_000, low: float = 300, high: float = 5000) -> DataFrame:
     """Share of a band's spectral energy in its three strongest bins, per window of samples."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -122,12 +179,16 @@ def tonality(df: DataFrame, keys: list[str], samples: str, rate: int = 16_000, l
 
 
 def duplicate_tracks(hits: DataFrame, keys: list[str], time: str, least_share: float = 0.6, contained: float = 0.6, longest: float = 4.0) -> DataFrame:
-    """keys and track of short tracks that lie mostly in boxes of kept tracks of their kind; tracks are asked in order."""
+    """keys and track of short tracks that lie mostly in boxes of kept tracks of their kind; tracks are asked in order.
+
+    hits has track, kind and a box.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", track long"
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        by_time = {t: g[["track", "x1", "y1", "x2", "y2"]].to_numpy(float) for t, g in rows.groupby(time)}
+        rows = rows.assign(_kind=rows["kind"].astype("category").cat.codes)
+        by_time = {t: g[["track", "x1", "y1", "x2", "y2", "_kind"]].to_numpy(float) for t, g in rows.groupby(time)}
         gone: set[int] = set()
         for track, mine in rows.sort_values(["track", time]).groupby("track"):
             if mine[time].max() - mine[time].min() > longest:
@@ -135,7 +196,7 @@ def duplicate_tracks(hits: DataFrame, keys: list[str], time: str, least_share: f
             hidden = 0
             for t, box in zip(mine[time], mine[["x1", "y1", "x2", "y2"]].to_numpy(float), strict=True):
                 others = by_time[t]
-                others = others[(others[:, 0] != track) & ~np.isin(others[:, 0], list(gone))]
+                others = others[(others[:, 0] != track) & (others[:, 5] == mine["_kind"].iloc[0]) & ~np.isin(others[:, 0], list(gone))]
                 w = np.minimum(others[:, 3], box[2]) - np.maximum(others[:, 1], box[0])
                 h = np.minimum(others[:, 4], box[3]) - np.maximum(others[:, 2], box[1])
                 inside = np.clip(w, 0, None) * np.clip(h, 0, None) / max((box[2] - box[0]) * (box[3] - box[1]), 1e-6)

@@ -49,13 +49,15 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bucket: int, start: st
 
 
 def inside_any(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str = "start", end: str = "end") -> DataFrame:
-    """points whose time lies in some span of their key, ends included."""
-    spans = spans.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(start).alias("_start"), F.col(end).alias("_end"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    condition = F.col(time).between(F.col("_start"), F.col("_end"))
-    for s in same:
-        condition = condition & s
-    return points.join(spans, condition, "left_semi")
+    """points whose time lies in some span of their key, ends included.
+
+    A point lies in a span if the greatest end among spans that began by then is not before it: a union and one window per
+    key, without a join.
+    """
+    ends = spans.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_point"), F.col(end).alias("_end"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("_row"))
+    asks = points.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_point"), F.lit(None).cast(ends.schema["_end"].dataType).alias("_end"), F.struct(*points.columns).alias("_row"))
+    w = Window.partitionBy(*keys).orderBy("_t", "_point").rowsBetween(Window.unboundedPreceding, 0)
+    return ends.unionByName(asks).withColumn("_upto", F.max("_end").over(w)).filter("_point = 1 AND _upto >= _t").select("_row.*")
 
 
 def gaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -11,6 +11,7 @@ from tidemark.functions import text as x
 from tidemark.functions import vectors as v
 from tidemark.operators import asof, folds, intervals, rhythm, runs, signal
 from tidemark.plans import questions as ask
+from tidemark.plans import scenes
 from tidemark.sources.tables import observations, table
 from tidemark.streaming import sessions
 
@@ -579,3 +580,7 @@ def agreement(spark, sf_dir):
 def answer_confidence(spark, sf_dir):
     rows = spark.createDataFrame([(1, False, [0.9], None, [1.0], [1.0]), (2, True, [], None, [], []), (3, True, [], None, [1.0], []), (4, True, [0.8, 0.9], None, [1.0], [1.0, 2.0]), (5, True, [0.6], None, [5.0], [1.0]), (6, True, [0.9], 0.7, [1.0], [1.04])], "id int, found boolean, cited array<double>, reid double, times array<double>, marks array<double>")
     return rows.select("id", ask.confidence(F.col("found"), F.col("cited"), F.col("reid"), F.col("times"), F.col("marks")).alias("confidence"))
+
+
+QUERIES |= scenes.QUERIES
+ORACLES |= scenes.ORACLES

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import geometry as g
 from tidemark.functions.text import span_text
-from tidemark.operators import folds, intervals, rhythm, runs, signal
+from tidemark.operators import asof, folds, intervals, rhythm, runs, signal
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,7 @@ class Rules:
 RANKS = {"unexpected_stop": 0, "object_left": 0, "enter_view": 0, "reappear": 1, "zone_enter": 2, "in_zone": 3, "interaction": 4, "stationary": 5, "untouched": 6, "activity_stop": 7, "activity_start": 8, "sudden_change": 9, "sound": 9, "zone_exit": 10, "occluded": 11, "exit_view": 12, "caption": 13}
 COLUMNS = {"video_id": "string", "type": "string", "start": "double", "end": "double", "subject": "string", "kind": "string", "cls": "string", "zone": "string", "other": "string", "details": "string", "confidence": "double", "gap_s": "double"}
 KEYS, ORDER = ["video_id", "gid"], ["t"]
+CAMERA = ("a", "b", "tx", "c", "d", "ty")
 
 
 def _event(df: DataFrame, type_: str | Column, start: str, end: str | None = None, **columns: Column) -> DataFrame:
@@ -53,6 +54,25 @@ def _box(suffix: str = "") -> tuple[Column, ...]:
     return tuple(F.col(f"{c}{suffix}") for c in ("x1", "y1", "x2", "y2"))
 
 
+def with_camera(tracks: DataFrame, series: DataFrame) -> DataFrame:
+    """tracks with cam, the camera's affine map (a, b, tx, c, d, ty) at the first sample at or after their time, else the last.
+
+    Each coefficient is the median of seven samples, the ends repeated. series: video_id, t and cam_a .. cam_ty.
+    """
+    smooth = series.select("video_id", "t", F.struct(*(signal.rolling_median(f"cam_{c}", ["video_id"], ["t"]).alias(c) for c in CAMERA)).alias("cam"))
+    found = asof.asof(tracks, smooth, ["video_id"], "t", ["cam"], forward=True, clamp=True)
+    return found.withColumnRenamed("found_cam", "cam").drop("at")
+
+
+def _in_scene(x: Column, y: Column, tracks: DataFrame) -> tuple[Column, Column]:
+    """Pixels of a frame as pixels of the frame that zones were drawn in, where the tracks have a camera."""
+    if "cam" not in tracks.columns:
+        return x, y
+    m = tuple(F.coalesce(F.col(f"cam.{c}"), F.lit(1.0 if c in ("a", "d") else 0.0)) for c in CAMERA)
+    rx, ry = g.to_reference(x / F.col("width"), y / F.col("height"), m)
+    return rx * F.col("width"), ry * F.col("height")
+
+
 def visibility(tracks: DataFrame, rules: Rules) -> DataFrame:
     """enter_view, reappear, occluded and exit_view. tracks has width, height, duration and step of its video."""
     marked = runs.with_segment(tracks, KEYS, ORDER, "t", rules.segment_gap)
@@ -80,6 +100,9 @@ def visibility(tracks: DataFrame, rules: Rules) -> DataFrame:
 def zone_visits(tracks: DataFrame, rules: Rules) -> DataFrame:
     """video_id, gid, kind, cls, zone, start, end and confidence of each visit to an area zone."""
     ax, ay = g.anchor(F.col("kind"), *_box(), F.col("width"), F.col("height"))
+    sx, sy = _in_scene(ax * F.col("width"), ay * F.col("height"), tracks)
+    if "cam" in tracks.columns:
+        ax, ay = sx / F.col("width"), sy / F.col("height")
     marked = runs.with_segment(tracks, KEYS, ORDER, "t", rules.segment_gap).withColumns({"ax": ax, "ay": ay})
     areas = [z for z in rules.zones if z.kind == "area"]
     tests = F.array(*(F.struct(F.lit(z.name).alias("zone"), g.in_polygon(F.col("ax"), F.col("ay"), list(z.points)).alias("inside")) for z in areas))
@@ -93,6 +116,7 @@ def zone_visits(tracks: DataFrame, rules: Rules) -> DataFrame:
 
 
 def zone_events(visits: DataFrame) -> DataFrame:
+    """zone_enter, in_zone and zone_exit; visits may have the duration of their video."""
     said = lambda verb: F.concat_ws(" ", "gid", F.lit(verb), "zone")
     shared = {"subject": F.col("gid"), "zone": F.col("zone"), "confidence": F.col("confidence")}
     spent = F.concat(said("inside"), F.format_string(" for %.1fs", F.col("end") - F.col("start")))
@@ -104,12 +128,11 @@ def zone_events(visits: DataFrame) -> DataFrame:
 
 
 def stays(tracks: DataFrame, rules: Rules) -> DataFrame:
-    """stationary: a fold per subject and segment; the tolerance is a share of the segment's median height."""
+    """stationary: a fold per subject and segment, in scene coordinates; the tolerance is a share of the height ahead."""
     marked = runs.with_segment(tracks, KEYS, ORDER, "t", rules.segment_gap)
-    tall = F.percentile(F.col("y2") - F.col("y1"), F.lit(0.5)).over(Window.partitionBy(*KEYS, "seg"))
-    scale = rules.stay_tolerance * F.greatest(tall, F.lit(8.0))
-    scaled = marked.withColumn("_scale", scale).withColumns({"_x": (F.col("x1") + F.col("x2")) / 2 / F.col("_scale"), "_y": (F.col("y1") + F.col("y2")) / 2 / F.col("_scale")})
-    found = folds.anchored_stays(scaled, [*KEYS, "seg"], "t", "_x", "_y", 1.0, rules.stay_min)
+    sx, sy = _in_scene((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, tracks)
+    placed = marked.withColumns({"_x": sx, "_y": sy, "_tall": F.col("y2") - F.col("y1")})
+    found = folds.anchored_stays(placed, [*KEYS, "seg"], "t", "_x", "_y", rules.stay_tolerance, rules.stay_min, "_tall")
     about = tracks.groupBy(*KEYS).agg(F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.avg("conf").alias("confidence"))
     rows = found.join(about, KEYS)
     return _event(rows, "stationary", "t0", "t1", subject=F.col("gid"), confidence=F.col("confidence"), details=F.format_string("%s does not move for %.1fs", F.col("gid"), F.col("t1") - F.col("t0")))
@@ -123,8 +146,10 @@ def interactions(tracks: DataFrame, rules: Rules) -> DataFrame:
     touching = things.join(people, ["video_id", "_sample"]).filter(g.touch_share(_box(), _box("_p"), rules.touch_margin) >= rules.touch_share)
     keys = ["video_id", "gid", "person"]
     marked = runs.with_segment(touching, keys, ["t"], "t", rules.touch_gap)
-    spans = marked.groupBy(*keys, "seg").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.avg("conf").alias("confidence"), F.first("cls").alias("thing")).filter(F.col("end") - F.col("start") >= rules.touch_min)
-    told = F.format_string("%s next to %s (%s) for %.1fs", F.col("person"), F.col("gid"), F.col("thing"), F.col("end") - F.col("start"))
+    marked = marked.withColumn("_sure", F.avg("conf").over(Window.partitionBy(*keys)))
+    spans = marked.groupBy(*keys, "seg").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.first("_sure").alias("confidence"), F.first("cls").alias("thing"), F.first("kind").alias("thing_kind")).filter(F.col("end") - F.col("start") >= rules.touch_min)
+    verb = F.when(F.col("thing_kind") == "vehicle", "next to").otherwise("touches / is next to")
+    told = F.format_string("%s %s %s (%s) for %.1fs", F.col("person"), verb, F.col("gid"), F.col("thing"), F.col("end") - F.col("start"))
     return _event(spans, "interaction", "start", "end", subject=F.col("person"), kind=F.lit("person"), cls=F.lit("person"), other=F.col("gid"), confidence=F.col("confidence"), details=told)
 
 
@@ -146,7 +171,8 @@ def left_objects(tracks: DataFrame, log: DataFrame, reach: float = 0.35) -> Data
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     at = bags.withColumns({"cx": cx, "cy": cy}).withColumns({"cx0": F.first("cx").over(w), "cy0": F.first("cy").over(w), "tall": F.first(F.col("y2") - F.col("y1")).over(w)})
     early = F.col("t") <= F.col("at0") + 3.0
-    off = g.distance(F.col("cx"), F.col("cy"), F.col("cx0"), F.col("cy0"))
+    at = at.withColumns(dict(zip(("sx", "sy"), _in_scene(F.col("cx"), F.col("cy"), tracks), strict=True))).withColumns({"sx0": F.first("sx").over(w), "sy0": F.first("sy").over(w)})
+    off = g.distance(F.col("sx"), F.col("sy"), F.col("sx0"), F.col("sy0"))
     still = at.groupBy(*KEYS, "at0", "kind", "cls", "cx0", "cy0", "tall", "width", "height").agg(F.count(F.when(early, 1)).alias("n"), F.max(F.when(early, off)).alias("drift"), F.countDistinct("t").alias("samples"))
     still = still.filter((F.col("n") >= 5) & (F.col("drift") <= 0.3 * F.greatest("tall", F.lit(8.0))))
     sample = lambda df: df.withColumn("_sample", F.rint(F.col("t") / F.col("step")).cast("long"))
@@ -155,8 +181,8 @@ def left_objects(tracks: DataFrame, log: DataFrame, reach: float = 0.35) -> Data
     inside = (F.col("cx") > F.col("x1_p")) & (F.col("cx") < F.col("x2_p")) & (F.col("cy") > F.col("y1_p")) & (F.col("cy") < F.col("y2_p"))
     held = sample(at).join(boxes, ["video_id", "_sample"]).filter(inside).groupBy(*KEYS).agg(F.countDistinct("t").alias("held"))
     free = still.join(held, KEYS, "left").filter(F.coalesce("held", F.lit(0)) < 0.5 * F.col("samples"))
-    feet = people.select("video_id", F.col("gid").alias("person"), F.col("t").alias("tp"), ((F.col("x1") + F.col("x2")) / 2).alias("px"), F.col("y2").alias("py"))
-    near = free.join(feet, "video_id").filter((F.col("tp") >= F.col("at0") - 4.0) & (F.col("tp") <= F.col("at0") + 1.0))
+    feet = people.select("video_id", F.col("gid").alias("person"), F.col("t"), ((F.col("x1") + F.col("x2")) / 2).alias("px"), F.col("y2").alias("py"))
+    near = asof.band(free.withColumn("t", F.col("at0")), feet, ["video_id"], "t", 4, 1, ["person", "px", "py"]).withColumnsRenamed({"at": "tp", "found_person": "person", "found_px": "px", "found_py": "py"})
     far = g.distance(F.col("px"), F.col("py"), F.col("cx0"), F.col("cy0")) / F.greatest("width", "height")
     best = near.withColumn("far", far).groupBy(*KEYS, "at0", "kind", "cls").agg(F.min(F.struct("far", "tp", "person")).alias("b")).filter(F.col("b.far") < reach)
     return _event(best, "object_left", "at0", subject=F.col("gid"), other=F.col("b.person"), confidence=F.least(F.lit(0.95), 1 - F.col("b.far")), details=F.format_string("%s (%s) left by %s", F.col("gid"), F.col("cls"), F.col("b.person")))
@@ -182,13 +208,19 @@ def activity(energy: DataFrame, rules: Rules, least_spread: float = 0.6) -> Data
     return stop.unionByName(resumed).unionByName(odd)
 
 
-def sudden_changes(series: DataFrame, merge_gap: float = 1.5) -> DataFrame:
+# Robust z and absolute change that a sudden change has to pass, and what it is called.
+CHANGES = {"motion": (8.0, 2.5), "_flash": (8.0, 6.0), "redness": (6.0, 4.0)}
+CHANGE_LABELS = {"motion": "sudden burst of motion", "_flash": "sudden brightness change", "redness": "red light / flashing"}
+
+
+def sudden_changes(series: DataFrame, merge_gap: float = 1.5, limits: dict[str, tuple[float, float]] = CHANGES) -> DataFrame:
     """sudden_change from series (video_id, t, motion, brightness, redness, camera_speed)."""
     key, w = ["video_id"], Window.partitionBy("video_id")
     moving = series.withColumn("_moves", F.coalesce(F.col("camera_speed") > 0.004, F.lit(False)))
     rows = moving.withColumns({"_moving": runs.dilate("_moves", key, ["t"]), "_end": F.max("t").over(w), "_flash": F.abs(signal.difference("brightness", key, ["t"]))})
     parts = []
-    for column, label, z_min, least in (("motion", "sudden burst of motion", 8.0, 2.5), ("_flash", "sudden brightness change", 8.0, 6.0), ("redness", "red light / flashing", 6.0, 4.0)):
+    for column, (z_min, least) in limits.items():
+        label = CHANGE_LABELS[column]
         centred = rows.withColumn("_d", F.col(column) - (F.percentile(column, F.lit(0.5)).over(w) if column != "_flash" else F.lit(0.0)))
         med = centred.withColumn("_m", F.percentile("_d", F.lit(0.5)).over(w))
         mad = med.withColumn("_mad", F.percentile(F.abs(F.col("_d") - F.col("_m")), F.lit(0.5)).over(w))
@@ -235,8 +267,10 @@ def numbered(log: DataFrame) -> DataFrame:
 
 
 def build(tracks: DataFrame, meta: DataFrame, rules: Rules, series: DataFrame | None = None, energy: DataFrame | None = None, audio: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
-    """The whole log. meta: video_id, width, height, duration, step."""
+    """The whole log. meta: video_id, width, height, duration, step. A series with cam_a .. cam_ty corrects for the camera."""
     rows = tracks.join(meta, "video_id")
+    if series is not None and "cam_a" in series.columns:
+        rows = with_camera(rows, series)
     seen, still, touched = visibility(rows, rules), stays(rows, rules), interactions(rows, rules)
     log = seen.unionByName(still).unionByName(touched)
     if any(z.kind == "area" for z in rules.zones):

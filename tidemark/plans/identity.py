@@ -29,6 +29,16 @@ def keep_solid(tracks: DataFrame, least_seconds: float = 0.6, least_hits: int =
     return tracks.filter(~((long < least_seconds) & (F.col("n") < least_hits)) & ~((long < 3.0) & (F.col("conf") < 0.40)))
 
 
+def solid_hits(hits: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Track summaries and their hits without flicker, short weak tracks, duplicates and ghosts."""
+    tracks = keep_solid(summarise(hits, keys))
+    named = hits.join(tracks.select(*keys, "track", "kind"), [*keys, "track"])
+    gone = folds.duplicate_tracks(named.select(*keys, "track", "kind", "t", *BOX), keys, "t")
+    tracks, named = (x.join(gone, [*keys, "track"], "left_anti") for x in (tracks, named))
+    hidden = ghosts(named.drop("kind"), tracks, keys)
+    return tracks.join(hidden, [*keys, "track"], "left_anti"), named.drop("kind").join(hidden, [*keys, "track"], "left_anti")
+
+
 def ghosts(hits: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
     """keys and track of weak people inside vehicles and of static things inside people, most of the time."""
     about = hits.drop("cls", "conf").join(tracks.select(*keys, "track", "kind", F.col("conf").alias("mean_conf")), [*keys, "track"])
@@ -60,11 +70,39 @@ def candidates(tracks: DataFrame, looks: DataFrame, keys: list[str], width: floa
     return pairs.select(*keys, "kind", F.col("track_a").alias("a"), F.col("track_b").alias("b"), score.alias("score"), "gap")
 
 
-def identities(tracks: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, track, gid, chain and score: chains named by kind in the order of their first start."""
-    chains = folds.assign_chains(pairs, tracks, [*keys, "kind"])
+def identities(tracks: DataFrame, pairs: DataFrame, keys: list[str], verdicts: DataFrame | None = None) -> DataFrame:
+    """keys, track, gid, chain and score: chains named by kind in the order of their first start.
+
+    verdicts: keys, kind, a, b, same and sure of pairs that someone has looked at; see assign_chains.
+    """
+    chains = folds.assign_chains(pairs, tracks, [*keys, "kind"], verdicts=verdicts)
     starts = tracks.select(*keys, "track", "start")
     heads = chains.filter("track = chain").join(starts, [*keys, "track"]).withColumn("prefix", prefix_of(F.col("kind")))
     number = F.row_number().over(Window.partitionBy(*keys, "prefix").orderBy("start", "track"))
     named = heads.select(*keys, F.col("track").alias("chain"), F.concat("prefix", number.cast("string")).alias("gid"))
-    return chains.join(named, [*keys, "chain"])
+    return chains.join(named, [*keys, "chain"]).join(starts, [*keys, "track"])
+
+
+def identity_table(named: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per identity: gid, kind, cls, first_seen, last_seen, tracklets, reid_links, reid_score and thumb_track.
+
+    named: from identities; tracks: from summarise. cls is the most common one of its tracks, the least on ties.
+    """
+    rows = named.select(*keys, "track", "gid", "score").join(tracks, [*keys, "track"])
+    counts = rows.groupBy(*keys, "gid", "cls").agg(F.count(F.lit(1)).alias("c"))
+    mode = counts.groupBy(*keys, "gid").agg(F.min(F.struct((-F.col("c")).alias("o"), "cls")).alias("m"))
+    found = rows.groupBy(*keys, "gid").agg(
+        F.first("kind").alias("kind"), F.min("start").alias("first_seen"), F.max("end").alias("last_seen"),
+        F.transform(F.sort_array(F.collect_list(F.struct("start", "track"))), lambda t: t["track"]).alias("tracklets"),
+        F.count("score").alias("reid_links"), F.round(F.coalesce(F.min(F.round("score", 3)), F.lit(1.0)), 3).alias("reid_score"),
+        F.max_by("track", F.struct(F.col("n") * F.col("conf"), -F.col("track"))).alias("thumb_track"),
+    )
+    return found.join(mode, [*keys, "gid"]).withColumn("cls", F.col("m.cls")).drop("m")
+
+
+def link_table(named: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, from_track, to_track, score, gap and gid of each link that was made."""
+    order = Window.partitionBy(*keys, "chain").orderBy("start", "track")
+    after = named.withColumn("_from", F.lag("track").over(order)).filter("score IS NOT NULL AND _from IS NOT NULL")
+    gaps = pairs.select(*keys, F.col("a").alias("_from"), F.col("b").alias("track"), "gap")
+    return after.join(gaps, [*keys, "_from", "track"], "left").select(*keys, F.col("_from").alias("from_track"), F.col("track").alias("to_track"), F.round("score", 3).alias("score"), F.round("gap", 2).alias("gap"), "gid")

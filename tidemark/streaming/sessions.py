@@ -1,4 +1,4 @@
-"""Streaming forms: sessions with late data, and running stays as a stateful operator's batch twin."""
+"""Streaming forms: sessions and hourly counts with late data."""
 
 from __future__ import annotations
 
