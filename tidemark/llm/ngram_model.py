@@ -17,7 +17,6 @@ Spark's own recovery of lost tasks expects it.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -32,9 +31,10 @@ from tidemark.llm.common import write_table
 
 ORDER = 5
 FOLDS = 2
-PAD, END = "\U0010fffe", "\U0010ffff"
+#: Before a text, after it, and in place of U+0000, which ends a string of numpy's.
+PAD, END, NUL = "\U0010fffe", "\U0010ffff", "\U0010fffd"
 #: Characters of a block and of a packed part of it, and those worked on at a time; texts are never cut, all bound memory.
-BLOCK_CHARS, PACK_CHARS, PIECE_CHARS = 1 << 27, 1 << 22, 1 << 20
+BLOCK_CHARS, PACK_CHARS, PIECE_CHARS = 1 << 27, 1 << 22, 1 << 19
 #: n-grams that a worker holds before it hands them on, and codes that get a dense table.
 HELD_NGRAMS, DENSE = 1 << 21, 1 << 23
 #: Rows that are Python strings at a time.
@@ -53,7 +53,7 @@ def _pieces(texts: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
     """Parts (number of the text, padded text) of about PIECE_CHARS together; a long text comes in overlapping parts."""
     held, size = [], 0
     for i, text in enumerate(texts):
-        padded = PAD * (ORDER - 1) + text + END
+        padded = PAD * (ORDER - 1) + text.replace("\0", NUL) + END
         for at in range(0, len(text) + 1, PIECE_CHARS):
             held.append((i, padded[at : at + PIECE_CHARS + ORDER - 1]))
             size += len(held[-1][1])
@@ -77,10 +77,10 @@ def _numbered(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return place[codes], found
 
 
-def ngrams(parts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, list[str]]]]:
+def ngrams(parts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Where each predicted character stands in the joined parts; per order, each position's n-gram number and the n-grams.
 
-    The numbers of order k begin at position k - 1.
+    The numbers of order k begin at position k - 1. An n-gram is a row of ORDER code points, zeros after the last.
     """
     points = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32)
     lengths = np.array([len(p) for p in parts])
@@ -89,16 +89,67 @@ def ngrams(parts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, list[st
     for i in range(ORDER - 1):
         predicted[starts + i] = False
     chars, alphabet = _numbered(points, 0x110000)
-    letters = list(map(chr, alphabet.tolist()))
-    ids, names, out = chars, letters, [(chars, letters)]
-    for _ in range(ORDER - 1):
-        ids, codes = _numbered(ids[:-1].astype(np.int64) * len(letters) + chars[len(points) - len(ids) + 1 :], len(names) * len(letters))
-        before, last = np.divmod(codes, len(letters))
-        names = [names[a] + letters[b] for a, b in zip(before.tolist(), last.tolist(), strict=True)]
-        out.append((ids, names))
+    grams = np.zeros((len(alphabet), ORDER), np.uint32)
+    grams[:, 0] = alphabet
+    ids, out = chars, [(chars, grams)]
+    for k in range(1, ORDER):
+        ids, codes = _numbered(ids[:-1].astype(np.int64) * len(alphabet) + chars[k:], len(grams) * len(alphabet))
+        before, last = np.divmod(codes, len(alphabet))
+        grams = grams[before]
+        grams[:, k] = alphabet[last]
+        out.append((ids, grams))
     return np.flatnonzero(predicted), out
 
 
+def _hash(grams: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(grams), np.uint64)
+    for k in range(ORDER):
+        h = (h + grams[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _names(grams: np.ndarray) -> list[str]:
+    return np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel().tolist()
+
+
+def _grams(names: list[str]) -> np.ndarray:
+    return np.array(names, f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
+
+
+class _Held:
+    """Different n-grams, told apart by 64-bit hashes within one worker, with their counts if they have any."""
+
+    def __init__(self) -> None:
+        self._parts, self._size, self._least = [], 0, 1 << 17
+
+    def add(self, grams: np.ndarray, n: np.ndarray | None = None) -> None:
+        self._parts.append((_hash(grams), grams) if n is None else (_hash(grams), grams, n))
+        self._size += len(grams)
+        if self._size > 1.5 * self._least:
+            self._least = max(self._least, len(self.merged()[0]))
+
+    def merged(self) -> list[np.ndarray]:
+        """The n-grams, and their counts."""
+        if len(self._parts) > 1:
+            hashes = np.concatenate([x[0] for x in self._parts])
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            columns = [np.concatenate([x[i] for x in self._parts]) for i in range(1, len(self._parts[0]))]
+            self._parts = []
+            self._parts = [(hashes[starts], columns[0][order[starts]], *(np.add.reduceat(n[order], starts) for n in columns[1:]))]
+            self._size = len(starts)
+        return list(self._parts[0][1:])
+
+    @staticmethod
+    def full(held: dict[int, _Held]) -> bool:
+        """Whether all together have more than HELD_NGRAMS different ones."""
+        if sum(x._size for x in held.values()) < 2 * HELD_NGRAMS:
+            return False
+        return sum(len(x.merged()[0]) for x in held.values()) >= HELD_NGRAMS
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, len(b), ROWS):
@@ -114,24 +165,26 @@ def _by_key(columns: list[list]) -> dict[tuple, list[int]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(mk, text) to (mk, gram, n) of the highest order."""
-    held: dict[int, Counter] = {}
+    held: dict[int, _Held] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         for mk, found in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([mk] * len(found), pa.int32()), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["mk", "gram", "n"])
+            grams, n = found.merged()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), mk, np.int32)), pa.array(_names(grams)), pa.array(n)], ["mk", "gram", "n"])
         held.clear()
 
     for b in _slices(batches):
         keys, texts = (c.to_pylist() for c in b.columns)
         for (mk,), rows in _by_key([keys]).items():
+            mine = held.setdefault(mk, _Held())
             for parts in _pieces(texts[i] for i in rows):
                 at, orders = ngrams([p for _, p in parts])
-                ids, names = orders[-1]
-                n = np.bincount(ids[at - ORDER + 1], minlength=len(names))
+                ids, grams = orders[-1]
+                n = np.bincount(ids[at - ORDER + 1], minlength=len(grams))
                 some = np.flatnonzero(n)
-                held.setdefault(mk, Counter()).update(dict(zip((names[i] for i in some.tolist()), n[some].tolist(), strict=True)))
-                if sum(map(len, held.values())) >= HELD_NGRAMS:
-                    yield from flush()
+                mine.add(grams[some], n[some])
+        if _Held.full(held):
+            yield from flush()
     yield from flush()
 
 
@@ -180,8 +233,9 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, block = {}, TaskContext.get().partitionId()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for key, grams in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int32()), pa.array([key] * len(grams), pa.int32()), pa.array(list(grams))], ["block", "key", "gram"])
+        for key, found in held.items():
+            grams = found.merged()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block, np.int32)), pa.array(np.full(len(grams), key, np.int32)), pa.array(_names(grams))], ["block", "key", "gram"])
         held.clear()
 
     for b in _slices(batches):
@@ -189,13 +243,12 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key,), rows in _by_key([keys]).items():
             for parts in _pieces(texts[i] for i in rows if texts[i]):
                 at, orders = ngrams([p for _, p in parts])
-                mine = held.setdefault(key, set())
-                for k, (ids, names) in enumerate(orders):
-                    used = np.zeros(len(names), bool)
+                for k, (ids, grams) in enumerate(orders):
+                    used = np.zeros(len(grams), bool)
                     used[ids[at - k]] = True
-                    mine.update(names[i] for i in np.flatnonzero(used).tolist())
-                if sum(map(len, held.values())) >= HELD_NGRAMS:
-                    yield from flush()
+                    held.setdefault(key, _Held()).add(grams[used])
+        if _Held.full(held):
+            yield from flush()
     yield from flush()
 
 
@@ -223,29 +276,35 @@ def _summed(told: dict[tuple[int, int], tuple[int, float, float]]):
     """told: of (key, fold) the number of its value column, the log of the pads' weights and of an unknown character."""
 
     def run(packed: pa.Table, found: pa.Table) -> pa.Table:
-        place: dict[int, dict[str, int]] = {}
-        at = 0
-        for b in found.select(["key", "gram"]).to_batches(1 << 16):
-            for key, gram in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                place.setdefault(key, {})[gram] = at
-                at += 1
-        values = [np.append(found.column(f"value{f}").to_numpy(), np.float32(0)) for f in range(FOLDS)]
+        keys = found.column("key").to_numpy()
+        hashes = np.concatenate([np.empty(0, np.uint64), *(_hash(_grams(b.column(0).to_pylist())) for b in found.select(["gram"]).to_batches(1 << 16))])
+        values = np.stack([found.column(f"value{f}").to_numpy() for f in range(FOLDS)], axis=1)
+        tables = {}
+        for key in np.unique(keys).tolist():
+            mine = np.flatnonzero(keys == key)
+            mine = mine[np.argsort(hashes[mine])]
+            tables[key] = hashes[mine], np.append(values[mine], np.zeros((1, FOLDS), values.dtype), axis=0)
+        del keys, hashes, values
         out = []
         for blob in packed.column("packed"):
             rows = pa.ipc.open_stream(blob.as_buffer()).read_all()
-            texts, result = rows.column("text").to_pylist(), np.full(len(rows), np.nan)
-            for (key, at_fold), mine in _by_key([rows.column("key").to_pylist(), rows.column("fold").to_pylist()]).items():
-                if (key, at_fold) not in told:
+            texts, result, folds = rows.column("text").to_pylist(), np.full(len(rows), np.nan), rows.column("fold").to_numpy()
+            for (key,), mine in _by_key([rows.column("key").to_pylist()]).items():
+                mine = np.array([i for i in mine if texts[i]], int)
+                if (key, 0) not in told or not len(mine):
                     continue
-                mine = [i for i in mine if texts[i]]
-                column, pads, unknown = told[key, at_fold]
-                known, logs = place.get(key, {}), np.full(len(mine), pads)
+                columns, pads, unknown = (np.array([told[key, f][i] for f in range(FOLDS)])[folds[mine]] for i in range(3))
+                known, value = tables.get(key, (np.empty(0, np.uint64), np.zeros((1, FOLDS))))
+                logs, value = pads + 0.0, value.ravel()
                 for parts in _pieces(texts[i] for i in mine):
                     at, orders = ngrams([p for _, p in parts])
-                    sums = np.full(len(at), unknown)
-                    for k, (ids, names) in enumerate(orders):
-                        sums += values[column][[known.get(g, -1) for g in names]][ids[at - k]]
                     owner = np.repeat([i for i, _ in parts], [len(p) - ORDER + 1 for _, p in parts])
+                    sums, column = unknown[owner], columns[owner]
+                    for k, (ids, grams) in enumerate(orders):
+                        h = _hash(grams)
+                        place = np.searchsorted(known, h)
+                        place[(place == len(known)) | (np.append(known, np.uint64(0))[place] != h)] = len(known)
+                        sums += value[place[ids[at - k]] * FOLDS + column]
                     logs += np.bincount(owner, sums, len(mine))
                 positions = np.array([len(texts[i]) + 1 for i in mine])
                 result[mine] = np.exp(np.round(-logs / positions, 9))
