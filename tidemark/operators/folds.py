@@ -9,40 +9,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import geometry
+
 
 def _schema(df: DataFrame, keys: list[str], *more: str) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(m.format(**kinds) for m in more)])
 
 
-def anchored_stays(df: DataFrame, keys: list[str], time: str, x: str, y: str, tolerance: float, least: float, height: str | None = None, ahead: int = 11, floor: float = 8.0) -> DataFrame:
+def anchored_stays(df: DataFrame, keys: list[str], time: str, x: str, y: str, tolerance: float, least: float, height: str | None = None, ahead: int = 11, floor: float = 8.0, part: str | None = None) -> DataFrame:
     """Greedy stays: from an anchor row on, as long as rows are within tolerance of the anchor; then the next row is anchor.
 
     keys, t0, t1 and n of stays of at least `least`. With height, the tolerance of an anchor is that share of the median
     height of it and the rows after it, `ahead` together, or of `floor` if that is more. A scan stops at the first row that
-    is too far, so the work is linear in the rows.
+    is too far, so the work is linear in the rows. part: a number that rises with time; stays end where it does, and a key
+    is one fold however many parts it has.
     """
-    schema = _schema(df, keys, f"t0 {{{time}}}", f"t1 {{{time}}}", "n long")
+    schema = _schema(df, [*keys, *([part] if part else [])], f"t0 {{{time}}}", f"t1 {{{time}}}", "n long")
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([time, x, y])
-        t, xs, ys, at, found = rows[time].to_numpy(), rows[x].to_numpy(float), rows[y].to_numpy(float), 0, []
-        tall = rows[height].to_numpy(float) if height else None
-        while at < len(t):
-            reach = tolerance * max(float(np.median(tall[at : at + ahead])), floor) if height else tolerance
-            stop, size = at + 1, 64
-            while stop < len(t):
-                off = np.sqrt((xs[stop : stop + size] - xs[at]) ** 2 + (ys[stop : stop + size] - ys[at]) ** 2) > reach
-                if off.any():
-                    stop += int(off.argmax())
-                    break
-                stop, size = stop + len(off), size * 2
-            if t[stop - 1] - t[at] >= least:
-                found.append((*key, t[at], t[stop - 1], stop - at))
-            at = stop
-        return pd.DataFrame(found, columns=[*keys, "t0", "t1", "n"])
-
-    return df.select(*dict.fromkeys([*keys, time, x, y, *([height] if height else [])])).groupBy(*keys).applyInPandas(fold, schema)
+        rows, found = rows.sort_values([*([part] if part else []), time, x, y]), []
+        t, xs, ys = rows[time].to_numpy(), rows[x].to_numpy(float), rows[y].to_numpy(float)
+        tall, parts = rows[height].to_numpy(float) if height else None, rows[part].to_numpy() if part else np.zeros(len(t), int)
+        ends = [*(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(t)]
+        at = 0
+        for end in ends:
+            while at < end:
+                reach = tolerance * max(float(np.median(tall[at : min(end, at + ahead)])), floor) if height else tolerance
+                stop, size = at + 1, 64
+                while stop < end:
+                    upto = min(end, stop + size)
+                    off = np.sqrt((xs[stop:upto] - xs[at]) ** 2 + (ys[stop:upto] - ys[at]) ** 2) > reach
+                    if off.any():
+                        stop += int(off.argmax())
+                        break
+                    stop, size = upto, size * 2
+                if t[stop - 1] - t[at] >= least:
+                    found.append((*key, *([parts[at]] if part else []), t[at], t[stop - 1], stop - at))
+                at = stop
+        return pd.DataFrame(found, columns=[*keys, *([part] if part else []), "t0", "t1", "n"])
+
+    return df.select(*dict.fromkeys([*keys, time, x, y, *(c for c in (height, part) if c)])).groupBy(*keys).applyInPandas(fold, schema)
 
 
 def assign_chains(candidates: DataFrame, tracks: DataFrame, keys: list[str], accept: float = 0.62, consider: float = 0.50, margin: float = 0.12, verdicts: DataFrame | None = None, doubt: float = 0.40, most_checks: int = 8) -> DataFrame:
@@ -181,28 +188,23 @@ def tonality(df: DataFrame, keys: list[str], samples: str, rate: int = 16_000, l
 def duplicate_tracks(hits: DataFrame, keys: list[str], time: str, least_share: float = 0.6, contained: float = 0.6, longest: float = 4.0) -> DataFrame:
     """keys and track of short tracks that lie mostly in boxes of kept tracks of their kind; tracks are asked in order.
 
-    hits has track, kind and a box.
+    hits has track, kind and a box. Spark joins the samples of short tracks with those around them; only who covers whom,
+    and when, comes to the fold, which asks the tracks of a key one by one, as one that is gone covers nothing any more.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", track long"
+    schema = _schema(hits, keys, "track long")
+    box = ("x1", "y1", "x2", "y2")
+    short = hits.groupBy(*keys, "track").agg((F.max(time) - F.min(time)).alias("_long"), F.count(F.lit(1)).alias("n")).filter(F.col("_long") <= longest).drop("_long")
+    mine = hits.join(short, [*keys, "track"])
+    others = hits.select(*keys, time, "kind", F.col("track").alias("other"), *(F.col(c).alias(f"{c}_o") for c in box))
+    shared = geometry.contained_share(tuple(F.col(c) for c in box), tuple(F.col(f"{c}_o") for c in box))
+    covered = mine.join(others, [*keys, time, "kind"]).filter((F.col("track") != F.col("other")) & (shared > contained)).select(*keys, "track", "n", F.col(time).alias("_t"), "other")
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_kind=rows["kind"].astype("category").cat.codes)
-        by_time = {t: g[["track", "x1", "y1", "x2", "y2", "_kind"]].to_numpy(float) for t, g in rows.groupby(time)}
         gone: set[int] = set()
-        for track, mine in rows.sort_values(["track", time]).groupby("track"):
-            if mine[time].max() - mine[time].min() > longest:
-                continue
-            hidden = 0
-            for t, box in zip(mine[time], mine[["x1", "y1", "x2", "y2"]].to_numpy(float), strict=True):
-                others = by_time[t]
-                others = others[(others[:, 0] != track) & (others[:, 5] == mine["_kind"].iloc[0]) & ~np.isin(others[:, 0], list(gone))]
-                w = np.minimum(others[:, 3], box[2]) - np.maximum(others[:, 1], box[0])
-                h = np.minimum(others[:, 4], box[3]) - np.maximum(others[:, 2], box[1])
-                inside = np.clip(w, 0, None) * np.clip(h, 0, None) / max((box[2] - box[0]) * (box[3] - box[1]), 1e-6)
-                hidden += bool((inside > contained).any())
-            if hidden >= least_share * len(mine):
+        for track, part in rows.groupby("track", sort=True):
+            there = part[~part["other"].isin(gone)] if gone else part
+            if there["_t"].nunique() >= least_share * part["n"].iloc[0]:
                 gone.add(track)
         return pd.DataFrame([(*key, t) for t in sorted(gone)], columns=[*keys, "track"])
 
-    return hits.groupBy(*keys).applyInPandas(fold, schema)
+    return covered.groupBy(*keys).applyInPandas(fold, schema)

@@ -37,8 +37,8 @@ m0 AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY gid ORDER BY s, e ROWS
 m1 AS (SELECT *, sum(o) OVER (PARTITION BY gid ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m0),
 visits AS (SELECT gid, min(s) AS "start", max(e) AS "end" FROM m1 GROUP BY gid, i)"""
 LOG = f"""{OBS}, log0 AS (SELECT CAST(gid % 10 AS VARCHAR) AS video_id, CASE cls WHEN 'view' THEN 'zone_enter' WHEN 'click' THEN 'in_zone' WHEN 'signup' THEN 'enter_view' WHEN 'error' THEN 'activity_stop' ELSE CASE k % 5 WHEN 0 THEN 'sound' WHEN 1 THEN 'reappear' WHEN 2 THEN 'stationary' WHEN 3 THEN 'untouched' ELSE 'object_left' END END AS type,
-(us - 1704067200000000) AS us, CAST(floor(v * 1000) AS BIGINT) AS ms, (CASE WHEN gid % 3 = 0 THEN 'V' ELSE 'P' END) || CAST(gid AS VARCHAR) AS subject, CASE WHEN gid % 3 = 0 THEN 'vehicle' ELSE 'person' END AS kind, CASE WHEN k % 2 = 0 THEN 'Gate' ELSE 'Yard' END AS zone, CASE WHEN k % 2 = 0 THEN 'alarm-like tone' ELSE 'loud sound' END AS details, k, event_id FROM obs),
-log AS (SELECT *, us / 1000000e0 AS "start", us / 1000000e0 + ms / 1000e0 AS "end" FROM log0)"""
+(us - 1704067200000000) AS us, CAST(floor(v * 1000) AS BIGINT) AS ms, (CASE WHEN gid % 3 = 0 THEN 'V' ELSE 'P' END) || CAST(gid AS VARCHAR) AS subject, CASE WHEN gid % 3 = 0 THEN 'vehicle' ELSE 'person' END AS kind, CASE WHEN k % 2 = 0 THEN 'Gate' ELSE 'Yard' END AS zone, CASE WHEN k % 2 = 0 THEN 'alarm-like tone' ELSE 'loud sound' END AS details, k, event_id, gid FROM obs),
+log AS (SELECT *, us / 1000000e0 AS "start", us / 1000000e0 + ms / 1000e0 AS "end", ms / 1000e0 AS duration, 'E' || CAST(event_id AS VARCHAR) AS id, CASE WHEN k % 9 = 0 THEN '' ELSE 'P' || CAST(gid % 4 AS VARCHAR) END AS other, (32 + k % 32) / 64e0 AS confidence FROM log0)"""
 
 
 def query(sql: str | None = None):
@@ -70,7 +70,8 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.select(
         (F.col("gid") % 10).cast("string").alias("video_id"), type_.alias("type"), (us / 1000000.0).alias("start"), (us / 1000000.0 + ms / 1000.0).alias("end"), us.alias("us"), ms.alias("ms"),
         F.concat(F.when(vehicle, "V").otherwise("P"), F.col("gid").cast("string")).alias("subject"), F.when(vehicle, "vehicle").otherwise("person").alias("kind"), F.lit("").alias("cls"),
-        F.when(k % 2 == 0, "Gate").otherwise("Yard").alias("zone"), F.when(k % 2 == 0, "alarm-like tone").otherwise("loud sound").alias("details"), "k", "event_id",
+        F.when(k % 2 == 0, "Gate").otherwise("Yard").alias("zone"), F.when(k % 2 == 0, "alarm-like tone").otherwise("loud sound").alias("details"), "k", "event_id", (ms / 1000.0).alias("duration"),
+        F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("id"), F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("P"), (F.col("gid") % 4).cast("string"))).alias("other"), ((32 + k % 32) / 64.0).alias("confidence"), (k / 10.0).alias("gap_s"),
     )
 
 
@@ -427,9 +428,15 @@ def duration_parse(spark, sf_dir):
     return rows.select("question", x.duration_seconds(F.col("question")).alias("seconds"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), '(^|[^\\pL\\pN_])(le|the|und|que)s?([^\\pL\\pN_]|$)') AS told FROM documents")
+def _mentioned(words: tuple[str, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '(^|[^\\pL\\pN_]){w}s?([^\\pL\\pN_]|$)') THEN '{w}'" for w in words) + " END"
+
+
+@query(f"SELECT doc_id, {_mentioned((*x.UNSEEN, 'the', 'und', 'que'))} AS told FROM documents")
 def text_refusal(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", x.mentions(F.col("text"), ("le", "the", "und", "que")).isNotNull().alias("told"))
+    """The first of the words that a log can't know about, and of three common ones, in each text."""
+    words = (*x.UNSEEN, "the", "und", "que")
+    return table(spark, sf_dir, "documents").select("doc_id", x.mentions(F.col("text"), words).alias("told"))
 
 
 # ---- equi, semi and anti joins
@@ -525,7 +532,7 @@ def q_entered_before_vehicle(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT {ROW} FROM log WHERE type = 'stationary' AND kind = 'person' AND ms > 20500")
 def q_stood_still(spark, sf_dir):
-    return ask.stood_still(_log(spark, sf_dir).withColumn("end", F.col("start") + F.col("ms") / 1000.0).filter("abs(ms - 20500) > 0"), 20.5).select("video_id", "event_id")
+    return ask.stood_still(_log(spark, sf_dir), 20.5).select("video_id", "event_id")
 
 
 @query(f"WITH {LOG} SELECT {ROW}, subject FROM log WHERE type = 'object_left'")
@@ -535,12 +542,12 @@ def q_who_left(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT {ROW} FROM log WHERE type = 'untouched' AND ms > 33300")
 def q_untouched(spark, sf_dir):
-    return ask.untouched(_log(spark, sf_dir).filter("ms <> 33300"), 33.3).select("video_id", "event_id")
+    return ask.untouched(_log(spark, sf_dir), 33.3).select("video_id", "event_id")
 
 
 @query(f"WITH {LOG} SELECT {ROW} FROM log WHERE type = 'reappear' AND kind = 'person' AND k >= 30")
 def q_came_back(spark, sf_dir):
-    return ask.came_back(_log(spark, sf_dir).withColumn("gap_s", F.col("k") / 10.0)).select("video_id", "event_id")
+    return ask.came_back(_log(spark, sf_dir)).select("video_id", "event_id")
 
 
 @query(f"WITH {LOG}, f AS (SELECT video_id, subject, event_id, row_number() OVER (PARTITION BY video_id ORDER BY \"start\", subject) AS r FROM log WHERE type = 'enter_view' AND kind = 'person') SELECT video_id, subject FROM f WHERE r = 2")
@@ -548,38 +555,112 @@ def q_second_person(spark, sf_dir):
     return ask.person_by_ordinal(_log(spark, sf_dir), 2)
 
 
-@query(f"""WITH {LOG}, p AS (SELECT video_id, type, subject, "start", "end" FROM log) SELECT video_id, 1 AS section, subject, "start" FROM p WHERE type = 'object_left' UNION ALL SELECT video_id, 2, subject, "start" FROM p WHERE type = 'in_zone' UNION ALL SELECT video_id, 3, subject, "start" FROM p WHERE type = 'stationary' AND subject LIKE 'P%'
-UNION ALL SELECT video_id, 4, subject, "start" FROM log WHERE type = 'reappear' AND k >= 30 AND subject LIKE 'P%' UNION ALL SELECT video_id, 5, subject, "start" FROM p WHERE type = 'activity_stop' UNION ALL SELECT video_id, 6, subject, "start" FROM log WHERE type = 'sound' AND details LIKE '%alarm%'""")
+@query(f"""WITH {LOG}, p AS (SELECT video_id, type, subject, "start", "end" FROM log) SELECT video_id, 1 AS section, subject, "start", (SELECT max(u.duration) FROM log u WHERE u.type = 'untouched' AND u.video_id = p.video_id AND u.subject = p.subject) AS untouched_s FROM p WHERE type = 'object_left' UNION ALL SELECT video_id, 2, subject, "start", NULL FROM p WHERE type = 'in_zone' UNION ALL SELECT video_id, 3, subject, "start", NULL FROM p WHERE type = 'stationary' AND subject LIKE 'P%'
+UNION ALL SELECT video_id, 4, subject, "start", NULL FROM log WHERE type = 'reappear' AND k >= 30 AND subject LIKE 'P%' UNION ALL SELECT video_id, 5, subject, "start", NULL FROM p WHERE type = 'activity_stop' UNION ALL SELECT video_id, 6, subject, "start", NULL FROM log WHERE type = 'sound' AND details LIKE '%alarm%'""")
 def key_findings(spark, sf_dir):
-    return ask.findings(_log(spark, sf_dir).withColumn("gap_s", F.col("k") / 10.0)).select("video_id", "section", "subject", "start")
+    return ask.findings(_log(spark, sf_dir)).select("video_id", "section", "subject", "start", "untouched_s")
 
 
 @query(f"""WITH {LOG}, s AS (SELECT *, us / 1000000e0 AS t, ms / 1000e0 AS length FROM log WHERE type = 'activity_stop'), a AS (SELECT *, t - lag(t) OVER (PARTITION BY video_id ORDER BY t) AS st FROM s)
 SELECT video_id, round(median(st), 2) AS period, round(median(length), 2) AS usual, count(*) AS events FROM a GROUP BY video_id HAVING count(*) >= 4""")
 def q_normal_cycle(spark, sf_dir):
-    log = _log(spark, sf_dir).withColumn("end", F.col("start") + F.col("ms") / 1000.0)
-    return ask.normal_cycle(log).select("video_id", F.round("period", 2).alias("period"), F.round("usual", 2).alias("usual"), "events")
+    return ask.normal_cycle(_log(spark, sf_dir)).select("video_id", F.round("period", 2).alias("period"), F.round("usual", 2).alias("usual"), "events")
 
 
-GRADES = "(VALUES (1, true, [1.0, 5.0], true, [1.2], true, true), (2, true, [1.0], true, [9.0], true, true), (3, false, CAST([] AS DOUBLE[]), false, CAST([] AS DOUBLE[]), true, true), (4, true, [2.0], true, [2.5], false, true), (5, true, [2.0], false, [2.5], true, true))"
+@query(f"""WITH {OBS} SELECT event_id, CASE WHEN NOT (k % 5 > 0) THEN CASE WHEN k % 3 > 0 THEN 0e0 ELSE 1e0 END WHEN NOT (k % 3 > 0) OR NOT (k % 7 > 0) OR k % 11 = 0 THEN 0e0 WHEN NOT EXISTS (SELECT 1 FROM (SELECT unnest([v + k % 4, v + 3]) AS d) WHERE abs(d - v) > 1.5e0 AND abs(d - v - 2) > 1.5e0) THEN 1e0 ELSE 0.5e0 END AS score FROM obs""")
+def scorer(spark, sf_dir):
+    """R7 and A20 over an answer made of each event."""
+    k, v_ = F.col("k"), F.col("v")
+    return observations(spark, sf_dir).select("event_id", ask.grade(k % 3 > 0, F.array(v_, v_ + 2), k % 5 > 0, F.array(v_ + k % 4, v_ + 3), k % 7 > 0, k % 11 != 0).alias("score"))
 
 
-@query("SELECT * FROM (VALUES (1, 1e0), (2, 0e0), (3, 1e0), (4, 0.5e0), (5, 0e0)) t(id, score)")
-def scorer(spark, sf_dir):
-    rows = spark.createDataFrame([(1, True, [1.0, 5.0], True, [1.2], True, True), (2, True, [1.0], True, [9.0], True, True), (3, False, [], False, [], True, True), (4, True, [2.0], True, [2.5], False, True), (5, True, [2.0], False, [2.5], True, True)], "id int, found boolean, times array<double>, wanted boolean, due array<double>, subjects boolean, value boolean")
-    return rows.select("id", ask.grade(F.col("found"), F.col("times"), F.col("wanted"), F.col("due"), F.col("subjects"), F.col("value")).alias("score"))
+SUBJECTS = "[['P1'], ['P2', 'P1'], ['P1', 'P3', 'P2'], ['V1', 'P1'], CAST([] AS VARCHAR[])]"
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, false)) t(id, agree)")
-def agreement(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "yes", [1.0], "Yes", [2.0]), (2, "yes", [1.0], "no", [1.0]), (3, "10", [1.0], "12", [1.0]), (4, "100", [], "100.4", []), (5, None, [], "3", [4.0]), (6, "3", [1.0], "3", [4.0])], "id int, va string, ta array<double>, vb string, tb array<double>")
-    return rows.select("id", ask.agree(F.col("va"), F.col("ta"), F.col("vb"), F.col("tb")).alias("agree"))
+@query(f"""WITH {OBS}, a AS (SELECT event_id, {SUBJECTS}[k % 5 + 1] AS got, {SUBJECTS}[k // 5 % 5 + 1] AS want FROM obs), b AS (SELECT *, list_filter(got, lambda g: list_contains(list_transform(want, lambda e: e[1]), g[1])) AS alike FROM a)
+SELECT event_id, CASE WHEN len(want) = 0 THEN true WHEN len(want) = 1 THEN len(alike) > 0 AND len(list_filter(alike, lambda g: g <> want[1])) = 0 ELSE list_filter(alike, lambda g: list_contains(want, g))[:len(want)] = want END AS match FROM b""")
+def grade_subjects(spark, sf_dir):
+    """Subjects in order, of the expected kinds alone."""
+    lists = F.array(*(F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in (["P1"], ["P2", "P1"], ["P1", "P3", "P2"], ["V1", "P1"], [])))
+    k = F.col("k")
+    return observations(spark, sf_dir).select("event_id", ask.subjects_match(F.get(lists, k % 5), F.get(lists, F.floor(k / 5).cast("int") % 5)).alias("match"))
 
 
-@query("SELECT * FROM (VALUES (1, 0e0), (2, 0.2e0), (3, 0.35e0), (4, 0.85e0), (5, 0.48e0), (6, 0.7e0)) t(id, confidence)")
+@query(f"""WITH {OBS}, a AS (SELECT event_id, CASE k % 4 WHEN 0 THEN 'yes' WHEN 1 THEN CAST(k AS VARCHAR) WHEN 2 THEN NULL ELSE 'no' END AS va, CASE WHEN k % 3 = 0 THEN CAST([] AS DOUBLE[]) ELSE [v, v + 2] END AS ta, CASE k // 4 % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN CAST(k + k % 3 - 1 AS VARCHAR) ELSE 'NO' END AS vb, CASE WHEN k % 5 = 0 THEN CAST([] AS DOUBLE[]) ELSE [v + k % 4, v + 3.5e0, v + 50] END AS tb FROM obs)
+SELECT event_id, NOT (coalesce(lower(va) IN ('yes', 'no') AND lower(vb) IN ('yes', 'no') AND lower(va) <> lower(vb), false)) AND NOT coalesce(abs(try_cast(va AS DOUBLE) - try_cast(vb AS DOUBLE)) > greatest(0.01e0 * abs(try_cast(vb AS DOUBLE)), 0.5e0), false) AND NOT (try_cast(vb AS DOUBLE) IS NOT NULL AND va IS NULL AND len(tb) > 0 AND len(ta) = 0)
+AND len(list_filter(tb[:2], lambda t: len(list_filter(ta, lambda u: abs(t - u) <= 1.5e0)) = 0)) = 0 AS agree FROM a""")
+def agreement(spark, sf_dir):
+    """R3 over two answers made of each event."""
+    k, v_ = F.col("k"), F.col("v")
+    none = F.array().cast("array<double>")
+    va = F.when(k % 4 == 0, "yes").when(k % 4 == 1, k.cast("string")).when(k % 4 == 3, "no")
+    step = F.floor(k / 4).cast("int") % 4
+    vb = F.when(step == 0, "Yes").when(step == 1, (k + k % 3 - 1).cast("string")).otherwise("NO")
+    ta, tb = F.when(k % 3 == 0, none).otherwise(F.array(v_, v_ + 2)), F.when(k % 5 == 0, none).otherwise(F.array(v_ + k % 4, v_ + 3.5, v_ + 50))
+    rows = observations(spark, sf_dir).select("event_id", va.alias("va"), ta.alias("ta"), vb.alias("vb"), tb.alias("tb"))
+    return rows.select("event_id", ask.agree(F.col("va"), F.col("ta"), F.col("vb"), F.col("tb")).alias("agree"))
+
+
+@query(f"""WITH {OBS}, a AS (SELECT event_id, k % 6 > 0 AS found, CASE WHEN k % 4 = 0 THEN CAST([] AS DOUBLE[]) ELSE [(k % 64) / 64e0, (k * 7 % 64) / 64e0, 1.5e0] END AS cited, CASE WHEN k % 3 = 0 THEN 0.7e0 END AS reid, CASE WHEN k % 5 = 0 THEN CAST([] AS DOUBLE[]) ELSE [k * 1e0, k + 1e0] END AS times, CASE WHEN k % 4 = 0 THEN CAST([] AS DOUBLE[]) ELSE [k + k % 2 * 7e0 + 0.03125e0] END AS marks FROM obs)
+SELECT event_id, CASE WHEN NOT found THEN 0e0 WHEN len(cited) = 0 THEN CASE WHEN len(times) > 0 THEN 0.35e0 ELSE 0.2e0 END ELSE round(least(list_sum(list_transform(cited, lambda x: greatest(0e0, least(1e0, x)))) / len(cited), coalesce(reid, 1e0)) * CASE WHEN len(times) > 0 AND len(list_filter(times, lambda t: len(list_filter(marks, lambda m: round(t, 1) = round(m, 1))) > 0)) = 0 THEN 0.8e0 ELSE 1e0 END, 2) END AS confidence FROM a""")
 def answer_confidence(spark, sf_dir):
-    rows = spark.createDataFrame([(1, False, [0.9], None, [1.0], [1.0]), (2, True, [], None, [], []), (3, True, [], None, [1.0], []), (4, True, [0.8, 0.9], None, [1.0], [1.0, 2.0]), (5, True, [0.6], None, [5.0], [1.0]), (6, True, [0.9], 0.7, [1.0], [1.04])], "id int, found boolean, cited array<double>, reid double, times array<double>, marks array<double>")
-    return rows.select("id", ask.confidence(F.col("found"), F.col("cited"), F.col("reid"), F.col("times"), F.col("marks")).alias("confidence"))
+    """R2 over an answer made of each event."""
+    k, none = F.col("k"), F.array().cast("array<double>")
+    cited = F.when(k % 4 == 0, none).otherwise(F.array(k % 64 / 64.0, k * 7 % 64 / 64.0, F.lit(1.5)))
+    times = F.when(k % 5 == 0, none).otherwise(F.array(k * 1.0, k + 1.0))
+    marks = F.when(k % 4 == 0, none).otherwise(F.array(k + k % 2 * 7.0 + 0.03125))
+    rows = observations(spark, sf_dir).select("event_id", (k % 6 > 0).alias("found"), cited.alias("cited"), F.when(k % 3 == 0, 0.7).alias("reid"), times.alias("times"), marks.alias("marks"))
+    return rows.select("event_id", ask.confidence(F.col("found"), F.col("cited"), F.col("reid"), F.col("times"), F.col("marks")).alias("confidence"))
+
+
+# ---- whole answers: one record per video, arrays told as text
+
+
+def _record(rows: str, found: str = "c.video_id IS NOT NULL", num: str = "NULL", word: str = "NULL", more: str = "", subjects: str = "[subject]") -> str:
+    """The record of questions.finish, from the rows that an answer cites."""
+    return f"""WITH {LOG}, lg AS (SELECT *, k / 10e0 AS gap_s FROM log), v AS (SELECT DISTINCT video_id FROM log){more}, ro AS ({rows}), rk AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY "start", id) AS r FROM ro),
+c AS (SELECT video_id, {num} AS num, {word} AS word, string_agg(CAST(CAST(round("start" * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY r) FILTER (r <= 12) AS ts, string_agg(id, ',' ORDER BY r) FILTER (r <= 30) AS ids FROM rk GROUP BY video_id),
+w0 AS (SELECT video_id, r, unnest({subjects}) AS who, generate_subscripts({subjects}, 1) AS p FROM rk), w1 AS (SELECT video_id, who, min(r * 10 + p) AS a FROM w0 WHERE who <> '' GROUP BY video_id, who QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY a) <= 20), w AS (SELECT video_id, string_agg(who, ',' ORDER BY a) AS whos FROM w1 GROUP BY video_id)
+SELECT v.video_id, CASE WHEN {found} THEN 'answered' ELSE 'not_observed' END AS status, CAST(c.num AS DOUBLE) AS value_num, CAST(c.word AS VARCHAR) AS value_str, coalesce(ts, '') AS times, coalesce(ids, '') AS ids, coalesce(whos, '') AS subjects FROM v LEFT JOIN c USING (video_id) LEFT JOIN w USING (video_id)"""
+
+
+def _told(spark: SparkSession, sf_dir: str, question: str) -> DataFrame:
+    got = ask.answer(_log(spark, sf_dir), question, ["Gate", "Yard"])
+    times = F.array_join(F.transform("timestamps", lambda t: F.round(t * 100).cast("long").cast("string")), ",")
+    return got.select("video_id", "status", "value_num", "value_str", times.alias("times"), F.array_join("event_ids", ",").alias("ids"), F.array_join("subjects", ",").alias("subjects"))
+
+
+SECOND = """, s2 AS (SELECT video_id, subject AS who FROM log WHERE type = 'enter_view' AND kind = 'person' QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY "start", subject) = 2)"""
+FIRST_ALARM = """, al AS (SELECT video_id, "start" AS t0 FROM log WHERE type = 'sound' AND details LIKE '%alarm%' QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY "start", id) = 1)"""
+ANSWERS = {
+    "a_head_count": ("How many different people appear?", _record("SELECT * FROM lg WHERE type = 'enter_view' AND kind = 'person'", found="true", num="count(DISTINCT subject)")),
+    "a_umbrella": ("How many different people came with an umbrella?", _record("SELECT * FROM lg WHERE false", found="false")),
+    "a_unexpected": ("Were there any unexpected stops?", _record("SELECT * FROM lg WHERE type = 'activity_stop'", found="false")),
+    "a_stops": ("How many times did the machine stop?", _record("SELECT * FROM lg WHERE type = 'activity_stop'", found="true", num="count(*)")),
+    "a_alarm": ("When did the alarm go off?", _record("SELECT * FROM lg WHERE type = 'sound' AND details LIKE '%alarm%'")),
+    "a_before_alarm": ("What happened right before the alarm?", _record("""SELECT lg.* REPLACE (CASE WHEN lg.id = al0.id THEN '' ELSE subject END AS subject) FROM lg JOIN (SELECT video_id, id FROM lg WHERE type = 'sound' AND details LIKE '%alarm%' QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY "start", id) = 1) al0 USING (video_id) WHERE lg.id = al0.id OR lg.id = (SELECT p.id FROM lg p JOIN al USING (video_id) WHERE p.video_id = lg.video_id AND p.type IN ('zone_enter', 'sound', 'enter_view', 'reappear', 'activity_stop') AND p."start" < t0 - 0.05e0 AND p."start" >= t0 - 30 ORDER BY p."start" DESC, p.id DESC LIMIT 1)""", more=FIRST_ALARM)),
+    "a_crash": ("Was there a crash?", _record("SELECT * FROM lg WHERE type = 'sound' AND details LIKE '%loud sound%'")),
+    "a_arrival": ("When did the truck arrive?", _record("""SELECT * FROM lg WHERE id IN (SELECT id FROM lg WHERE type = 'enter_view' AND kind = 'vehicle' QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY "start", id) = 1) OR id IN (SELECT s.id FROM lg s JOIN (SELECT video_id, subject FROM lg WHERE type = 'enter_view' AND kind = 'vehicle' QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY "start", id) = 1) a USING (video_id, subject) WHERE s.type = 'stationary' QUALIFY row_number() OVER (PARTITION BY s.video_id ORDER BY s."start", s.id) = 1)""", num="max(duration) FILTER (type = 'stationary')")),
+    "a_order": ("In which order did they enter the Gate?", _record("""SELECT * FROM lg WHERE type = 'zone_enter' AND zone = 'Gate' QUALIFY row_number() OVER (PARTITION BY video_id, subject ORDER BY "start", id) = 1""")),
+    "a_while_stopped": ("Did anyone enter the Gate while the machine was stopped?", _record("""SELECT * FROM hit UNION ALL SELECT * FROM lg WHERE type = 'activity_stop' AND video_id NOT IN (SELECT video_id FROM hit)""", found="true", word="CASE WHEN max(CAST(type = 'zone_enter' AS INTEGER)) = 1 THEN 'yes' ELSE 'no' END", more=""", hit AS (SELECT * FROM lg e WHERE type = 'zone_enter' AND zone = 'Gate' AND EXISTS (SELECT 1 FROM lg s WHERE s.type = 'activity_stop' AND s.video_id = e.video_id AND e."start" BETWEEN s."start" AND s."end"))""")),
+    "a_second_in_yard": ("How long did the second person spend in the Yard?", _record("SELECT lg.* FROM lg LEFT JOIN s2 USING (video_id) WHERE type = 'in_zone' AND zone = 'Yard' AND (who IS NULL OR who = subject)", num="round(sum(ms) / 1000e0, 1)", more=SECOND)),
+    "a_entered": ("Who entered the Gate after the truck arrived?", _record("""SELECT lg.* FROM lg LEFT JOIN (SELECT video_id, min("start") AS t0 FROM log WHERE type = 'enter_view' AND kind = 'vehicle' GROUP BY video_id) a USING (video_id) WHERE type = 'zone_enter' AND zone = 'Gate' AND subject LIKE 'P%' AND (t0 IS NULL OR "start" > t0)""")),
+    "a_stood_still": ("Who stood still for more than 20.5 seconds?", _record("SELECT * FROM lg WHERE type = 'stationary' AND subject LIKE 'P%' AND ms > 20500")),
+    "a_who_left": ("Who left the bag?", _record("SELECT * FROM lg WHERE type = 'object_left'", subjects="[other, subject]")),
+    "a_untouched": ("Which object sat untouched for more than 1 minute?", _record("SELECT * FROM lg WHERE type = 'untouched' AND ms > 60000")),
+    "a_came_back": ("Did anyone come back?", _record("SELECT * FROM lg WHERE type = 'reappear' AND subject LIKE 'P%' AND gap_s >= 3", found="true", word="'yes'").replace("CAST(c.word AS VARCHAR)", "coalesce(c.word, 'no')")),
+}
+
+
+def _answered(question: str):
+    return lambda spark, sf_dir: _told(spark, sf_dir, question)
+
+
+for _name, (_question, _sql) in ANSWERS.items():
+    QUERIES[_name], ORACLES[_name] = _answered(_question), _sql
+
+
+# ---- scenes
 
 
 QUERIES |= scenes.QUERIES

@@ -132,7 +132,7 @@ def stays(tracks: DataFrame, rules: Rules) -> DataFrame:
     marked = runs.with_segment(tracks, KEYS, ORDER, "t", rules.segment_gap)
     sx, sy = _in_scene((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, tracks)
     placed = marked.withColumns({"_x": sx, "_y": sy, "_tall": F.col("y2") - F.col("y1")})
-    found = folds.anchored_stays(placed, [*KEYS, "seg"], "t", "_x", "_y", rules.stay_tolerance, rules.stay_min, "_tall")
+    found = folds.anchored_stays(placed, KEYS, "t", "_x", "_y", rules.stay_tolerance, rules.stay_min, "_tall", part="seg")
     about = tracks.groupBy(*KEYS).agg(F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.avg("conf").alias("confidence"))
     rows = found.join(about, KEYS)
     return _event(rows, "stationary", "t0", "t1", subject=F.col("gid"), confidence=F.col("confidence"), details=F.format_string("%s does not move for %.1fs", F.col("gid"), F.col("t1") - F.col("t0")))
