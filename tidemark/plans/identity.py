@@ -10,6 +10,7 @@ from tidemark.functions import geometry as g
 from tidemark.functions import vectors as v
 from tidemark.functions.text import kind_of, prefix_of
 from tidemark.operators import folds
+from tidemark.sources.tables import cut
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -30,13 +31,16 @@ def keep_solid(tracks: DataFrame, least_seconds: float = 0.6, least_hits: int =
 
 
 def solid_hits(hits: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Track summaries and their hits without flicker, short weak tracks, duplicates and ghosts."""
-    tracks = keep_solid(summarise(hits, keys))
-    named = hits.join(tracks.select(*keys, "track", "kind"), [*keys, "track"])
-    gone = folds.duplicate_tracks(named.select(*keys, "track", "kind", "t", *BOX), keys, "t")
+    """Track summaries and their hits without flicker, short weak tracks, duplicates and ghosts.
+
+    Each step is a written table, which keeps the plans of what follows small.
+    """
+    tracks = cut(keep_solid(summarise(hits, keys)), "tracks")
+    named = cut(hits.join(tracks.select(*keys, "track", "kind"), [*keys, "track"]), "hits")
+    gone = cut(folds.duplicate_tracks(named.select(*keys, "track", "kind", "t", *BOX), keys, "t"), "duplicates")
     tracks, named = (x.join(gone, [*keys, "track"], "left_anti") for x in (tracks, named))
-    hidden = ghosts(named.drop("kind"), tracks, keys)
-    return tracks.join(hidden, [*keys, "track"], "left_anti"), named.drop("kind").join(hidden, [*keys, "track"], "left_anti")
+    hidden = cut(ghosts(named.drop("kind"), tracks, keys), "ghosts")
+    return tuple(x.join(hidden, [*keys, "track"], "left_anti") for x in (tracks, named.drop("kind")))
 
 
 def ghosts(hits: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,7 +79,7 @@ def identities(tracks: DataFrame, pairs: DataFrame, keys: list[str], verdicts: D
 
     verdicts: keys, kind, a, b, same and sure of pairs that someone has looked at; see assign_chains.
     """
-    chains = folds.assign_chains(pairs, tracks, [*keys, "kind"], verdicts=verdicts)
+    chains = cut(folds.assign_chains(pairs, tracks, [*keys, "kind"], verdicts=verdicts), "chains")
     starts = tracks.select(*keys, "track", "start")
     heads = chains.filter("track = chain").join(starts, [*keys, "track"]).withColumn("prefix", prefix_of(F.col("kind")))
     number = F.row_number().over(Window.partitionBy(*keys, "prefix").orderBy("start", "track"))

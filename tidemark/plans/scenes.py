@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import eventlog, identity
 from tidemark.plans.eventlog import Rules, Zone
-from tidemark.sources.tables import observations
+from tidemark.sources.tables import cut, observations
 
 QUERIES, ORACLES = {}, {}
 RULES = Rules(zone_min_dwell=1.25, zones=(Zone("Yard", ((0.4, 0.3), (0.6, 0.3), (0.6, 0.8), (0.4, 0.8))),))
@@ -204,13 +204,12 @@ def _tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def identities(spark, sf_dir):
     """Pieces of two minutes handed over to identities; held against a plain loop in the tests."""
-    # each of these is asked several times
-    solid = identity.solid_hits(_hits(spark, sf_dir).persist(), ["video_id"])[0].persist()
+    solid, _ = identity.solid_hits(_hits(spark, sf_dir), ["video_id"])
+    solid = cut(solid, "solid")
     # a colour that follows from the track's user, as a histogram of four bins that sums to two
     shade = F.floor(F.col("track") / 100) % 5 / 8
     looks = solid.select("video_id", "track", F.array(shade, 1 - shade, F.lit(0.5), F.lit(0.5)).alias("hsv"), F.lit(None).cast("array<double>").alias("cnn"))
-    pairs = identity.candidates(solid, looks, ["video_id"], 1000, 500)
-    named = identity.identities(solid, pairs, ["video_id"]).persist()
+    named = identity.identities(solid, identity.candidates(solid, looks, ["video_id"], 1000, 500), ["video_id"])
     return identity.identity_table(named, solid, ["video_id"]).select("video_id", "gid", "kind", "cls", "first_seen", "last_seen", "tracklets", "reid_links", "reid_score", "thumb_track")
 
 

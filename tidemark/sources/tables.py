@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import html
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: what asks it several times neither runs nor plans it again.
+
+    The folder is spark.checkpoint.dir; in local mode alone, one of our own where that is unset.
+    """
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    path = f"{found.rstrip('/')}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as observations of subjects: gid, us (microseconds), cls, v, k, event_id and a position x, y."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -94,7 +116,8 @@ def sample_rate(seconds):
     return F.when(seconds <= 300, 10).when(seconds <= 900, 6).when(seconds <= 1800, 4).otherwise(2)
 
 
-def html_report(title: str, rows: DataFrame, most: int = 700) -> str:
-    """A page with the first `most` rows in log order; a report is a bounded view by definition."""
-    body = "".join(f"<tr><td>{html.escape(str(r['when']))}</td><td>{html.escape(str(r['type']))}</td><td>{html.escape(str(r['details']))}</td></tr>" for r in rows.orderBy("video_id", "start", "id").limit(most).collect())
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table>{body}</table></body></html>"
+def html_report(title: str, rows: DataFrame, findings: list[str] = ()) -> str:
+    """A page of one video: its findings as a list, then all rows in log order, read from Spark a partition at a time."""
+    cells = (f"<tr><td>{html.escape(str(r['when']))}</td><td>{html.escape(str(r['type']))}</td><td>{html.escape(str(r['details']))}</td></tr>" for r in rows.select("video_id", "start", "id", "when", "type", "details").orderBy("video_id", "start", "id").toLocalIterator())
+    body = "".join(cells)
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ul>{"".join(f"<li>{html.escape(x)}</li>" for x in findings)}</ul><table>{body}</table></body></html>"
