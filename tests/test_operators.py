@@ -138,3 +138,56 @@ def test_vector_queries_score_all_pairs_and_both_sides(spark):
     assert got.keys() == shared.keys() and all(got[k] == pytest.approx(shared[k], abs=2e-6) for k in got)
     ranked = catalog.QUERIES["topk_similar_both_sides"](spark, sf).collect()
     assert sorted((r.a, r.b) for r in ranked) == sorted((a, b) for a, bs in near.items() for _, b in bs)
+
+
+def test_running_median_and_clusters_over_all_hits(spark):
+    import statistics
+
+    rng = random.Random(3)
+    m, seen = folds.RunningMedian(), []
+    for _ in range(200):
+        seen.append(rng.random())
+        assert m.add(seen[-1]) == pytest.approx(statistics.median(seen))
+    boxes = []
+    for t in range(60):
+        boxes.append((1, t, *(v + rng.random() for v in (0.0, 0.0, 10.0, 10.0))))
+        if t % 7 == 0:
+            boxes.append((1, t, 100.0, 100.0, 105.0, 105.0))
+    df = spark.createDataFrame(boxes, "k int, t int, x1 double, y1 double, x2 double, y2 double")
+    got = folds.cluster_boxes(df, ["k"], "t", 0.25, 6, 5, 6).collect()
+    (one,) = got  # the other place is seen too seldom to go on
+    assert (one.first_t, one.last_t, one.n) == (0, 59, 60) and one.x1 == pytest.approx(statistics.median(b[2] for b in boxes if b[2] < 50))
+    hits = df.withColumns({"cls": F.when(F.col("t") < 20, "a").otherwise("b"), "conf": F.lit(0.1)}).filter("x1 < 50").withColumn("t", F.col("t").cast("double"))
+    samples = spark.createDataFrame([(1, float(t), t) for t in range(100)], "k int, t double, frame long")
+    tracks = folds.static_tracks(hits, samples, ["k"]).collect()
+    assert len(tracks) == 60 and {(r.track, r.cls, r.conf) for r in tracks} == {(100_000, "b", 0.45)}
+
+
+def test_chain_ties_and_verdicts(spark):
+    tracks = spark.createDataFrame([(0, t, float(t)) for t in range(5)], "k int, track long, start double")
+    pairs = spark.createDataFrame([(0, 0, 3, 0.7), (0, 1, 3, 0.7), (0, 2, 4, 0.55), (0, 1, 4, 0.5)], "k int, a long, b long, score double")
+    chains = lambda **told: {r.track: r.chain for r in folds.assign_chains(pairs, tracks, ["k"], **told).collect()}
+    assert chains() == {0: 0, 1: 1, 2: 2, 3: 1, 4: 4}  # of equal scores the greatest predecessor
+    sure = lambda same, conf: spark.createDataFrame([(0, 2, 4, same, conf)], "k int, a long, b long, same boolean, sure double")
+    assert chains(verdicts=sure(True, 0.9))[4] == 2 and chains(verdicts=sure(True, 0.5))[4] == 4 and chains(verdicts=sure(False, 0.9))[4] == 4
+    assert chains(verdicts=sure(True, 0.9), most_checks=0)[4] == 4
+
+
+def test_duplicates_are_asked_in_order_and_by_kind(spark):
+    box = lambda i: (0.0 + i, 0.0, 10.0 + i, 10.0)
+    rows = [(0, t, float(f), kind, *box(x)) for t, kind, x, n in ((1, "p", 0, 10), (2, "p", 0.5, 10), (3, "q", 0, 10), (4, "p", 0.2, 60)) for f in range(n)]
+    hits = spark.createDataFrame([(k, t, f / 5, kind, *b) for k, t, f, kind, *b in rows], "k int, track long, t double, kind string, x1 double, y1 double, x2 double, y2 double")
+    assert rows_of(folds.duplicate_tracks(hits, ["k"], "t")) == [(0, 1), (0, 2)]
+    assert rows_of(folds.duplicate_tracks(hits.filter("track < 3"), ["k"], "t")) == [(0, 1)]  # the second one has lost its host
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_points_in_spans_against_a_loop(spark):
+    rng = random.Random(11)
+    spans = [(rng.randint(0, 3), s := rng.randint(0, 200), s + rng.choice([0, 1, 5, 90])) for _ in range(40)]
+    points = [(rng.randint(0, 4), rng.randint(0, 300), i) for i in range(300)]
+    got = intervals.inside_any(spark.createDataFrame(points, "k int, t int, i int"), spark.createDataFrame(spans, "k int, start int, end int"), ["k"], "t")
+    assert got.columns == ["k", "t", "i"] and rows_of(got) == sorted(p for p in points if any(k == p[0] and s <= p[1] <= e for k, s, e in spans))

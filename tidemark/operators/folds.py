@@ -61,7 +61,7 @@ def assign_chains(candidates: DataFrame, tracks: DataFrame, keys: list[str], acc
     a track with a score from `doubt` to accept, at most `most_checks` times a key, in the order of the search.
     Returns keys, track, chain (the first track of its chain) and score of the link to the predecessor (null at a head).
     """
-    schema = _schema(tracks, keys, "track long", "chain long", "score double")
+    schema, asked_for = _schema(tracks, keys, "track long", "chain long", "score double"), verdicts is not None
 
     def fold(key: tuple, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start", "track"])
@@ -70,7 +70,7 @@ def assign_chains(candidates: DataFrame, tracks: DataFrame, keys: list[str], acc
         for b in rows["track"]:
             options = []
             for i, (s, a, same, sure) in enumerate(by.get(b, [])):
-                if i < 2 and a not in used and doubt <= s < accept and checks < most_checks and verdicts is not None:
+                if i < 2 and a not in used and doubt <= s < accept and checks < most_checks and asked_for:
                     checks += 1
                     if sure == sure and sure >= 0.6:
                         s = max(s, accept + 0.01 * sure) if same else min(s, doubt - 0.01)
