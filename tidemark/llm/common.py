@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import ship, table
 
-__all__ = ["fresh_path", "remove_tables", "shared_dir", "table", "whole_text", "width", "write_table"]
+__all__ = ["drop_finished_shuffles", "fresh_path", "remove_tables", "shared_dir", "table", "whole_text", "width", "write_table"]
 
 #: Characters that separate words, as a Java class and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -53,6 +54,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Spark's cleaner removes shuffle files once the driver has collected the plans that made them; this asks it to, where a
+    step is done whose tables are written. Else they stay on the executors' disks for as long as the driver's heap has room."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

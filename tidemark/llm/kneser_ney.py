@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import ngram_model
-from tidemark.llm.common import whole_text, write_table
+from tidemark.llm.common import drop_finished_shuffles, whole_text, write_table
 
 LEAST_TRUSTED = 30
 QUANTILE = 0.99
@@ -58,6 +58,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     keys = F.array(key, F.lit(shared)) if any(s.lang not in own and s.chars for s in sizes) else F.array(key)
     trains = F.explode(F.flatten(F.transform(F.array_distinct(keys), lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.lit(ngram_model.FOLDS - 1)), lambda f: F.when(f != F.col("fold"), k * ngram_model.FOLDS + f)), lambda x: x.isNotNull()))))
     model, told = ngram_model.train(flagged.filter(good).select(trains.alias("mk"), "text").coalesce(ngram_model.blocks(sum(s.trusted for s in sizes))))
+    drop_finished_shuffles(docs.sparkSession)
     scored = ngram_model.perplexity(rows.withColumn("key", key), model, told, ngram_model.blocks(sum(s.chars for s in sizes)))
     return write_table(scored.select("doc_id", "text_hash", "lang", "n_chars", "perplexity"), "perplexity")
 
