@@ -724,3 +724,87 @@ def test_pipeline_stages(spark):
     assert not [d for d in left if labels.get(d) == 0] and len(left) > 100
     packed = corpus_pipeline.STAGES[-1][1](spark, seen, sf)
     assert packed.select("doc_id").distinct().count() == len(left)
+
+
+def test_stages_against_plain_loops(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    awkward = spark.createDataFrame([(None, None, None, None, None), (None, "river stone " * 40, "en", None, 480), (3, "", "en", "src1", 0)], docs.schema)
+    seen, rows = docs.unionByName(awkward).unionByName(docs.limit(4)).withColumn("size", F.lit("mine")).withColumn("_id", F.lit(1)), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = write_table(stage(spark, seen, sf), name)
+        rows.append([(r.doc_id, r.text if "text" in out.columns else None, r.source if "text" in out.columns else None, r) for r in out.collect()])
+        if name != "best_fit_packing":
+            assert out.columns == seen.columns
+        seen = out
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    for _, text, _, _ in rows[1]:
+        w = words(text)
+        found = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        again = {j for i in range(len(w) - 7) if found[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        assert len(w) >= 20 and 100 * len(again) <= 30 * len(w)
+    sets = {}
+    for d, text, _, _ in rows[1]:
+        if d is not None:
+            w = words(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+            sets[d] = set(zip(*(w[i:] for i in range(5)), strict=False))
+    left = {d: d for d in sets}
+
+    def root(d):
+        while left[d] != d:
+            d = left[d]
+        return d
+
+    known = sorted(sets)
+    for i, a in enumerate(known):
+        for b in known[:i]:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and (ra := root(a)) != (rb := root(b)):
+                left[max(ra, rb)] = min(ra, rb)
+    assert {d for d, *_ in rows[2] if d is not None} == {d for d in known if root(d) == d}
+    before, after = Counter(), Counter()
+    for _, text, source, _ in rows[2]:
+        before[source] += len(words(text))
+    for _, text, source, _ in rows[3]:
+        after[source] += len(words(text))
+    goal = mixing.targets(dict(before))
+    longest = max(len(words(t)) for _, t, _, _ in rows[2])
+    assert all(abs(after[s] - goal[s]) <= longest for s in before)
+    pieces = Counter()
+    for _, _, _, r in rows[4]:
+        pieces[r.doc_id] += r.length
+    assert pieces == sum((Counter({d: len(plain_ids(text)) + 1}) for d, text, *_ in rows[3]), Counter())
+
+
+def test_registered_queries_on_their_tables(spark):
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    chats = {r.conv_id: r for r in queries.op6_chat_windows(spark, sf).collect()}
+    said = "</s>[INST] ok [/INST]"
+    assert (chats[-1].n_turns, chats[-1].loss_chars, chats[-1].loss_sha256) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert len(chats) == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count() + 1
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    for query in (queries.op1_token_orc, queries.op7_simhash, queries.op9_mix_sources, queries.op10_quality_rules):
+        assert query(spark, sf).count() == n
+
+
+def test_votes_of_fingerprints(spark):
+    import struct
+
+    rng = random.Random(30)
+    texts = [prose(rng, n) for n in (1, 5, 60, 400)] + ["  Été  日本 ÉTÉ\n a bb", ""]
+    got = {r.doc_id: r.fingerprint for r in simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        told = []
+        for k in range(2):
+            seed, ups, every = xxhash.xxh64_intdigest(struct.pack("<i", k), 42), [0] * 64, 0
+            for w in re.split(r"[\x20\x09-\x0D]+", text.lower()):
+                weight = 0 if not w else 1 if len(w) <= 4 else min(len(w) - 2, 8) ** 2
+                every += weight
+                h = xxhash.xxh64_intdigest(w.encode(), seed)
+                for b in range(64):
+                    ups[b] += weight * (h >> b & 1)
+            told.append(sum(1 << b for b in range(64) if 2 * ups[b] > every))
+        assert got[i] == "".join(f"{x:016x}" for x in told), text
