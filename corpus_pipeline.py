@@ -45,7 +45,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can't express the stages; tests hold each against a brute-force version.
+#: SQL can't express the stages; tests hold their decisions against plain loops, the classifier's scores against a plain model.
 ORACLE_SQL = None
 
 

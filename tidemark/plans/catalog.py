@@ -615,11 +615,12 @@ def answer_confidence(spark, sf_dir):
 
 
 def _record(rows: str, found: str = "c.video_id IS NOT NULL", num: str = "NULL", word: str = "NULL", more: str = "", subjects: str = "[subject]") -> str:
-    """The record of questions.finish, from the rows that an answer cites."""
+    """The record of questions.finish, from the rows that an answer cites; one that is always found has 0 or no without rows."""
+    told_num, told_word = ("coalesce(c.num, 0)" if found == "true" and num != "NULL" else "c.num"), ("coalesce(c.word, 'no')" if found == "true" and word != "NULL" else "c.word")
     return f"""WITH {LOG}, lg AS (SELECT *, k / 10e0 AS gap_s FROM log), v AS (SELECT DISTINCT video_id FROM log){more}, ro AS ({rows}), rk AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY "start", id) AS r FROM ro),
 c AS (SELECT video_id, {num} AS num, {word} AS word, string_agg(CAST(CAST(round("start" * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY r) FILTER (r <= 12) AS ts, string_agg(id, ',' ORDER BY r) FILTER (r <= 30) AS ids FROM rk GROUP BY video_id),
 w0 AS (SELECT video_id, r, unnest({subjects}) AS who, generate_subscripts({subjects}, 1) AS p FROM rk), w1 AS (SELECT video_id, who, min(r * 10 + p) AS a FROM w0 WHERE who <> '' GROUP BY video_id, who QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY a) <= 20), w AS (SELECT video_id, string_agg(who, ',' ORDER BY a) AS whos FROM w1 GROUP BY video_id)
-SELECT v.video_id, CASE WHEN {found} THEN 'answered' ELSE 'not_observed' END AS status, CAST(c.num AS DOUBLE) AS value_num, CAST(c.word AS VARCHAR) AS value_str, coalesce(ts, '') AS times, coalesce(ids, '') AS ids, coalesce(whos, '') AS subjects FROM v LEFT JOIN c USING (video_id) LEFT JOIN w USING (video_id)"""
+SELECT v.video_id, CASE WHEN {found} THEN 'answered' ELSE 'not_observed' END AS status, CAST({told_num} AS DOUBLE) AS value_num, CAST({told_word} AS VARCHAR) AS value_str, coalesce(ts, '') AS times, coalesce(ids, '') AS ids, coalesce(whos, '') AS subjects FROM v LEFT JOIN c USING (video_id) LEFT JOIN w USING (video_id)"""
 
 
 def _told(spark: SparkSession, sf_dir: str, question: str) -> DataFrame:
@@ -646,7 +647,7 @@ ANSWERS = {
     "a_stood_still": ("Who stood still for more than 20.5 seconds?", _record("SELECT * FROM lg WHERE type = 'stationary' AND subject LIKE 'P%' AND ms > 20500")),
     "a_who_left": ("Who left the bag?", _record("SELECT * FROM lg WHERE type = 'object_left'", subjects="[other, subject]")),
     "a_untouched": ("Which object sat untouched for more than 1 minute?", _record("SELECT * FROM lg WHERE type = 'untouched' AND ms > 60000")),
-    "a_came_back": ("Did anyone come back?", _record("SELECT * FROM lg WHERE type = 'reappear' AND subject LIKE 'P%' AND gap_s >= 3", found="true", word="'yes'").replace("CAST(c.word AS VARCHAR)", "coalesce(c.word, 'no')")),
+    "a_came_back": ("Did anyone come back?", _record("SELECT * FROM lg WHERE type = 'reappear' AND subject LIKE 'P%' AND gap_s >= 3", found="true", word="'yes'")),
 }
 
 
