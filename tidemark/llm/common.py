@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import ship, table
 
-__all__ = ["drop_finished_shuffles", "fresh_path", "remove_tables", "shared_dir", "table", "whole_text", "width", "write_table"]
+__all__ = ["drop_finished_shuffles", "fresh_path", "remove_tables", "shared_dir", "ship", "table", "whole_text", "width", "write_table"]
 
 #: Characters that separate words, as a Java class and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import chat_format, kneser_ney, minhash, mixing, packing, quality_rules, simhash, token_orc, url_filter, warc
+from tidemark.llm import chat_format, kneser_ney, minhash, mixing, packing, quality_rules, simhash, token_counts, token_orc, url_filter, warc
 from tidemark.llm.common import table, write_table
 
 
@@ -55,6 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, labels)).drop("rule")
 
 
-OPERATORS = (op1_token_orc, op2_warc_salvage, op3_best_fit_packing, op4_minmax_dedup, op5_url_trees, op6_chat_windows, op7_simhash, op8_kneser_ney, op9_mix_sources, op10_quality_rules)
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_token_orc, op2_warc_salvage, op3_best_fit_packing, op4_minmax_dedup, op5_url_trees, op6_chat_windows, op7_simhash, op8_kneser_ney, op9_mix_sources, op10_quality_rules, op11_token_counts)
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
