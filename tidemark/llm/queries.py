@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import chat_format, kneser_ney, lexical, minhash, mixing, packing, quality_rules, simhash, token_counts, token_orc, url_filter, warc
+from tidemark.llm import chat_format, kneser_ney, lexical, minhash, mixing, packing, quality_rules, repair, simhash, token_counts, token_orc, url_filter, warc
 from tidemark.llm.common import table, write_table
 
 
@@ -63,6 +63,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-OPERATORS = (op1_token_orc, op2_warc_salvage, op3_best_fit_packing, op4_minmax_dedup, op5_url_trees, op6_chat_windows, op7_simhash, op8_kneser_ney, op9_mix_sources, op10_quality_rules, op11_token_counts, op12_lexical_search)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+OPERATORS = (op1_token_orc, op2_warc_salvage, op3_best_fit_packing, op4_minmax_dedup, op5_url_trees, op6_chat_windows, op7_simhash, op8_kneser_ney, op9_mix_sources, op10_quality_rules, op11_token_counts, op12_lexical_search, op13_conversation_repair)
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op12_lexical_search": lexical.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = {"op12_lexical_search": lexical.SQL, "op13_conversation_repair": repair.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
