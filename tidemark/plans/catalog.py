@@ -11,7 +11,7 @@ from tidemark.functions import text as x
 from tidemark.functions import vectors as v
 from tidemark.operators import asof, folds, intervals, rhythm, runs, signal
 from tidemark.plans import questions as ask
-from tidemark.plans import scenes
+from tidemark.plans import scenes, usersql
 from tidemark.sources.tables import observations, table
 from tidemark.streaming import sessions
 
@@ -659,6 +659,28 @@ for _name, (_question, _sql) in ANSWERS.items():
     QUERIES[_name], ORACLES[_name] = _answered(_question), _sql
 
 
+# ---- a user's own SELECT
+
+
+USER_SELECT = """WITH often AS (
+  SELECT video_id, subject, count(*) AS visits, min(start) AS first_at FROM events
+  WHERE type = 'zone_enter' AND details <> 'from events join ids; {drop}' -- words in a literal mean nothing
+  GROUP BY video_id, subject HAVING count(*) > 1
+)
+SELECT o.video_id, o.subject, i.kind, visits, fmt(first_at) AS first_seen, row_number() OVER (PARTITION BY o.video_id ORDER BY visits DESC, o.subject) AS place
+FROM often o JOIN ids i ON i.video_id = o.video_id AND i.gid = o.subject
+WHERE o.subject IN (SELECT subject FROM events WHERE type = 'in_zone' AND zone = 'Yard') AND EXISTS (SELECT 1 FROM events e WHERE e.video_id = o.video_id AND e.type = 'activity_stop')"""
+
+
+@query(f"""WITH {LOG}, ids AS (SELECT DISTINCT video_id, subject AS gid, kind FROM log), o AS (SELECT video_id, subject, count(*) AS visits, CAST(round(min("start") * 10) AS BIGINT) AS d FROM log WHERE type = 'zone_enter' GROUP BY ALL HAVING count(*) > 1)
+SELECT o.video_id, o.subject, kind, visits, CASE WHEN d >= 36000 THEN (d // 36000) || ':' || lpad(CAST(d // 600 % 60 AS VARCHAR), 2, '0') ELSE CAST(d // 600 AS VARCHAR) END || ':' || lpad(CAST(d // 10 % 60 AS VARCHAR), 2, '0') || '.' || d % 10 AS first_seen, row_number() OVER (PARTITION BY o.video_id ORDER BY visits DESC, o.subject) AS place
+FROM o JOIN ids i ON i.video_id = o.video_id AND i.gid = o.subject WHERE o.subject IN (SELECT subject FROM log WHERE type = 'in_zone' AND zone = 'Yard') AND o.video_id IN (SELECT video_id FROM log WHERE type = 'activity_stop')""")
+def user_select(spark, sf_dir):
+    """A user's text over the log and the identities."""
+    log = _log(spark, sf_dir)
+    return usersql.select({"events": log, "ids": log.select("video_id", F.col("subject").alias("gid"), "kind").distinct()}, USER_SELECT)
+
+
 # ---- scenes
 
 
