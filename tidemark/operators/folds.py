@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import geometry
 
@@ -52,50 +53,61 @@ def anchored_stays(df: DataFrame, keys: list[str], time: str, x: str, y: str, to
     return df.select(*dict.fromkeys([*keys, time, x, y, *(c for c in (height, part) if c)])).groupBy(*keys).applyInPandas(fold, schema)
 
 
+def judged(candidates: DataFrame, tracks: DataFrame, verdicts: DataFrame, keys: list[str], accept: float, doubt: float, most_checks: int, trust: float = 0.6) -> DataFrame:
+    """candidates with the scores that verdicts (keys, a, b, same, sure) give them.
+
+    Asked about are the two best candidates of a track with a score from doubt to accept, most_checks a key, in the order of
+    the tracks; a sure yes lifts a score above accept, a sure no drops it below doubt. Windows only, before any matching, so
+    a pair is asked about whether or not its earlier track will still be free.
+    """
+    best = Window.partitionBy(*keys, "b").orderBy(F.col("score").desc(), F.col("a").desc())
+    order = Window.partitionBy(*keys, "_grey").orderBy("_start", "b", F.col("score").desc(), F.col("a").desc())
+    starts = tracks.select(*keys, F.col("track").alias("b"), F.col("start").alias("_start"))
+    ranked = candidates.join(starts, [*keys, "b"]).withColumn("_grey", (F.row_number().over(best) <= 2) & (F.col("score") >= doubt) & (F.col("score") < accept))
+    asked = ranked.withColumn("_ask", F.col("_grey") & (F.row_number().over(order) <= most_checks)).join(verdicts.select(*keys, "a", "b", "same", F.col("sure").cast("double").alias("sure")), [*keys, "a", "b"], "left")
+    told = F.col("_ask") & (F.col("sure") >= trust)
+    score = F.when(told & F.col("same"), accept + 0.01 * F.col("sure")).when(told & ~F.col("same"), doubt - 0.01).otherwise(F.col("score"))
+    return asked.select(*keys, "a", "b", score.alias("score"))
+
+
+def acceptable(candidates: DataFrame, keys: list[str], accept: float, consider: float, margin: float) -> DataFrame:
+    """candidates that a track may take if they are free: those of accept or more, and its best one if that has at least
+    consider and leads a second one by margin. Whether a rival is still free doesn't matter, so this needs no order."""
+    best = Window.partitionBy(*keys, "b").orderBy(F.col("score").desc(), F.col("a").desc())
+    leads = (F.row_number().over(best) == 1) & (F.col("score") >= consider) & (F.col("score") - F.lead("score").over(best) >= margin)
+    return candidates.withColumn("_ok", (F.col("score") >= accept) | F.coalesce(leads, F.lit(False))).filter("_ok").drop("_ok")
+
+
 def assign_chains(candidates: DataFrame, tracks: DataFrame, keys: list[str], accept: float = 0.62, consider: float = 0.50, margin: float = 0.12, verdicts: DataFrame | None = None, doubt: float = 0.40, most_checks: int = 8) -> DataFrame:
     """One-to-one links: each later track, by start, takes its best free predecessor, and chains of links are identities.
 
-    tracks: keys, track, start. candidates: keys, a (earlier), b (later), score. A score of `accept` is enough; from
-    `consider` on it must lead the runner-up, used or not, by margin; the first candidate that fails ends b's search. Of
-    equal scores the greatest a comes first. verdicts: keys, a, b, same, sure, looked up for the two best free candidates of
-    a track with a score from `doubt` to accept, at most `most_checks` times a key, in the order of the search.
+    tracks: keys, track, start. candidates: keys, a (earlier), b (later), score. What may be taken at all is decided by
+    windows (judged, acceptable); a fold a key gets only that, as who is free depends on all earlier choices. It holds a
+    key's tracks and acceptable pairs. Of equal scores the greatest a comes first.
     Returns keys, track, chain (the first track of its chain) and score of the link to the predecessor (null at a head).
     """
-    schema, asked_for = _schema(tracks, keys, "track long", "chain long", "score double"), verdicts is not None
+    schema = _schema(tracks, keys, "track long", "chain long", "score double")
 
     def fold(key: tuple, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "track"])
-        by = {b: sorted(zip(g["score"], g["a"], g["same"], g["sure"], strict=True), key=lambda o: (-o[0], -o[1])) for b, g in pairs.groupby("b")}
-        before, score, used, checks = {}, {}, set(), 0
-        for b in rows["track"]:
-            options = []
-            for i, (s, a, same, sure) in enumerate(by.get(b, [])):
-                if i < 2 and a not in used and doubt <= s < accept and checks < most_checks and asked_for:
-                    checks += 1
-                    if sure == sure and sure >= 0.6:
-                        s = max(s, accept + 0.01 * sure) if same else min(s, doubt - 0.01)
-                options.append((s, a))
-            options.sort(key=lambda o: (-o[0], -o[1]))
-            for i, (s, a) in enumerate(options):
-                if a in used:
-                    continue
-                rival = next((o[0] for j, o in enumerate(options) if j != i), None)
-                if s >= accept or s >= consider and rival is not None and s - rival >= margin:
-                    used.add(a)
-                    before[b], score[b] = a, s
-                break
-        head: dict[int, int] = {}
-        out = []
-        for track in rows["track"]:  # a predecessor starts earlier, so its head is known
-            head[track] = head[before[track]] if track in before else track
-            out.append((*key, track, head[track], score.get(track)))
-        return pd.DataFrame(out, columns=[*keys, "track", "chain", "score"])
+        names = rows.sort_values(["start", "track"])["track"].to_numpy()
+        place = pd.Series(np.arange(len(names)), index=names)
+        # a pair as places of both tracks; a predecessor comes earlier
+        found = pairs.assign(p=pairs["a"].map(place), q=pairs["b"].map(place)).dropna(subset=["p", "q"]).query("p < q").sort_values(["q", "score", "a"], ascending=[True, False, False])
+        before, free = np.full(len(names), -1), np.ones(len(names), bool)
+        score = np.full(len(names), np.nan)
+        for p, q, s in zip(found["p"].to_numpy(int), found["q"].to_numpy(int), found["score"], strict=True):
+            if free[p] and before[q] < 0:
+                before[q], free[p], score[q] = p, False, s
+        heads = np.arange(len(names))
+        for q in np.flatnonzero(before >= 0):
+            heads[q] = heads[before[q]]
+        return pd.DataFrame({**dict(zip(keys, key, strict=True)), "track": names, "chain": names[heads], "score": score})
 
     # new names, as both sides may come from one table
     asked, pairs = tracks.select(*keys, "track", "start").toDF(*keys, "track", "start"), candidates.select(*keys, "a", "b", "score").toDF(*keys, "a", "b", "score")
-    told = verdicts.select(*keys, "a", "b", "same", F.col("sure").cast("double").alias("sure")).toDF(*keys, "a", "b", "same", "sure") if verdicts is not None else None
-    pairs = pairs.join(told, [*keys, "a", "b"], "left") if told is not None else pairs.withColumns({"same": F.lit(None).cast("boolean"), "sure": F.lit(None).cast("double")})
-    return asked.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(fold, schema)
+    if verdicts is not None:
+        pairs = judged(pairs, asked, verdicts.select(*keys, "a", "b", "same", "sure").toDF(*keys, "a", "b", "same", "sure"), keys, accept, doubt, most_checks)
+    return asked.groupBy(*keys).cogroup(acceptable(pairs, keys, accept, consider, margin).groupBy(*keys)).applyInPandas(fold, schema)
 
 
 class RunningMedian:

@@ -315,10 +315,18 @@ def stationary(spark, sf_dir):
     return folds.anchored_stays(observations(spark, sf_dir).withColumn("zero", F.lit(0.0)), ["gid"], "us", "x", "zero", 0.1, DWELL)
 
 
-# ---- folds without SQL twins
-
-
-@query()
+# ---- folds, with recursive twins
+
+
+@query(f"""WITH RECURSIVE {SEG}, tr AS (SELECT gid % 10 AS grp, gid * 1000 + seg AS track, t0, t1, row_number() OVER (PARTITION BY gid % 10 ORDER BY t0, gid * 1000 + seg) AS i FROM segs),
+ca AS (SELECT b.grp, b.i, a.track AS a, 1 - (b.t0 - a.t1) / {GAP}e0 AS score FROM tr b JOIN tr a ON a.grp = b.grp AND a.t1 BETWEEN b.t0 - {GAP} AND b.t0 AND a.i < b.i),
+rk AS (SELECT *, row_number() OVER (PARTITION BY grp, i ORDER BY score DESC, a DESC) AS r, lead(score) OVER (PARTITION BY grp, i ORDER BY score DESC, a DESC) AS second FROM ca),
+ok AS (SELECT grp, i, list({{'a': a, 's': score}} ORDER BY r) AS may FROM rk WHERE score >= 0.62e0 OR (r = 1 AND score >= 0.5e0 AND score - second >= 0.12e0) GROUP BY grp, i),
+st AS (SELECT tr.*, coalesce(may, []) AS may FROM tr LEFT JOIN ok USING (grp, i)),
+wk AS (SELECT grp, 0::BIGINT AS i, NULL::BIGINT AS track, NULL::DOUBLE AS score, NULL::BIGINT AS chain, []::BIGINT[] AS used, []::BIGINT[] AS names, []::BIGINT[] AS heads FROM (SELECT DISTINCT grp FROM tr)
+UNION ALL SELECT grp, i, track, got.s, head, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.a) END, list_append(names, track), list_append(heads, head)
+FROM (SELECT *, CASE WHEN got IS NULL THEN track ELSE heads[list_position(names, got.a)] END AS head FROM (SELECT w.grp, s.i, s.track, used, names, heads, list_filter(may, lambda m: NOT list_contains(used, m.a))[1] AS got FROM wk w JOIN st s ON s.grp = w.grp AND s.i = w.i + 1)))
+SELECT grp, track, chain, score FROM wk WHERE i > 0""")
 def link_chains(spark, sf_dir):
     seg = _segments(observations(spark, sf_dir)).select((F.col("gid") % 10).alias("grp"), (F.col("gid") * 1000 + F.col("seg")).cast("long").alias("track"), F.col("t0").alias("start"), F.col("t1").alias("end"))
     near = asof.band(seg.select("grp", F.col("track").alias("b"), F.col("start").alias("us")), seg.select("grp", F.col("track").alias("a"), F.col("end").alias("us")), ["grp"], "us", GAP, 0, ["a"])
@@ -326,10 +334,22 @@ def link_chains(spark, sf_dir):
     return folds.assign_chains(pairs, seg, ["grp"])
 
 
-@query()
+CLUSTERS = f"""{OBS}, hit AS (SELECT gid, us, x AS x1, y AS y1, x + 0.4e0 AS x2, y + 0.5e0 AS y2, row_number() OVER (PARTITION BY gid ORDER BY us, x, y) AS i FROM obs),
+wk AS (SELECT gid, 0::BIGINT AS i, []::STRUCT(f BIGINT, l BIGINT, a DOUBLE[], b DOUBLE[], c DOUBLE[], d DOUBLE[])[] AS cl FROM (SELECT DISTINCT gid FROM hit)
+UNION ALL SELECT gid, i, CASE WHEN hk IS NULL THEN list_append(cl, {{'f': us, 'l': us, 'a': [x1], 'b': [y1], 'c': [x2], 'd': [y2]}})
+ELSE list_transform(cl, lambda c, k: CASE WHEN k = hk THEN {{'f': c.f, 'l': us, 'a': list_append(c.a, x1), 'b': list_append(c.b, y1), 'c': list_append(c.c, x2), 'd': list_append(c.d, y2)}} ELSE c END) END
+FROM (SELECT *, CASE WHEN list_max(iou) > 0.25e0 AND us - cl[list_position(iou, list_max(iou))].l <= {5 * GAP} THEN list_position(iou, list_max(iou)) END AS hk
+FROM (SELECT *, list_transform(bx, lambda q: greatest(0e0, least(q[3], x2) - greatest(q[1], x1)) * greatest(0e0, least(q[4], y2) - greatest(q[2], y1)) / ((q[3] - q[1]) * (q[4] - q[2]) + (x2 - x1) * (y2 - y1) - greatest(0e0, least(q[3], x2) - greatest(q[1], x1)) * greatest(0e0, least(q[4], y2) - greatest(q[2], y1)) + 1e-9)) AS iou
+FROM (SELECT w.gid, h.i, us, x1, y1, x2, y2, cl, list_transform(cl, lambda c: [list_aggregate(c.a, 'median'), list_aggregate(c.b, 'median'), list_aggregate(c.c, 'median'), list_aggregate(c.d, 'median')]) AS bx FROM wk w JOIN hit h ON h.gid = w.gid AND h.i = w.i + 1))))"""
+
+
+@query(f"""WITH RECURSIVE {CLUSTERS}, al AS (SELECT gid, unnest(cl) AS c, generate_subscripts(cl, 1) AS k FROM wk WHERE i = (SELECT max(i) FROM hit h WHERE h.gid = wk.gid))
+SELECT gid, CAST(row_number() OVER (PARTITION BY gid ORDER BY k) - 1 AS INTEGER) AS cluster, c.f AS first_t, c.l AS last_t, CAST(len(c.a) AS BIGINT) AS n, round(list_aggregate(c.a, 'median'), 9) AS x1, round(list_aggregate(c.b, 'median'), 9) AS y1, round(list_aggregate(c.c, 'median'), 9) AS x2, round(list_aggregate(c.d, 'median'), 9) AS y2
+FROM al WHERE c.l - c.f >= {GAP} AND len(c.a) >= 6""")
 def iou_cluster(spark, sf_dir):
     boxes = observations(spark, sf_dir).select("gid", "us", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 0.4).alias("x2"), (F.col("y") + 0.5).alias("y2"))
-    return folds.cluster_boxes(boxes, ["gid"], "us", 0.25, 5 * GAP, GAP, 6)
+    found = folds.cluster_boxes(boxes, ["gid"], "us", 0.25, 5 * GAP, GAP, 6)
+    return found.select("gid", "cluster", "first_t", "last_t", "n", *(F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 # ---- vectors
