@@ -12,7 +12,8 @@ from tidemark.functions import vectors as v
 from tidemark.operators import asof, folds, intervals, rhythm, runs, signal
 from tidemark.plans import questions as ask
 from tidemark.plans import scenes, usersql
-from tidemark.sources.tables import observations, table
+from tidemark.sources import npz
+from tidemark.sources.tables import fresh_path, observations, table
 from tidemark.streaming import sessions
 
 HOUR = 3_600_000_000
@@ -679,6 +680,35 @@ for _name, (_question, _sql) in ANSWERS.items():
     QUERIES[_name], ORACLES[_name] = _answered(_question), _sql
 
 
+# ---- archives of arrays
+
+
+@query("SELECT vec_id AS track, CASE WHEN vec_id % 3 > 0 THEN 8 END AS n_hsv, len(embedding) AS n_cnn, CAST(list_sum(list_transform(embedding, lambda v, i: i * CAST(round(CAST(v AS DOUBLE) * 1e6) AS BIGINT))) AS BIGINT) AS told FROM embeddings")
+def npz_vectors(spark, sf_dir):
+    """S3: embeddings as archives of arrays, written and read back by the data source; every third has one kind only."""
+    npz.register(spark)
+    path = fresh_path(spark, "vectors")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track"), F.when(F.col("vec_id") % 3 > 0, F.slice("embedding", 1, 8)).cast("array<float>").alias("hsv"), F.col("embedding").cast("array<float>").alias("cnn"))
+    e.write.format("npz").option("kinds", "hsv,cnn").mode("append").save(path)
+    read = spark.read.format("npz").option("kinds", "hsv,cnn").load(path)
+    told = F.aggregate(F.transform("cnn", lambda v, i: (i + 1) * F.round(v.cast("double") * 1e6).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    return read.select("track", F.when(F.col("hsv").isNotNull(), F.size("hsv")).alias("n_hsv"), F.size("cnn").cast("long").alias("n_cnn"), told.alias("told"))
+
+
+@query(f"""WITH {OBS}, f AS (SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY us, event_id) - 1 AS frame, v FROM obs)
+SELECT gid, frame, round(v, 6) AS v FROM f WHERE frame % greatest(1, CAST(round_even((20 + gid % 20) / 10e0, 0) AS BIGINT)) = 0 AND frame >= 4""")
+def npz_frames(spark, sf_dir):
+    """A series a subject, of 20 to 39 frames a second, read at about 10 a second from its fifth frame on."""
+    npz.register(spark)
+    path = fresh_path(spark, "frames")
+    number = F.row_number().over(Window.partitionBy("gid").orderBy(*BY)) - 1
+    rows = observations(spark, sf_dir).select("gid", number.cast("long").alias("frame"), "v", (20.0 + F.col("gid") % 20).alias("fps"))
+    # an archive has one rate
+    rows.repartition("fps", "gid").sortWithinPartitions("fps", "gid", "frame").write.format("npz").option("layout", "series").mode("append").save(path)
+    read = spark.read.format("npz").option("layout", "series").option("target_fps", 10).schema("gid long, frame long, v double").load(path)
+    return read.filter("frame >= 4").select("gid", "frame", F.round("v", 6).alias("v"))
+
+
 # ---- a user's own SELECT
 
 
