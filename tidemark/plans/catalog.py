@@ -14,7 +14,7 @@ from tidemark.plans import questions as ask
 from tidemark.plans import scenes, usersql
 from tidemark.sources import npz
 from tidemark.sources.tables import fresh_path, observations, table
-from tidemark.streaming import sessions
+from tidemark.streaming import online, sessions
 
 HOUR = 3_600_000_000
 GAP, DWELL, MERGE = 24 * HOUR, 6 * HOUR, 24 * HOUR
@@ -680,6 +680,36 @@ for _name, (_question, _sql) in ANSWERS.items():
     QUERIES[_name], ORACLES[_name] = _answered(_question), _sql
 
 
+# ---- the same from a stream
+
+
+def _replayed(spark, sf_dir):
+    """The events as a stream, and one row of a subject -1 far ahead, which lets the watermark pass all of them."""
+    online.use_state_store(spark)
+    path, schema = fresh_path(spark, "end"), table(spark, sf_dir, "events").schema
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit("2099-01-01").cast(schema["ts"].dataType).alias("ts"), F.lit(0.0).alias("value"), F.lit(-1).cast("long").alias("event_id"))
+    last.write.parquet(path)
+    read = lambda where, **options: spark.readStream.schema(schema).options(**options).parquet(where)
+    rows = read(sf_dir, pathGlobFilter="events.parquet").select("user_id", "ts", "value", "event_id").unionByName(read(path).select("user_id", "ts", "value", "event_id"))
+    return rows.select(F.col("user_id").alias("gid"), "ts", "event_id", (F.col("value") / 500).alias("x"), F.lit(0.0).alias("zero"), (F.col("value") > 50).alias("f"))
+
+
+def _drained(spark, rows):
+    return online.drained(rows, fresh_path(spark, "stream"), fresh_path(spark, "stream-state")).filter("gid >= 0")
+
+
+@query(ORACLES["stationary"])
+def stationary_online(spark, sf_dir):
+    """W6 with state, timers and a watermark."""
+    return _drained(spark, online.online_stays(_replayed(spark, sf_dir), ["gid"], "ts", "x", "zero", 0.1, DWELL, "1 day", 400 * 24 * HOUR))
+
+
+@query(ORACLES["hysteresis"])
+def hysteresis_online(spark, sf_dir):
+    """W4 with state, timers and a watermark."""
+    return _drained(spark, online.online_hysteresis(_replayed(spark, sf_dir), ["gid"], "ts", "event_id", "f", DWELL, "1 day", 400 * 24 * HOUR)).select("gid", "event_id", "f")
+
+
 # ---- archives of arrays
 
 
