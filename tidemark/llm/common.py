@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import ship, table
+from tidemark.sources.tables import fresh_path, ship, table
+from tidemark.sources.tables import shared_folder as shared_dir
 
 __all__ = ["drop_finished_shuffles", "fresh_path", "remove_tables", "shared_dir", "ship", "table", "whole_text", "width", "write_table"]
 
@@ -20,30 +17,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone, one of our own where it is unset."""
-    ship(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _own(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def remove_tables(spark: SparkSession) -> None:
     """Removes the intermediate tables of this application; call it when no result that reads them is needed any more."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
