@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import selection
+from tidemark.sources.tables import cut
+
 
 def difference(value: str, keys: list[str], order: list[str]) -> Column:
     """First difference, 0 at the first row."""
@@ -13,11 +16,10 @@ def difference(value: str, keys: list[str], order: list[str]) -> Column:
 
 
 def with_robust_z(df: DataFrame, keys: list[str], value: str, name: str = "z", floor: float = 1e-6) -> DataFrame:
-    """(x - median) / (1.4826 * MAD + floor) per key: two aggregations and two joins on the key."""
-    med = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
-    near = df.join(med, keys)
-    mad = near.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_med")), F.lit(0.5)).alias("_mad"))
-    return near.join(mad, keys).withColumn(name, (F.col(value) - F.col("_med")) / (1.4826 * F.col("_mad") + floor)).drop("_med", "_mad")
+    """(x - median) / (1.4826 * MAD + floor) per key, by selection for keys of any size; df is written once and read from there."""
+    near = cut(selection.with_percentiles(cut(df, "series"), keys, value, [0.5], "_med"), "centred")
+    spread = selection.with_percentiles(near, keys, F.abs(F.col(value) - F.col("_med")[0]), [0.5], "_mad")
+    return spread.withColumn(name, (F.col(value) - F.col("_med")[0]) / (1.4826 * F.col("_mad")[0] + floor)).drop("_med", "_mad")
 
 
 def rolling_median(value: str, keys: list[str], order: list[str], reach: int = 3) -> Column:
@@ -31,7 +33,8 @@ def rolling_median(value: str, keys: list[str], order: list[str], reach: int = 3
 def percentile_threshold(df: DataFrame, keys: list[str], value: str, order: list[str], low: float = 0.05, high: float = 0.95, share: float = 0.35) -> DataFrame:
     """Adds threshold = p_low + share * (p_high - p_low) per key and spread = p_high - p_low; the first row is left out."""
     rank = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    cuts = rank.filter("_n > 1").groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
+    rank = cut(rank, "ranked")
+    cuts = selection.percentiles(rank.filter("_n > 1"), keys, value, [low, high], "_p")
     spread = F.col("_p")[1] - F.col("_p")[0]
     return rank.drop("_n").join(cuts, keys).withColumns({"threshold": F.col("_p")[0] + share * spread, "spread": spread}).drop("_p")
 

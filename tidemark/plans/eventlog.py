@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,8 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import geometry as g
 from tidemark.functions.text import span_text
-from tidemark.operators import asof, folds, intervals, rhythm, runs, signal
+from tidemark.operators import asof, folds, intervals, rhythm, runs, selection, signal
+from tidemark.sources.tables import cut
 
 
 @dataclass(frozen=True)
@@ -214,23 +214,28 @@ CHANGE_LABELS = {"motion": "sudden burst of motion", "_flash": "sudden brightnes
 
 
 def sudden_changes(series: DataFrame, merge_gap: float = 1.5, limits: dict[str, tuple[float, float]] = CHANGES) -> DataFrame:
-    """sudden_change from series (video_id, t, motion, brightness, redness, camera_speed)."""
-    key, w = ["video_id"], Window.partitionBy("video_id")
+    """sudden_change from series (video_id, t, motion, brightness, redness, camera_speed).
+
+    All channels go through one chain, keyed by video and channel; their medians are selected, not windowed, so a video's
+    series needn't fit a task.
+    """
+    key, keys = ["video_id"], ["video_id", "channel"]
     moving = series.withColumn("_moves", F.coalesce(F.col("camera_speed") > 0.004, F.lit(False)))
-    rows = moving.withColumns({"_moving": runs.dilate("_moves", key, ["t"]), "_end": F.max("t").over(w), "_flash": F.abs(signal.difference("brightness", key, ["t"]))})
-    parts = []
-    for column, (z_min, least) in limits.items():
-        label = CHANGE_LABELS[column]
-        centred = rows.withColumn("_d", F.col(column) - (F.percentile(column, F.lit(0.5)).over(w) if column != "_flash" else F.lit(0.0)))
-        med = centred.withColumn("_m", F.percentile("_d", F.lit(0.5)).over(w))
-        mad = med.withColumn("_mad", F.percentile(F.abs(F.col("_d") - F.col("_m")), F.lit(0.5)).over(w))
-        z = mad.withColumn("_z", 0.6745 * (F.col("_d") - F.col("_m")) / (F.col("_mad") + 1e-6))
-        flag = (F.col("_z") > z_min) & (F.abs("_d") > least)
-        if column != "redness":
-            flag = flag & ~F.col("_moving") & (F.col("t") > 1.5) & (F.col("t") < F.col("_end") - 1.5)
-        spans = runs.with_run(z.withColumn("_on", flag), key, ["t"], "_on").filter("_on").groupBy("video_id", "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.max("_z").alias("z"))
-        parts.append(spans.withColumn("details", F.lit(label)))
-    found = reduce(DataFrame.unionByName, parts)
+    rows = moving.withColumns({"_moving": runs.dilate("_moves", key, ["t"]), "_flash": F.abs(signal.difference("brightness", key, ["t"]))})
+    rows = rows.join(series.groupBy("video_id").agg(F.max("t").alias("_end")), "video_id")
+    channels = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in limits))
+    long = cut(rows.select("video_id", "t", "_moving", "_end", F.explode(channels).alias("c")).select("video_id", "t", "_moving", "_end", "c.*"), "channels")
+    level = selection.with_percentiles(long, keys, F.when(F.col("channel") != "_flash", F.col("value")), [0.5], "_p")
+    centred = cut(level.withColumn("_d", F.col("value") - F.coalesce(F.col("_p")[0], F.lit(0.0))).drop("_p"), "centred")
+    med = cut(selection.with_percentiles(centred, keys, "_d", [0.5], "_m"), "medians")
+    mad = selection.with_percentiles(med, keys, F.abs(F.col("_d") - F.col("_m")[0]), [0.5], "_mad")
+    z = mad.withColumn("_z", 0.6745 * (F.col("_d") - F.col("_m")[0]) / (F.col("_mad")[0] + 1e-6))
+    of = lambda i: F.coalesce(*(F.when(F.col("channel") == c, F.lit(v[i])) for c, v in limits.items()))
+    inner = ~F.col("_moving") & (F.col("t") > 1.5) & (F.col("t") < F.col("_end") - 1.5)
+    flag = (F.col("_z") > of(0)) & (F.abs("_d") > of(1)) & ((F.col("channel") == "redness") | inner)
+    spans = runs.with_run(z.withColumn("_on", flag), keys, ["t"], "_on").filter("_on").groupBy(*keys, "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.max("_z").alias("z"))
+    label = F.coalesce(*(F.when(F.col("channel") == c, F.lit(CHANGE_LABELS[c])) for c in limits))
+    found = spans.select("video_id", label.alias("details"), "start", "end", "z")
     order = Window.partitionBy("video_id", "details").orderBy("start")
     island = found.withColumn("_new", F.when(F.col("start") - F.lag("end").over(order) <= merge_gap, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order))
     whole = island.groupBy("video_id", "details", "_island").agg(F.min("start").alias("start"), F.max_by("end", "start").alias("end"), F.min_by("z", "start").alias("z"))
@@ -239,9 +244,9 @@ def sudden_changes(series: DataFrame, merge_gap: float = 1.5, limits: dict[str,
 
 def sounds(audio: DataFrame, window: float = 0.1, rise: float = 12.0) -> DataFrame:
     """sound from audio (video_id, t, db, tonality): loud runs that bridge single quiet windows."""
-    key, w = ["video_id"], Window.partitionBy("video_id")
-    base = audio.withColumn("_base", F.percentile("db", F.lit(0.5)).over(w))
-    mad = base.withColumn("_mad", F.percentile(F.abs(F.col("db") - F.col("_base")), F.lit(0.5)).over(w) + 1e-6)
+    key = ["video_id"]
+    base = cut(selection.with_percentiles(cut(audio, "audio"), key, "db", [0.5], "_b").withColumn("_base", F.col("_b")[0]).drop("_b"), "levels")
+    mad = selection.with_percentiles(base, key, F.abs(F.col("db") - F.col("_base")), [0.5], "_b").withColumn("_mad", F.col("_b")[0] + 1e-6).drop("_b")
     loud = mad.withColumn("_limit", F.col("_base") + F.greatest(F.lit(rise), 4 * F.col("_mad"))).withColumn("_loud", F.col("db") > F.col("_limit"))
     joined = loud.withColumn("_on", runs.bridge_one_gap("_loud", key, ["t"]))
     spans = runs.with_run(joined, key, ["t"], "_on").filter("_on").groupBy("video_id", "run").agg(F.min("t").alias("start"), (F.max("t") + window).alias("end"), F.percentile("tonality", F.lit(0.5)).alias("tonal"), F.max("db").alias("peak"), F.first("_base").alias("base"), F.first("_limit").alias("limit"))
