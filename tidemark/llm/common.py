@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.tables import fresh_path, ship, table
 from tidemark.sources.tables import shared_folder as shared_dir
 
-__all__ = ["drop_finished_shuffles", "fresh_path", "remove_tables", "shared_dir", "ship", "table", "whole_text", "width", "write_table"]
+__all__ = ["as_rows", "drop_tables", "fresh_path", "remove_tables", "shared_dir", "ship", "table", "whole_text", "width", "write_table"]
 
 #: Characters that separate words, as a Java class and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -23,18 +21,34 @@ def remove_tables(spark: SparkSession) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Lets Spark remove the shuffle files of a finished SQL execution, here of a written table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def drop_finished_shuffles(spark: SparkSession) -> None:
-    """Spark's cleaner removes shuffle files once the driver has collected the plans that made them; this asks it to, where a
-    step is done whose tables are written. Else they stay on the executors' disks for as long as the driver's heap has room."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor. The shuffles that made it are
+    removed from the executors' disks with it; the session's own setting stays as it is."""
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def as_rows(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs as one struct a row, so that columns of any name can't meet those that an operator adds; select("_row.*") undoes it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name))
 
 
 def whole_text(column: str = "text") -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import ngram_model
-from tidemark.llm.common import drop_finished_shuffles, whole_text, write_table
+from tidemark.llm.common import as_rows, whole_text, write_table
 
 LEAST_TRUSTED = 30
 QUANTILE = 0.99
@@ -45,7 +45,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.withColumn("fold", ngram_model.fold(F.col("text")))
     flagged = _flagged(rows, labels)
     good = F.col("_id").isNotNull() & (F.col("n_chars") > 0)
-    sizes = flagged.groupBy("lang", "fold").agg(F.count(F.when(good, 1)).alias("n"), F.sum(F.when(good, F.col("n_chars")).otherwise(0)).alias("trusted"), F.sum("n_chars").alias("chars")).collect()
+    sizes = flagged.groupBy("lang", "fold").agg(F.count(F.when(good, 1)).alias("n"), F.sum(F.when(good, F.col("n_chars")).otherwise(0)).alias("trusted"), F.sum("n_chars").alias("chars"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.sum(F.when(good, F.octet_length("text").cast("long")).otherwise(0)).alias("trusted_bytes")).collect()
     trusted = {(s.lang, s.fold): s.n for s in sizes if s.n}
     if not trusted:
         return write_table(rows.drop("text", "fold").withColumn("perplexity", F.lit(None).cast("double")), "perplexity")
@@ -57,9 +57,8 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # a text trains the models of the other folds, its language's and, if some language needs it, the one of all
     keys = F.array(key, F.lit(shared)) if any(s.lang not in own and s.chars for s in sizes) else F.array(key)
     trains = F.explode(F.flatten(F.transform(F.array_distinct(keys), lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.lit(ngram_model.FOLDS - 1)), lambda f: F.when(f != F.col("fold"), k * ngram_model.FOLDS + f)), lambda x: x.isNotNull()))))
-    model, told = ngram_model.train(flagged.filter(good).select(trains.alias("mk"), "text").coalesce(ngram_model.blocks(sum(s.trusted for s in sizes))))
-    drop_finished_shuffles(docs.sparkSession)
-    scored = ngram_model.perplexity(rows.withColumn("key", key), model, told, ngram_model.blocks(sum(s.chars for s in sizes)))
+    model, told = ngram_model.train(flagged.filter(good).select(trains.alias("mk"), "text").coalesce(ngram_model.tasks(docs.sparkSession, sum(s.trusted_bytes for s in sizes))))
+    scored = ngram_model.perplexity(rows.withColumn("key", key), model, told, ngram_model.tasks(docs.sparkSession, sum(s.bytes for s in sizes)))
     return write_table(scored.select("doc_id", "text_hash", "lang", "n_chars", "perplexity"), "perplexity")
 
 
@@ -79,5 +78,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 def keep_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, with the columns of docs."""
     gone = classify(docs, labels).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(whole_text()) == F.col("_hash"))
-    return docs.join(gone, same, "left_anti")
+    same = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(whole_text("_row.text")) == F.col("_hash"))
+    return as_rows(docs).join(gone, same, "left_anti").select("_row.*")

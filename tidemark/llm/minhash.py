@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text, write_table
+from tidemark.llm.common import as_rows, whole_text, write_table
 
 PERMUTATIONS, BANDS, ROWS = 80, 32, 5
 #: Longs of the odd sketch: bit i tells whether an odd number of shingles fall on i.
@@ -212,4 +212,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those that are near-copies of a kept one, with the columns of docs."""
     gone = near_duplicates(docs, words, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return as_rows(docs).join(gone, F.col("_row.doc_id").cast("long") == F.col("_gone"), "left_anti").select("_row.*")

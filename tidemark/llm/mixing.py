@@ -130,10 +130,11 @@ def fit_budget(histogram: list[tuple[int, int]], target: float, most: int = MOST
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with _m_size (words) and _m_hash (seeded, of all columns)."""
+    """_row (a row of docs), doc_id, source, _m_size (words) and _m_hash (seeded, of all columns)."""
     plain = lambda f: not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
     told = [F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema.fields if f.name != "text"]
-    return docs.withColumns({"_m_size": F.regexp_count(whole_text(), F.lit(f"[^{SPACE_CLASS[1:]}+")).cast("long"), "_m_hash": F.xxhash64(F.lit(SEED), *told, F.col("text").isNull(), whole_text())})
+    size, hashed = F.regexp_count(whole_text(), F.lit(f"[^{SPACE_CLASS[1:]}+")).cast("long"), F.xxhash64(F.lit(SEED), *told, F.col("text").isNull(), whole_text())
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "source", size.alias("_m_size"), hashed.alias("_m_hash"))
 
 
 def _same(source: Column, size: Column) -> Column:
@@ -221,13 +222,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
     decisions = decide(_narrow(docs), weights, most)
-    rows, columns = _joined(sized(docs), decisions), [F.col(f"`{c}`") for c in docs.columns]
+    rows = _joined(sized(docs), decisions)
     copies = F.when(_split(), F.col("_m_repeats")).otherwise(_copies())
-    out = rows.filter(copies > 0).withColumn("_m_copy", F.explode(F.sequence(F.lit(1), copies))).select(*columns)
+    out = rows.filter(copies > 0).withColumn("_m_copy", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")
     if decisions.filter("take < n").isEmpty():
         return out
     # of equal rows one stands for all: as many copies of it as are taken once more
-    one = rows.filter(_split()).groupBy("_m_source", "_m_size", "_m_hash", "_m_take").agg(F.first(F.struct(*columns)).alias("_m_row"))
+    one = rows.filter(_split()).groupBy("_m_source", "_m_size", "_m_hash", "_m_take").agg(F.first("_row").alias("_m_row"))
     chunks = one.withColumn("_m_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m_take") - 1, F.lit(CHUNK_ROWS).cast("long")))).repartition("_m_hash", "_m_from")
     more = chunks.withColumn("_m_copy", F.explode(F.sequence(F.col("_m_from"), F.least(F.col("_m_take"), F.col("_m_from") + CHUNK_ROWS) - 1)))
-    return out.unionByName(more.select(*(F.col(f"_m_row.`{c}`") for c in docs.columns)))
+    return out.union(more.select("_m_row.*"))

@@ -27,16 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import write_table
+from tidemark.llm.common import drop_tables, write_table
 
 ORDER = 5
 FOLDS = 2
 #: Before a text, after it, and in place of U+0000, which ends a string of numpy's.
 PAD, END, NUL = "\U0010fffe", "\U0010ffff", "\U0010fffd"
-#: Characters of a block and of a packed part of it, and those worked on at a time; texts are never cut, all bound memory.
-BLOCK_CHARS, PACK_CHARS, PIECE_CHARS = 1 << 27, 1 << 22, 1 << 19
+#: Bytes of a block, characters of a packed part of it, and those worked on at a time; texts are never cut, all bound memory.
+BLOCK_BYTES, PACK_CHARS, PIECE_CHARS = 1 << 27, 1 << 21, 1 << 18
 #: n-grams that a worker holds before it hands them on, and codes that get a dense table.
-HELD_NGRAMS, DENSE = 1 << 21, 1 << 23
+HELD_NGRAMS, DENSE = 1 << 20, 1 << 23
 #: Rows that are Python strings at a time.
 ROWS = 1_000
 
@@ -45,8 +45,22 @@ def fold(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
 
 
-def blocks(chars: int) -> int:
-    return max(1, math.ceil(chars / BLOCK_CHARS))
+def tasks(spark, n_bytes: int) -> int:
+    """Partitions for texts of so many bytes together: a block each, and one a core at least."""
+    return max(math.ceil(n_bytes / BLOCK_BYTES), spark.sparkContext.defaultParallelism)
+
+
+class _Blocks:
+    """Numbers of blocks for a task's texts in their order; both passes over the texts see the same order."""
+
+    def __init__(self) -> None:
+        self._first, self._bytes = TaskContext.get().partitionId() << 24, 0
+
+    def of(self, texts: pa.Array) -> np.ndarray:
+        ends = self._bytes + np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        starts = np.concatenate([[self._bytes], ends[:-1]]) if len(ends) else ends
+        self._bytes = int(ends[-1]) if len(ends) else self._bytes
+        return self._first + starts // BLOCK_BYTES
 
 
 def _pieces(texts: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
@@ -213,6 +227,7 @@ def train(trusted: DataFrame) -> tuple[DataFrame, dict[int, tuple[float, float]]
     one = _discounted(tables[1])
     whole = write_table(one.groupBy("mk").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n") / (F.count(F.lit(1)) + 1)).alias("unknown")), "ngram-totals")
     lower = write_table(one.join(F.broadcast(whole), "mk").select("mk", "gram", ((F.col("n") - F.col("off")) / F.col("total") + F.col("unknown")).alias("p"), F.log("unknown").alias("least")), "ngrams-p1")
+    lowers = [lower]
     parts = [lower.select("mk", "gram", (F.log("p") - F.col("least")).alias("value"))]
     for k in range(2, ORDER + 1):
         rows = _discounted(tables[k]).withColumn("context", F.substring("gram", 1, k - 1))
@@ -221,32 +236,36 @@ def train(trusted: DataFrame) -> tuple[DataFrame, dict[int, tuple[float, float]]
         share = (F.col("n") - F.col("off")) / F.col("total")
         joined = rows.join(weights, ["mk", "context"]).withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower.select("mk", F.col("gram").alias("suffix"), F.col("p").alias("q")), ["mk", "suffix"])
         lower = write_table(joined.select("mk", "gram", (share + below).alias("p"), F.log((share + below) / below).alias("value")), f"ngrams-p{k}")
+        lowers.append(lower)
         parts += [lower.select("mk", "gram", "value"), weights.select("mk", F.col("context").alias("gram"), F.log("weight").alias("value"))]
     model = write_table(reduce(DataFrame.union, parts).groupBy("mk", "gram").agg(F.sum("value").alias("value")), "ngram-model")
     unknown = {r.mk: math.log(r.unknown) for r in whole.collect()}
+    drop_tables(whole, *tables.values(), *lowers)
     pads = {r.mk: r.s for r in model.filter(F.col("gram").isin([PAD * k for k in range(1, ORDER)])).groupBy("mk").agg(F.sum("value").alias("s")).collect()}
     return model, {mk: (pads.get(mk, 0.0), u) for mk, u in unknown.items()}
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with key and text to each n-gram of the block's texts, once a key: (block, key, gram)."""
-    held, block = {}, TaskContext.get().partitionId()
+    """Rows with key and text to each n-gram of a block's texts, once a key: (block, key, gram)."""
+    held, blocks = {}, _Blocks()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for key, found in held.items():
+        for (block, key), found in held.items():
             grams = found.merged()[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block, np.int32)), pa.array(np.full(len(grams), key, np.int32)), pa.array(_names(grams))], ["block", "key", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block, np.int64)), pa.array(np.full(len(grams), key, np.int32)), pa.array(_names(grams))], ["block", "key", "gram"])
         held.clear()
 
     for b in _slices(batches):
-        keys, texts = b.column("key").to_pylist(), b.column("text").to_pylist()
-        for (key,), rows in _by_key([keys]).items():
+        keys, texts, numbers = b.column("key").to_pylist(), b.column("text").to_pylist(), blocks.of(b.column("text")).tolist()
+        for (block, key), rows in _by_key([numbers, keys]).items():
+            if any(x != block for x, _ in held):  # the block before is full
+                yield from flush()
             for parts in _pieces(texts[i] for i in rows if texts[i]):
                 at, orders = ngrams([p for _, p in parts])
                 for k, (ids, grams) in enumerate(orders):
                     used = np.zeros(len(grams), bool)
                     used[ids[at - k]] = True
-                    held.setdefault(key, _Held()).add(grams[used])
+                    held.setdefault((block, key), _Held()).add(grams[used])
         if _Held.full(held):
             yield from flush()
     yield from flush()
@@ -254,21 +273,22 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with a text to (block, packed): compressed parts of about PACK_CHARS."""
-    block, options = TaskContext.get().partitionId(), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+    blocks, options = _Blocks(), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
 
-    def packed(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def packed(block: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows[0].schema, options=options) as out:
             for r in rows:
                 out.write_batch(r)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
 
     for b in batches:
-        sizes = np.cumsum(pc.utf8_length(b.column("text")).to_numpy())
+        sizes, numbers = np.cumsum(pc.utf8_length(b.column("text")).to_numpy()), blocks.of(b.column("text"))
         at = 0
         while at < len(b):
             upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PACK_CHARS, "right")))
-            yield packed([b.slice(at, upto - at)])
+            upto = min(upto, int(np.searchsorted(numbers, numbers[at], "right")))
+            yield packed(int(numbers[at]), [b.slice(at, upto - at)])
             at = upto
 
 
@@ -314,7 +334,7 @@ def _summed(told: dict[tuple[int, int], tuple[int, float, float]]):
     return run
 
 
-def perplexity(rows: DataFrame, model: DataFrame, told: dict[int, tuple[float, float]], n_blocks: int) -> DataFrame:
+def perplexity(rows: DataFrame, model: DataFrame, told: dict[int, tuple[float, float]], n_tasks: int) -> DataFrame:
     """rows without text, key and fold, with the perplexity a character; null for empty texts and keys without a model.
 
     rows has key, fold and text (no nulls); the model of key and fold has the number key * FOLDS + fold. A fold without a
@@ -324,11 +344,11 @@ def perplexity(rows: DataFrame, model: DataFrame, told: dict[int, tuple[float, f
     for key in {mk // FOLDS for mk in told}:
         there = [key * FOLDS + f for f in range(FOLDS) if key * FOLDS + f in told]
         by |= {(key, f): key * FOLDS + f if key * FOLDS + f in told else there[0] for f in range(FOLDS)}
-    dealt = rows.coalesce(n_blocks)  # both passes take all its columns, so that both have one plan and the same blocks
+    dealt = rows.coalesce(n_tasks)  # both passes take all its columns, so that both have one plan and the same blocks
     wide = model.groupBy(F.floor(F.col("mk") / FOLDS).cast("int").alias("key"), "gram").agg(*(F.coalesce(F.sum(F.when(F.col("mk") % FOLDS == f, F.col("value"))), F.lit(0.0)).cast("float").alias(f"value{f}") for f in range(FOLDS)))
-    asked = dealt.mapInArrow(_ask, "block int, key int, gram string")
+    asked = dealt.mapInArrow(_ask, "block long, key int, gram string")
     found = asked.join(wide, ["key", "gram"]).select("block", "key", "gram", *(f"value{f}" for f in range(FOLDS)))
-    packed = dealt.mapInArrow(_pack, "block int, packed binary")
+    packed = dealt.mapInArrow(_pack, "block long, packed binary")
     kept = [f for f in rows.schema.fields if f.name not in ("text", "key", "fold")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", perplexity double"
     return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_summed({kf: (mk % FOLDS, *told[mk]) for kf, mk in by.items()}), schema)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CLASS, SPACES, whole_text
+from tidemark.llm.common import SPACE_CLASS, SPACES, as_rows, whole_text
 
 #: Labelled rows that the list is learned from, at most; those with the least hash of doc_id are taken.
 SAMPLE_ROWS = 20_000
@@ -199,4 +199,5 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     rules = fit(docs, labels)
-    return with_statistics(docs).filter(~base_failed() & (verdict(rules) == 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = as_rows(docs).withColumn("text", F.col("_row.text"))
+    return with_statistics(rows).filter(~base_failed() & (verdict(rules) == 0)).select("_row.*")
