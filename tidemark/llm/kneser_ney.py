@@ -42,7 +42,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Of each language and fold, the numbers of trusted texts and of characters reach the driver.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), F.col("lang").cast("string").alias("lang"), F.char_length(whole_text()).cast("long").alias("n_chars"), whole_text().alias("text"))
-    rows = rows.withColumn("fold", ngram_model.fold(F.col("text")))
+    rows = ngram_model.spread(rows.withColumn("fold", ngram_model.fold(F.col("text"))))
     flagged = _flagged(rows, labels)
     good = F.col("_id").isNotNull() & (F.col("n_chars") > 0)
     sizes = flagged.groupBy("lang", "fold").agg(F.count(F.when(good, 1)).alias("n"), F.sum(F.when(good, F.col("n_chars")).otherwise(0)).alias("trusted"), F.sum("n_chars").alias("chars"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.sum(F.when(good, F.octet_length("text").cast("long")).otherwise(0)).alias("trusted_bytes")).collect()

@@ -50,6 +50,12 @@ def tasks(spark, n_bytes: int) -> int:
     return max(math.ceil(n_bytes / BLOCK_BYTES), spark.sparkContext.defaultParallelism)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in at least a partition a core. A scan of fewer is dealt anew and written, as blocks need an order that stays."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else write_table(rows.repartition(cores), "texts")
+
+
 class _Blocks:
     """Numbers of blocks for a task's texts in their order; both passes over the texts see the same order."""
 
