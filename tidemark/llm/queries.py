@@ -38,7 +38,7 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return simhash.fingerprint_search(table(spark, sf_dir, "documents"))
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

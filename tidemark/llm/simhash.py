@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import SPACE_CLASS, whole_text, width
+from tidemark.llm.common import SPACE_CLASS, whole_text, width, write_table
 
 #: Bits of a fingerprint: a multiple of 64.
 BITS = 128
@@ -136,11 +136,15 @@ def _tables(radius: int, blocks: int, bits: int) -> list[tuple[int, ...]]:
     return list(combinations(range(blocks), blocks - radius))
 
 
+def _block(words: list[Column], b: int, each: int) -> Column:
+    """Block b of a fingerprint's words, `each` blocks a word."""
+    edges = [64 * i // each for i in range(each + 1)]
+    return F.shiftrightunsigned(words[b // each], edges[b % each]).bitwiseAND(F.lit((1 << edges[b % each + 1] - edges[b % each]) - 1 if each > 1 else -1))
+
+
 def _keys(words: list[Column], radius: int, blocks: int, bits: int) -> Column:
     each = blocks // (bits // 64)
-    edges = [64 * i // each for i in range(each + 1)]
-    block = lambda b: F.shiftrightunsigned(words[b // each], edges[b % each]).bitwiseAND(F.lit((1 << edges[b % each + 1] - edges[b % each]) - 1 if each > 1 else -1))
-    return F.array(*(F.xxhash64(F.lit(t), *(block(b) for b in chosen)) for t, chosen in enumerate(_tables(radius, blocks, bits))))
+    return F.array(*(F.xxhash64(F.lit(t), *(_block(words, b, each) for b in chosen)) for t, chosen in enumerate(_tables(radius, blocks, bits))))
 
 
 def near_classes(rows: DataFrame, radius: int = 3, blocks: int = 6, bits: int = BITS) -> DataFrame:
@@ -149,16 +153,51 @@ def near_classes(rows: DataFrame, radius: int = 3, blocks: int = 6, bits: int =
     rows: doc_id and fingerprint. A document belongs to the class of its fingerprint; copies aren't expanded into pairs.
     """
     classes = rows.select("fingerprint").distinct()
-    keyed = classes.select("fingerprint", F.explode(_keys(words_of(F.col("fingerprint"), bits), radius, blocks, bits)).alias("key"))
-    a, b = keyed.withColumnRenamed("fingerprint", "a"), keyed.withColumnRenamed("fingerprint", "b")
-    apart = distance(words_of(F.col("a"), bits), words_of(F.col("b"), bits))
-    return a.join(b, "key").filter("a < b").withColumn("distance", apart).filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+    return _matches(classes, classes, radius, blocks, bits).filter(F.col("_q") < F.col("fingerprint")).select(F.col("_q").alias("a"), F.col("fingerprint").alias("b"), "distance")
+
+
+def _matches(queries: DataFrame, rows: DataFrame, radius: int, blocks: int, bits: int) -> DataFrame:
+    """Pairs (_q, fingerprint, distance) of a fingerprint that is asked about and one of rows within the radius, each once.
+
+    A pair meets in every table whose blocks are equal in both, but counts in the first of them alone, which its own bits
+    tell; so nothing has to be made distinct. queries and rows have the column fingerprint, each once.
+    """
+    tables, each = _tables(radius, blocks, bits), blocks // (bits // 64)
+    words = bits // 64
+    keyed = lambda df, p: df.select(F.col("fingerprint").alias(p), *(w.alias(f"{p}{i}") for i, w in enumerate(words_of(F.col("fingerprint"), bits)))).select(p, *(f"{p}{i}" for i in range(words)), F.posexplode(_keys([F.col(f"{p}{i}") for i in range(words)], radius, blocks, bits)).alias("_t", "_key"))
+    asked, held = keyed(queries, "_q"), keyed(rows, "_h").withColumnsRenamed({"_t": "_ht", "_key": "_hkey"})
+    a, b = [F.col(f"_q{i}") for i in range(words)], [F.col(f"_h{i}") for i in range(words)]
+    equal = reduce(lambda x, y: x + y, (F.when(_block([x.bitwiseXOR(y) for x, y in zip(a, b, strict=True)], i, each) == 0, 1 << i).otherwise(0) for i in range(blocks)))
+    first = {}
+    for m in range(1 << blocks):
+        same = tuple(i for i in range(blocks) if m >> i & 1)
+        first[m] = tables.index(same[: blocks - radius]) if len(same) >= blocks - radius else -1
+    firsts = F.array(*(F.lit(first[m]) for m in range(1 << blocks)))
+    met = asked.join(held, (F.col("_key") == F.col("_hkey")) & (F.col("_t") == F.col("_ht")))
+    return met.withColumn("distance", distance(a, b)).filter((F.col("distance") <= radius) & (F.get(firsts, equal) == F.col("_t"))).select("_q", F.col("_h").alias("fingerprint"), "distance")
 
 
 def search(queries: DataFrame, rows: DataFrame, radius: int = 3, blocks: int = 6, bits: int = BITS) -> DataFrame:
     """Fingerprints of rows within the radius of each query's: doc_id of the query, fingerprint, distance."""
-    classes = rows.select("fingerprint").distinct()
-    asked = queries.select("doc_id", F.col("fingerprint").alias("_q"), F.explode(_keys(words_of(F.col("fingerprint"), bits), radius, blocks, bits)).alias("key"))
-    held = classes.select("fingerprint", F.explode(_keys(words_of(F.col("fingerprint"), bits), radius, blocks, bits)).alias("key"))
-    apart = distance(words_of(F.col("_q"), bits), words_of(F.col("fingerprint"), bits))
-    return asked.join(held, "key").withColumn("distance", apart).filter(F.col("distance") <= radius).select("doc_id", "fingerprint", "distance").distinct()
+    found = _matches(queries.select("fingerprint").distinct(), rows.select("fingerprint").distinct(), radius, blocks, bits)
+    return queries.select("doc_id", F.col("fingerprint").alias("_asked")).distinct().join(found, F.col("_asked") == F.col("_q")).select("doc_id", "fingerprint", "distance")
+
+
+def count_near(queries: DataFrame, rows: DataFrame, radius: int = 3, blocks: int = 6, bits: int = BITS) -> DataFrame:
+    """fingerprint and n_near of each fingerprint of queries: how many other fingerprints of rows lie within the radius.
+
+    Copies are one fingerprint; a key that very many share is dealt by the join, as only counts leave it.
+    """
+    asked = queries.select("fingerprint").distinct()
+    found = _matches(asked, rows.select("fingerprint").distinct(), radius, blocks, bits).filter(F.col("_q") != F.col("fingerprint"))
+    counts = found.groupBy("_q").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(counts, F.col("fingerprint") == F.col("_q"), "left").select("fingerprint", F.coalesce("n", F.lit(0).cast("long")).alias("n_near"))
+
+
+def fingerprint_search(docs: DataFrame, every: int = 50, radius: int = 3, bits: int = BITS) -> DataFrame:
+    """fingerprint_edits, and for the documents whose id `every` divides n_near: the other fingerprints of all documents
+    within the radius of theirs, found by the block tables; null for the others."""
+    found = write_table(fingerprint_edits(docs, bits), "fingerprints")
+    asks = F.coalesce(F.pmod("doc_id", F.lit(every)) == 0, F.lit(False))
+    near = write_table(count_near(found.filter(asks), found, radius, bits=bits), "near").select(F.col("fingerprint").alias("_q"), "n_near")
+    return found.join(near, (F.col("fingerprint") == F.col("_q")) & asks, "left").drop("_q")
