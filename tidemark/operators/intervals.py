@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,17 +35,37 @@ def subtract(outer: DataFrame, inner: DataFrame, keys: list[str], start: str = "
     return merge(free, keys, start, end).drop("n").filter(F.col(end) - F.col(start) >= least)
 
 
+def _levels(df: DataFrame, bucket: int, start: str, end: str) -> DataFrame:
+    """df with _level: the least l for which buckets of bucket * 2^l are at least as long as the interval, so it meets two at most."""
+    span = F.floor(F.col(end) / bucket).cast("long") - F.floor(F.col(start) / bucket).cast("long")
+    return df.withColumn("_level", F.when(span <= 1, 0).otherwise(F.ceil(F.log2(span.cast("double")))).cast("int"))
+
+
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bucket: int, start: str = "start", end: str = "end") -> DataFrame:
     """Pairs with a common instant: keys, a's and b's columns with the prefixes a_ and b_.
 
-    Each interval goes to the time buckets that it touches; a pair meets in the first bucket that both touch, so the join
-    has equal keys and no duplicates.
+    Buckets of bucket, 2 * bucket, 4 * bucket, ... An interval of any length lies at home in one or two buckets of the level
+    of its own length, and visits one or two at each higher level that some interval is at home in. A pair meets where the
+    longer one is at home, in the first bucket that both touch: equal keys, each pair once, and no row for each bucket of a
+    long interval. What is collected is the levels that occur, 64 numbers at most.
     """
-    cut = lambda c: F.floor(F.col(c) / bucket).cast("long")
-    side = lambda df, p: df.select(*keys, *(F.col(c).alias(p + c) for c in df.columns if c not in keys), F.explode(F.sequence(cut(start), cut(end))).alias("_bucket"))
-    first = F.greatest(F.floor(F.col(f"a_{start}") / bucket), F.floor(F.col(f"b_{start}") / bucket))
-    joined = side(a, "a_").join(side(b, "b_"), [*keys, "_bucket"])
-    return joined.filter((F.col(f"a_{start}") <= F.col(f"b_{end}")) & (F.col(f"b_{start}") <= F.col(f"a_{end}")) & (F.col("_bucket") == first)).drop("_bucket")
+    a, b = _levels(a, bucket, start, end), _levels(b, bucket, start, end)
+    levels = [sorted(r[0] for r in df.select("_level").distinct().collect() if r[0] is not None) for df in (a, b)]
+    node = lambda c, level: F.floor(F.floor(F.col(c) / bucket) / F.pow(F.lit(2.0), level)).cast("long")
+
+    def side(df: DataFrame, p: str, at: Column) -> DataFrame:
+        """df once for each bucket of the levels in the array at."""
+        rows = df.select(*keys, *(F.col(c).alias(p + c) for c in df.columns if c not in (*keys, "_level")), F.explode(at).alias("_at"))
+        first, last = node(p + start, F.col("_at")), node(p + end, F.col("_at"))
+        return rows.select("*", first.alias(f"_{p}first"), F.explode(F.sequence(first, last)).alias("_node")).withColumnRenamed("_at", "_level")
+
+    home = F.array("_level")
+    up = lambda found, least: F.filter(F.array(*map(F.lit, found)).cast("array<int>"), lambda x: x >= least)
+    on, order = [*keys, "_level", "_node"], [*keys, *(f"a_{c}" for c in a.columns if c not in (*keys, "_level")), *(f"b_{c}" for c in b.columns if c not in (*keys, "_level"))]
+    longer = side(a, "a_", home).join(side(b, "b_", up(levels[0], F.col("_level"))), on)
+    shorter = side(b, "b_", home).join(side(a, "a_", up(levels[1], F.col("_level") + 1)), on)
+    meet = (F.col(f"a_{start}") <= F.col(f"b_{end}")) & (F.col(f"b_{start}") <= F.col(f"a_{end}")) & (F.col("_node") == F.greatest("_a_first", "_b_first"))
+    return longer.filter(meet).select(*order).unionByName(shorter.filter(meet).select(*order))
 
 
 def inside_any(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str = "start", end: str = "end") -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.functions import text as x
 from tidemark.functions import vectors as v
 from tidemark.operators import asof, folds, intervals, rhythm, runs, signal
 from tidemark.plans import questions as ask
-from tidemark.plans import scenes, usersql
+from tidemark.plans import extras, scenes, usersql
 from tidemark.sources import npz
 from tidemark.sources.tables import fresh_path, observations, table
 from tidemark.streaming import online, sessions
@@ -764,5 +764,5 @@ def user_select(spark, sf_dir):
 # ---- scenes
 
 
-QUERIES |= scenes.QUERIES
-ORACLES |= scenes.ORACLES
+QUERIES |= scenes.QUERIES | extras.QUERIES
+ORACLES |= scenes.ORACLES | extras.ORACLES
