@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", max_gap: float = 0) -> DataFrame:
-    """Unites intervals whose start is at most max_gap after the greatest end so far: keys, start, end, n."""
+def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", max_gap: float = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Unites intervals whose start is at most max_gap after the greatest end so far: keys, start, end, n, and of the columns in
+    carry, which are the same for all rows of a key, that value."""
     w = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = df.withColumn("_open", F.when(F.col(start) - before <= max_gap, 0).otherwise(1))
     island = opened.withColumn("_island", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
+    return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in carry)).drop("_island")
 
 
 def subtract(outer: DataFrame, inner: DataFrame, keys: list[str], start: str = "start", end: str = "end", least: float = 0) -> DataFrame:

@@ -79,22 +79,24 @@ def visibility(tracks: DataFrame, rules: Rules) -> DataFrame:
     w = Window.partitionBy(*KEYS).orderBy("t")
     edge = g.near_edge(*_box(), F.col("width"), F.col("height"))
     rows = marked.withColumns({"edge": edge, "_before": F.lag("seg").over(w), "_after": F.lead("seg").over(w), "_last_t": F.lag("t").over(w)})
-    opens = rows.filter(F.col("_before").isNull() | (F.col("_before") != F.col("seg")))
-    closes = rows.filter(F.col("_after").isNull() | (F.col("_after") != F.col("seg")))
-    gap = F.col("t") - F.col("_last_t")
-    first = F.col("_before").isNull()
-    entering = _event(
-        opens, F.when(first, "enter_view").otherwise("reappear"), "t", subject=F.col("gid"), gap_s=gap,
-        confidence=F.when(first, F.col("conf")).otherwise(F.least("conf", F.coalesce("reid_score", F.lit(1.0)))),
-        details=F.when(first & F.col("edge"), "enters from frame edge").when(first, "first seen inside the frame").otherwise(F.format_string("seen again after %.1fs unseen", gap)),
+    gap, first, last = F.col("t") - F.col("_last_t"), F.col("_before").isNull(), F.col("_after").isNull()
+    opens = first | (F.col("_before") != F.col("seg"))
+    closes = F.when(last, F.col("t") < F.col("duration") - 2 * F.col("step") - 0.5).otherwise(F.col("_after") != F.col("seg"))
+    entering = F.struct(
+        F.when(first, "enter_view").otherwise("reappear").alias("type"),
+        F.when(first, F.col("conf")).otherwise(F.least("conf", F.coalesce("reid_score", F.lit(1.0)))).alias("confidence"),
+        F.when(first & F.col("edge"), "enters from frame edge").when(first, "first seen inside the frame").otherwise(F.format_string("seen again after %.1fs unseen", gap)).alias("details"),
+        gap.alias("gap_s"),
     )
-    last = F.col("_after").isNull()
-    ended = closes.filter(~last | (F.col("t") < F.col("duration") - 2 * F.col("step") - 0.5))
-    leaving = _event(
-        ended, F.when(~last & ~F.col("edge"), "occluded").otherwise("exit_view"), "t", subject=F.col("gid"), confidence=F.col("conf"),
-        details=F.when(last, F.when(F.col("edge"), "leaves the frame").otherwise("disappears mid-frame")).when(F.col("edge"), "leaves the frame (comes back later)").otherwise("lost mid-frame"),
+    leaving = F.struct(
+        F.when(~last & ~F.col("edge"), "occluded").otherwise("exit_view").alias("type"),
+        F.col("conf").alias("confidence"),
+        F.when(last, F.when(F.col("edge"), "leaves the frame").otherwise("disappears mid-frame")).when(F.col("edge"), "leaves the frame (comes back later)").otherwise("lost mid-frame").alias("details"),
+        F.lit(None).cast("double").alias("gap_s"),
     )
-    return entering.unionByName(leaving)
+    # both ends of a segment from one pass over the rows
+    ends = rows.withColumn("_e", F.explode(F.array_compact(F.array(F.when(opens, entering), F.when(closes, leaving)))))
+    return _event(ends, F.col("_e.type"), "t", subject=F.col("gid"), confidence=F.col("_e.confidence"), details=F.col("_e.details"), gap_s=F.col("_e.gap_s"))
 
 
 def zone_visits(tracks: DataFrame, rules: Rules) -> DataFrame:
@@ -111,20 +113,17 @@ def zone_visits(tracks: DataFrame, rules: Rules) -> DataFrame:
     keys = [*KEYS, "zone", "seg"]
     calm = runs.flip_short_runs(flat, keys, ["t"], "inside", "t", rules.zone_min_dwell, F.col("step"))
     spans = runs.with_run(calm, keys, ["t"], "inside").filter("inside").groupBy(*keys, "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.first("mean_conf").alias("confidence"))
-    about = spans.groupBy(*KEYS, "zone").agg(F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.first("confidence").alias("confidence"))
-    return intervals.merge(spans, [*KEYS, "zone"], max_gap=rules.zone_merge).join(about, [*KEYS, "zone"])
+    return intervals.merge(spans, [*KEYS, "zone"], max_gap=rules.zone_merge, carry=("kind", "cls", "confidence"))
 
 
 def zone_events(visits: DataFrame) -> DataFrame:
     """zone_enter, in_zone and zone_exit; visits may have the duration of their video."""
     said = lambda verb: F.concat_ws(" ", "gid", F.lit(verb), "zone")
-    shared = {"subject": F.col("gid"), "zone": F.col("zone"), "confidence": F.col("confidence")}
     spent = F.concat(said("inside"), F.format_string(" for %.1fs", F.col("end") - F.col("start")))
-    return (
-        _event(visits, "zone_enter", "start", **shared, details=said("enters"))
-        .unionByName(_event(visits, "in_zone", "start", "end", **shared, details=spent))
-        .unionByName(_event(visits, "zone_exit", "end", **shared, details=said("leaves")))
-    )
+    one = lambda type_, start, end, details: F.struct(F.lit(type_).alias("type"), F.col(start).alias("start"), F.col(end).alias("end"), details.alias("details"))
+    three = F.array(one("zone_enter", "start", "start", said("enters")), one("in_zone", "start", "end", spent), one("zone_exit", "end", "end", said("leaves")))
+    rows = visits.withColumn("_e", F.explode(three)).withColumns({"_start": F.col("_e.start"), "_end": F.col("_e.end")})
+    return _event(rows, F.col("_e.type"), "_start", "_end", subject=F.col("gid"), zone=F.col("zone"), confidence=F.col("confidence"), details=F.col("_e.details"))
 
 
 def stays(tracks: DataFrame, rules: Rules) -> DataFrame:
@@ -154,8 +153,8 @@ def interactions(tracks: DataFrame, rules: Rules) -> DataFrame:
 
 
 def untouched(stationary: DataFrame, touched: DataFrame, rules: Rules) -> DataFrame:
-    """Pieces of things' stays that no interaction covers."""
-    still = stationary.filter("kind <> 'person'")
+    """Pieces of things' stays that no interaction covers. The stays, a fold's result that is asked thrice, are written once."""
+    still = cut(stationary.filter("kind <> 'person'"), "stays")
     outer = still.select("video_id", F.col("subject").alias("gid"), "start", "end")
     inner = touched.select("video_id", F.col("other").alias("gid"), "start", "end").join(outer.select("video_id", "gid").distinct(), ["video_id", "gid"])
     about = still.groupBy("video_id", F.col("subject").alias("gid")).agg(F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.max("confidence").alias("confidence"))
@@ -271,17 +270,21 @@ def numbered(log: DataFrame) -> DataFrame:
     return rounded.withColumn("id", F.concat(F.lit("E"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))).withColumn("when", span_text(F.col("start"), F.col("end"))).drop("_rank")
 
 
-def build(tracks: DataFrame, meta: DataFrame, rules: Rules, series: DataFrame | None = None, energy: DataFrame | None = None, audio: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
-    """The whole log. meta: video_id, width, height, duration, step. A series with cam_a .. cam_ty corrects for the camera."""
+def build(tracks: DataFrame, meta: DataFrame, rules: Rules, series: DataFrame | None = None, energy: DataFrame | None = None, audio: DataFrame | None = None, texts: DataFrame | None = None, limits: dict[str, tuple[float, float]] = CHANGES, window: float = 0.1, rise: float = 12.0) -> DataFrame:
+    """The whole log. meta: video_id, width, height, duration, step. A series with cam_a .. cam_ty corrects for the camera.
+
+    The tracks in their scene, and the families that others are made of, are written once and read from there.
+    """
     rows = tracks.join(meta, "video_id")
     if series is not None and "cam_a" in series.columns:
         rows = with_camera(rows, series)
-    seen, still, touched = visibility(rows, rules), stays(rows, rules), interactions(rows, rules)
+    rows = cut(rows, "scene")
+    seen, still, touched = (cut(df, name) for df, name in ((visibility(rows, rules), "seen"), (stays(rows, rules), "still"), (interactions(rows, rules), "touched")))
     log = seen.unionByName(still).unionByName(touched)
     if any(z.kind == "area" for z in rules.zones):
         log = log.unionByName(zone_events(zone_visits(rows, rules)))
     log = log.unionByName(untouched(still, touched, rules)).unionByName(left_objects(rows, seen))
-    for part, made in ((energy, lambda x: activity(x, rules)), (series, sudden_changes), (audio, sounds), (texts, captions)):
+    for part, made in ((energy, lambda x: activity(x, rules)), (series, lambda x: sudden_changes(x, limits=limits)), (audio, lambda x: sounds(x, window, rise)), (texts, captions)):
         if part is not None:
             log = log.unionByName(made(part))
     return numbered(log)

@@ -225,3 +225,31 @@ def camera_shift(spark, sf_dir):
     series = rows.filter("kind = 'person'").select("video_id", "t", F.lit(1.0).alias("cam_a"), F.lit(0.0).alias("cam_b"), (F.col("t") * 2 % 9 / 64).alias("cam_tx"), F.lit(0.0).alias("cam_c"), F.lit(1.0).alias("cam_d"), F.lit(0.0).alias("cam_ty"))
     moved = eventlog.with_camera(rows.join(series.select("video_id").distinct(), "video_id"), series)
     return moved.select("video_id", "gid", "t", F.col("cam.tx").alias("tx"))
+
+
+LIMITS = {"motion": (2.0, 2.5), "_flash": (2.0, 1.5), "redness": (1.5, 4.0)}
+_RANK = "CASE type " + " ".join(f"WHEN '{t}' THEN {r}" for t, r in eventlog.RANKS.items()) + " END"
+#: Each family's twin as rows of one log: type, start, end, subject, zone, other and, where rows differ in nothing else, details.
+_FAMILIES = (
+    ("log_visibility", 'type, "start", "start", subject, NULL, NULL, NULL'), ("log_zones", 'type, "start", "end", subject, zone, NULL, NULL'), ("log_stays", "'stationary', \"start\", \"end\", subject, NULL, NULL, NULL"),
+    ("log_interactions", "'interaction', \"start\", \"end\", subject, NULL, other, NULL"), ("log_untouched", "'untouched', \"start\", \"end\", subject, NULL, NULL, NULL"), ("log_left_objects", "'object_left', \"start\", \"start\", subject, NULL, other, NULL"),
+    ("log_sudden_changes", "'sudden_change', \"start\", \"end\", NULL, 'whole frame', NULL, details"), ("log_sounds", "'sound', \"start\", \"end\", NULL, 'audio', NULL, NULL"),
+)
+_WHOLE = " UNION ALL ".join(
+    [f"SELECT video_id, {columns} FROM ({ORACLES[name]})" for name, columns in _FAMILIES]
+    + [f"SELECT 'plant', type, \"start\", \"end\", NULL, zone, NULL, NULL FROM ({ORACLES['log_activity']})", f"SELECT video_id, 'caption', t, t, NULL, 'whole frame', NULL, NULL FROM (WITH {TRACKS} SELECT * FROM tracks WHERE tick % 64 = 0 AND kind = 'person')"]
+)
+
+
+@query(f"""WITH al(video_id, type, s, e, subject, zone, other, details) AS ({_WHOLE}), n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY s, {_RANK}, subject NULLS FIRST, type, e, zone NULLS FIRST, other NULLS FIRST, details NULLS FIRST) AS r FROM al)
+SELECT video_id, 'E' || CASE WHEN r < 1000 THEN lpad(CAST(r AS VARCHAR), 3, '0') ELSE CAST(r AS VARCHAR) END AS id, type, s AS "start", e AS "end", round(e - s, 2) AS duration, subject, zone, other FROM n""")
+def log_all(spark, sf_dir):
+    """The whole log in its one order: all families of tracks, energy, series, sound and captions through build()."""
+    rows = tracks(spark, sf_dir)
+    frame = ("width", "height", "duration", "step")
+    energy = _energy(spark, sf_dir)
+    series = energy.select(F.col("zone").alias("video_id"), "t", F.col("energy").alias("motion"), F.col("mass").alias("brightness"), (F.col("mass") % 13).alias("redness"), F.lit(0.0).alias("camera_speed"))
+    audio = energy.select(F.col("zone").alias("video_id"), "t", F.col("energy").alias("db"), (F.col("mass") % 10 / 10).alias("tonality"))
+    texts = rows.filter((F.col("t") * 2 % 64 == 0) & (F.col("kind") == "person")).select("video_id", "t", F.lit("a still picture").alias("text"))
+    log = eventlog.build(rows.drop(*frame), rows.select("video_id", *frame).distinct(), RULES, series, energy, audio, texts, LIMITS, 1.0, 1.0)
+    return log.select("video_id", "id", "type", "start", "end", "duration", "subject", "zone", "other")
