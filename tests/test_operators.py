@@ -140,6 +140,24 @@ def test_vector_queries_score_all_pairs_and_both_sides(spark):
     assert sorted((r.a, r.b) for r in ranked) == sorted((a, b) for a, bs in near.items() for _, b in bs)
 
 
+def test_blocks_of_vectors_meet_each_other_once(spark):
+    import numpy as np
+
+    from tidemark.operators import similar
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i), f"g{i % 2}" if i % 9 else None, v.round(1).tolist()) for i, v in enumerate(rng.standard_normal((90, 3)))] + [(500, "alone", [1.0, 0.0, 0.0]), (501, "g0", None)]
+    df = spark.createDataFrame(rows, "i long, g string, v array<double>")
+    cos = lambda p, q: float(np.dot(p, q) / np.sqrt(np.dot(p, p) * np.dot(q, q)))
+    pairs = {(a[0], b[0]): cos(a[2], b[2]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] and b[2]}
+    for block in (7, 1_000):
+        got = {(r.a, r.b): r.c for r in similar.pairs_above(df, "g", "i", "v", 0.4, block=block).collect()}
+        assert got.keys() == {k for k, c in pairs.items() if c > 0.4} and all(got[k] == pytest.approx(pairs[k]) for k in got)
+        near = sorted((r.a, r.b) for r in similar.most_similar(df, "g", "i", "v", 3, block=block).collect())
+        both = [(a, b, c) for (a, b), c in pairs.items()] + [(b, a, c) for (a, b), c in pairs.items()]
+        assert near == sorted((a, b) for a in {x[0] for x in both} for _, b in sorted((-round(c, 9), b) for x, b, c in both if x == a)[:3])
+
+
 def test_running_median_and_clusters_over_all_hits(spark):
     import statistics
 

@@ -8,8 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import geometry as g
 from tidemark.functions import text as x
-from tidemark.functions import vectors as v
-from tidemark.operators import asof, folds, intervals, rhythm, runs, signal
+from tidemark.operators import asof, folds, intervals, rhythm, runs, signal, similar
 from tidemark.plans import questions as ask
 from tidemark.plans import extras, scenes, usersql
 from tidemark.sources import npz
@@ -359,15 +358,9 @@ def iou_cluster(spark, sf_dir):
 E2 = "SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id"
 
 
-def _pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    return a.join(b, "label").filter("a < b")
-
-
 @query(f"SELECT a, b, round(c, 6) AS similarity FROM ({E2}) WHERE c > 0.3")
 def cosine_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).withColumn("c", v.cosine(F.col("ea"), F.col("eb"))).filter("c > 0.3").select("a", "b", F.round("c", 6).alias("similarity"))
+    return similar.pairs_above(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3).select("a", "b", F.round("c", 6).alias("similarity"))
 
 
 TOP2 = f"SELECT a, b, round(c, 6) AS similarity FROM (SELECT a, b, c FROM ({E2}) UNION ALL SELECT b, a, c FROM ({E2})) QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 2"
@@ -376,9 +369,7 @@ TOP2 = f"SELECT a, b, round(c, 6) AS similarity FROM (SELECT a, b, c FROM ({E2})
 @query(TOP2)
 def topk_similar(spark, sf_dir):
     """The two nearest of every vector among all others of its label."""
-    scored = _pairs(spark, sf_dir).withColumn("c", v.cosine(F.col("ea"), F.col("eb"))).withColumn("c9", F.round("c", 9)).select("a", "b", "c", "c9")
-    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    return runs.top(scored.select(both.alias("p"), "c", "c9").select("p.a", "p.b", "c", "c9"), ["a"], [F.desc("c9"), "b"], 2).select("a", "b", F.round("c", 6).alias("similarity"))
+    return similar.most_similar(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 2).select("a", "b", F.round("c", 6).alias("similarity"))
 
 
 @query("SELECT label, i - 1 AS i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY ALL")
@@ -393,8 +384,7 @@ SHARED = "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(lis
 @query(SHARED)
 def hist_intersection(spark, sf_dir):
     """Shared histogram mass of every pair of one label."""
-    size = lambda c: F.transform(c, lambda z: F.abs(z.cast("double")))
-    return _pairs(spark, sf_dir).select("a", "b", F.round(v.histogram_overlap(size("ea"), size("eb")), 6).alias("shared"))
+    return similar.pairs_above(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", -1.0, similar.overlap).select("a", "b", F.round("c", 6).alias("shared"))
 
 
 # the names that these two had beside narrower ones
