@@ -21,20 +21,23 @@ def remove_tables(spark: SparkSession) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Lets Spark remove the shuffle files of a finished SQL execution, here of a written table.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: Spark removes the shuffle files of the finished execution, and Python workers get their
+#: rows in batches of so many bytes, where whole texts would else make batches of 64 MB.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor. The shuffles that made it are
-    removed from the executors' disks with it; the session's own setting stays as it is."""
+    removed from the executors' disks with it; the session's own settings stay as they are."""
     spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    path, before = fresh_path(spark, name), {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
