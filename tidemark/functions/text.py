@@ -76,3 +76,13 @@ def file_name(text: Column) -> Column:
 def finite(value: Column) -> Column:
     """Null for NaN and infinities."""
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
+
+
+def clock(moment: Column, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
+    """A wall-clock time for a report, to the minute."""
+    return F.date_format(moment.cast("timestamp"), pattern)
+
+
+def digest(*parts: Column, digits: int = 16) -> Column:
+    """The first hexadecimal digits of the SHA-256 of texts, each ended by a zero byte so that none runs into the next."""
+    return F.substring(F.sha2(F.concat(*(F.concat(F.coalesce(p.cast("string"), F.lit("")), F.lit("\0")) for p in parts)), 256), 1, digits)

@@ -58,3 +58,8 @@ def decibel(samples: Column) -> Column:
 def carry_forward(value: str, keys: list[str], order: list[str]) -> Column:
     """The last value that was set."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def redness(red: Column, green: Column, blue: Column) -> Column:
+    """How much red stands out of a frame's mean colours."""
+    return red - (blue + green) / 2

@@ -670,6 +670,32 @@ for _name, (_question, _sql) in ANSWERS.items():
     QUERIES[_name], ORACLES[_name] = _answered(_question), _sql
 
 
+# ---- the log's table, timeline and tiles
+
+
+@query(f"""WITH {LOG} SELECT video_id, 'bar' AS mark, subject AS row, "start", greatest("end", "start" + 0.25e0) AS "end" FROM log WHERE type = 'in_zone' UNION ALL SELECT video_id, type, subject, "start", "start" FROM log WHERE type IN ('zone_enter', 'reappear')
+UNION ALL SELECT video_id, type, zone, "start", greatest("end", "start" + 0.5e0) FROM log WHERE type IN ('activity_stop', 'sound', 'sudden_change')""")
+def timeline(spark, sf_dir):
+    """Bars, markers and spans of each video."""
+    log = _log(spark, sf_dir)
+    return ask.timeline(log, log.filter("type = 'in_zone'").select("video_id", F.col("subject").alias("gid"), "start", "end"))
+
+
+@query(f"""WITH {LOG} SELECT video_id, event_id, type, greatest(0e0, "start" - 1) AS seek FROM log WHERE type IN ('sound', 'object_left')""")
+def seek_rows(spark, sf_dir):
+    """Rows of some types with where to start playing them."""
+    return ask.seek(_log(spark, sf_dir), ["sound", "object_left"]).select("video_id", "event_id", "type", "seek")
+
+
+@query(f"""WITH {LOG}, i AS (SELECT video_id, subject, any_value(kind) AS kind, count(*) FILTER (type = 'reappear') AS links FROM log GROUP BY ALL) SELECT video_id, 100e0 AS duration, 5e0 AS samples_per_second, count(*) FILTER (kind = 'person') AS people, count(*) FILTER (kind <> 'person') AS others, CAST(sum(links) AS BIGINT) AS links, any_value(n) AS events
+FROM i JOIN (SELECT video_id, count(*) AS n FROM log GROUP BY ALL) USING (video_id) GROUP BY video_id""")
+def summary_tiles(spark, sf_dir):
+    """One row of figures a video."""
+    log = _log(spark, sf_dir)
+    who = log.groupBy("video_id", "subject").agg(F.first("kind").alias("kind"), F.count_if(F.col("type") == "reappear").alias("reid_links"))
+    return ask.tiles(log, who, log.select("video_id", F.lit(100.0).alias("duration"), F.lit(0.2).alias("step")).distinct())
+
+
 # ---- the same from a stream
 
 

@@ -174,3 +174,48 @@ def durations_in_turns(spark, sf_dir):
     unit = F.when(turn == 0, ".5 minutes").when(turn == 1, " s").when(turn == 2, "m").otherwise(" hours")
     said = F.concat(F.coalesce("text", F.lit("")), F.lit(" wait "), (F.col("conv_id") % 90).cast("string"), unit, F.lit(" please"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", duration_seconds(said).alias("seconds"))
+
+
+# ---- functions over whole tables, a row each
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t, CASE turn % 4 WHEN 0 THEN '  YES, ' WHEN 1 THEN 'no. ' WHEN 2 THEN 'True ' ELSE 'nothing ' END || conv_id || '.5 & <b>"q"</b> ' || coalesce(text, '') AS said FROM conversations)
+SELECT conv_id, turn, TRY_CAST(regexp_extract(said, '(-?\d+(?:\.\d+)?)', 1) AS DOUBLE) AS number, CASE WHEN regexp_matches(lower(trim(said)), '^(yes|true)\b') THEN 'yes' WHEN regexp_matches(lower(trim(said)), '^(no|false)\b') THEN 'no' END AS verdict,
+sha256(replace(replace(replace(replace(said, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped, sha256(regexp_replace(said, '[^A-Za-z0-9._-]+', '_', 'g')) AS file, sha256(conv_id || chr(0) || t || chr(0))[:16] AS key FROM c""")
+def told_in_turns(spark, sf_dir):
+    """Numbers, verdicts, escaped text, file names and keys of whole turns."""
+    from tidemark.functions import text as x
+
+    turn = F.col("turn") % 4
+    head = F.when(turn == 0, "  YES, ").when(turn == 1, "no. ").when(turn == 2, "True ").otherwise("nothing ")
+    whole = F.coalesce("text", F.lit(""))
+    said = F.concat(head, F.col("conv_id").cast("string"), F.lit('.5 & <b>"q"</b> '), whole)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", x.first_number(said).alias("number"), x.yes_or_no(said).alias("verdict"), F.sha2(x.escape_html(said), 256).alias("escaped"), F.sha2(x.file_name(said), 256).alias("file"), x.digest(F.col("conv_id"), whole).alias("key"))
+
+
+@query(f"""WITH {OBS} SELECT event_id, CASE WHEN k % 4 > 1 THEN v END AS clean, k - (k % 7 + k % 11) / 2e0 AS redness, CASE WHEN v * 10 <= 300 THEN 10 WHEN v * 10 <= 900 THEN 6 WHEN v * 10 <= 1800 THEN 4 ELSE 2 END AS rate, strftime(make_timestamp(us), '%Y-%m-%d %H:%M') AS clock,
+round(20 * log10(sqrt(((k / 64e0) * (k / 64e0) + (k / 32e0) * (k / 32e0)) / 2 + 1e-12) + 1e-9), 6) AS db FROM obs""")
+def signal_values(spark, sf_dir):
+    """Finite values, clock times, redness, loudness and sample rates."""
+    from tidemark.functions import text as x
+    from tidemark.operators import signal
+    from tidemark.sources.tables import sample_rate
+
+    k, v = F.col("k"), F.col("v")
+    odd = F.when(k % 4 == 0, float("nan")).when(k % 4 == 1, float("-inf")).otherwise(v)
+    return observations(spark, sf_dir).select(
+        "event_id", x.finite(odd).alias("clean"), signal.redness(k, k % 7, k % 11).alias("redness"), sample_rate(v * 10).alias("rate"),
+        x.clock(F.timestamp_micros("us")).alias("clock"), F.round(signal.decibel(F.array(k / 64.0, k / 32.0)), 6).alias("db"),
+    )
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL) GROUP BY label)
+SELECT vec_id, round(greatest(0e0, least(1e0, (list_cosine_similarity(e, m) - 0.80e0) / 0.18e0)), 6) AS likeness FROM v JOIN c USING (label)""")
+def likeness_to_centre(spark, sf_dir):
+    """How like each vector is its label's centre, on the scale of appearances."""
+    from tidemark.functions import vectors as vec
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    parts = e.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    centre = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
+    return e.join(centre, "label").select("vec_id", F.round(vec.rescaled_cosine(F.col("e"), F.col("m")), 6).alias("likeness"))
