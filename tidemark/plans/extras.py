@@ -219,3 +219,53 @@ def likeness_to_centre(spark, sf_dir):
     parts = e.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     centre = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
     return e.join(centre, "label").select("vec_id", F.round(vec.rescaled_cosine(F.col("e"), F.col("m")), 6).alias("likeness"))
+
+
+# ---- sinks and sources read back (S1, S2, S7, S8, S9), zones as they are drawn
+
+
+@query(f"WITH {OBS} SELECT gid, count(*) AS n, CAST(sum(k) AS BIGINT) AS k, round(sum(v), 4) AS total, count(DISTINCT cls) AS types, 3 + gid % 4 AS stop_min FROM obs GROUP BY gid")
+def sinks_read_back(spark, sf_dir):
+    """Observations as CSV and as a log by video, a config as JSON; read back and joined."""
+    from tidemark.sources.tables import read_config, read_csv, write_csv, write_log
+
+    obs = observations(spark, sf_dir)
+    csv, log, config = (fresh_path(spark, n) for n in ("csv", "log", "config"))
+    write_csv(obs.select("event_id", "gid", "k", F.concat(F.lit('a "'), "cls", F.lit('", b')).alias("cls")), csv)
+    write_log(obs.select((F.col("gid") % 10).alias("video_id"), "event_id", "v"), log)
+    obs.select("gid").distinct().select("gid", F.struct((3 + F.col("gid") % 4).alias("stop_min")).alias("rules")).write.partitionBy("gid").json(config)
+    rows = read_csv(spark, csv, "event_id long, gid long, k int, cls string").join(spark.read.schema("event_id long, v double, video_id long").parquet(log), "event_id")
+    told = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.round(F.sum("v"), 4).alias("total"), F.countDistinct(F.regexp_extract("cls", 'a "(.*)", b', 1)).alias("types"))
+    rules = read_config(spark, config, "gid long, rules struct<stop_min: long>")
+    return told.join(rules, "gid").select("gid", "n", "k", "total", "types", "rules.stop_min")
+
+
+@query(f"""WITH {OBS}, lg AS (SELECT gid % 10 AS video_id, us // 1000000 AS st, event_id, cls, k FROM obs), ht AS (SELECT video_id, k % 7 AS question, arg_max('answer <' || event_id || '>', event_id) AS a FROM lg GROUP BY ALL),
+ln AS (SELECT video_id, '<tr><td>' || CAST(k % 3 AS VARCHAR) || '</td><td>' || event_id || '</td><td>' || cls || ' &amp; more</td></tr>' AS v FROM lg WHERE cls = 'error' UNION ALL SELECT video_id, '<tr><td>q' || question || '?</td><td>' || replace(replace(a, '<', '&lt;'), '>', '&gt;') || '</td></tr>' FROM ht
+UNION ALL SELECT video_id, '<tr><td>E' || event_id || '</td><td>at ' || st || '</td><td>' || cls || '</td><td>k ' || k || '</td></tr>' FROM lg)
+SELECT video_id, count(*) + 4 AS lines, CAST(sum(strlen(v)) AS BIGINT) AS row_bytes, min(v) AS least, max(v) AS greatest FROM ln GROUP BY video_id""")
+def report_pages(spark, sf_dir):
+    """A page a video with findings, the questions' last answers and the whole log, written by the executors and read back."""
+    from tidemark.sources.tables import report_lines, write_report
+
+    obs = observations(spark, sf_dir).withColumn("video_id", F.col("gid") % 10)
+    e = F.col("event_id").cast("string")
+    log = obs.select("video_id", F.floor(F.col("us") / 1_000_000).alias("start"), F.concat(F.lit("E"), e).alias("id"), F.concat(F.lit("at "), F.floor(F.col("us") / 1_000_000).cast("string")).alias("when"), F.col("cls").alias("type"), F.concat(F.lit("k "), F.col("k").cast("string")).alias("details"))
+    findings = obs.filter("cls = 'error'").select("video_id", (F.col("k") % 3).alias("section"), F.col("event_id").alias("start"), F.concat("cls", F.lit(" & more")).alias("details"))
+    history = obs.select("video_id", F.col("event_id").alias("asked"), F.concat(F.lit("q"), (F.col("k") % 7).cast("string"), F.lit("?")).alias("question"), F.concat(F.lit("answer <"), e, F.lit(">")).alias("answer"))
+    path = fresh_path(spark, "report")
+    write_report(path, report_lines(log, findings, history))
+    row = F.col("value").startswith("<tr>")
+    read = spark.read.schema("value string, video_id long").text(path)
+    return read.groupBy("video_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.when(row, F.octet_length("value"))).cast("long").alias("row_bytes"), F.min(F.when(row, F.col("value"))).alias("least"), F.max(F.when(row, F.col("value"))).alias("greatest"))
+
+
+@query(f"""WITH {OBS}, p AS (SELECT gid, list({{'x': (k * 13 % 101) / 97e0 - 0.02e0, 'y': (event_id % 89) / 83e0 - 0.03e0}} ORDER BY us, event_id) AS p FROM obs GROUP BY gid), t AS (SELECT gid, p, list_filter(p, lambda q, i: (i - 1) % greatest(1, len(p) // 5) = 0) AS thin FROM p)
+SELECT gid, round(list_min(list_transform(p, lambda q: q.x)), 9) AS x1, round(list_max(list_transform(p, lambda q: q.y)), 9) AS y2, len(thin) AS n, round(list_sum(list_transform(thin, lambda q: round(greatest(0e0, least(1e0, q.x)), 4))), 4) AS sum_x, round(list_sum(list_transform(thin, lambda q: round(greatest(0e0, least(1e0, q.y)), 4))), 4) AS sum_y FROM t""")
+def drawn_zones(spark, sf_dir):
+    """Bounding boxes of drawn points, and the points clamped, rounded and thinned."""
+    point = F.struct("us", "event_id", (F.col("k") * 13 % 101 / 97.0 - 0.02).alias("x"), (F.col("event_id") % 89 / 83.0 - 0.03).alias("y"))
+    drawn = observations(spark, sf_dir).groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("p"))
+    box, tidy = g.bounding_box(F.col("p")), g.tidy_polygon(F.col("p"), 5)
+    total = lambda axis: F.round(F.aggregate(F.transform(tidy, lambda q: q[axis]), F.lit(0.0), lambda s, q: s + q), 4)
+    return drawn.select("gid", F.round(box["x1"], 9).alias("x1"), F.round(box["y2"], 9).alias("y2"), F.size(tidy).cast("long").alias("n"), total("x").alias("sum_x"), total("y").alias("sum_y"))

@@ -7,11 +7,14 @@ import html
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import escape_html
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 DETECTIONS = "video_id string, t double, frame long, track long, cls string, conf double, x1 double, y1 double, x2 double, y2 double"
@@ -130,8 +133,36 @@ def sample_rate(seconds):
     return F.when(seconds <= 300, 10).when(seconds <= 900, 6).when(seconds <= 1800, 4).otherwise(2)
 
 
-def html_report(title: str, rows: DataFrame, findings: list[str] = ()) -> str:
-    """A page of one video: its findings as a list, then all rows in log order, read from Spark a partition at a time."""
-    cells = (f"<tr><td>{html.escape(str(r['when']))}</td><td>{html.escape(str(r['type']))}</td><td>{html.escape(str(r['details']))}</td></tr>" for r in rows.select("video_id", "start", "id", "when", "type", "details").orderBy("video_id", "start", "id").toLocalIterator())
-    body = "".join(cells)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ul>{"".join(f"<li>{html.escape(x)}</li>" for x in findings)}</ul><table>{body}</table></body></html>"
+def _cells(*cells: Column, tag: str = "td") -> Column:
+    """A row of a table, with text made safe and no line ends."""
+    safe = lambda c: F.regexp_replace(escape_html(F.coalesce(c.cast("string"), F.lit(""))), r"[\r\n]+", " ")
+    return F.concat(F.lit("<tr>"), *(F.concat(F.lit(f"<{tag}>"), safe(c), F.lit(f"</{tag}>")) for c in cells), F.lit("</tr>"))
+
+
+def report_lines(log: DataFrame, findings: DataFrame, history: DataFrame, title: str = "Report") -> DataFrame:
+    """video_id, place and value: the lines of an HTML page of each video of the log, in order of place.
+
+    findings: video_id, section, start, details. history: video_id, asked (a number), question, answer; of a question that was
+    asked again the last answer stands. log: video_id, start, id, when, type, details.
+    """
+    last = history.groupBy("video_id", "question").agg(F.max_by(F.struct("asked", "answer"), "asked").alias("a"))
+    place = lambda part, a, b: F.struct(F.lit(part).alias("part"), a.cast("double").alias("a"), b.cast("string").alias("b"))
+    fixed = lambda part, text: log.select("video_id").distinct().select("video_id", place(part, F.lit(0), F.lit("")).alias("place"), text.alias("value"))
+    name = F.concat(F.lit(f"{html.escape(title)} "), escape_html(F.col("video_id").cast("string")))
+    parts = [
+        fixed(0, F.concat(F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>"), name, F.lit("</title></head><body><h1>"), name, F.lit("</h1><table>"))),
+        findings.select("video_id", place(1, F.col("section"), F.format_string("%020.3f", F.col("start").cast("double"))).alias("place"), _cells(F.col("section"), F.col("start"), F.col("details")).alias("value")),
+        fixed(2, F.lit("</table><table>")),
+        last.select("video_id", place(3, F.col("a.asked"), F.col("question")).alias("place"), _cells(F.col("question"), F.col("a.answer")).alias("value")),
+        fixed(4, F.lit("</table><table>")),
+        log.select("video_id", place(5, F.col("start"), F.col("id")).alias("place"), _cells(F.col("id"), F.col("when"), F.col("type"), F.col("details")).alias("value")),
+        fixed(6, F.lit("</table></body></html>")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_report(path: str, lines: DataFrame) -> None:
+    """A page a video below path, written by the executors: a video's lines are sorted and stream into its file."""
+    spark = lines.sparkSession
+    dealt = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "video_id").sortWithinPartitions("video_id", "place")
+    dealt.select("video_id", "value").write.mode("overwrite").partitionBy("video_id").text(path)
