@@ -213,3 +213,14 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     """The rows of docs without those that are near-copies of a kept one, with the columns of docs."""
     gone = near_duplicates(docs, words, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return as_rows(docs).join(gone, F.col("_row.doc_id").cast("long") == F.col("_gone"), "left_anti").select("_row.*")
+
+
+#: DuckDB SQL of the query (two words, 80 %): all pairs that share a shingle, and who can be reached.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM w), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.reached FROM r JOIN e ON e.a = r.doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, w.doc_id = m AS kept FROM w JOIN (SELECT doc_id, min(reached) AS m FROM r GROUP BY doc_id) USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

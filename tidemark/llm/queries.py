@@ -69,4 +69,4 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (op1_token_orc, op2_warc_salvage, op3_best_fit_packing, op4_minmax_dedup, op5_url_trees, op6_chat_windows, op7_simhash, op8_kneser_ney, op9_mix_sources, op10_quality_rules, op11_token_counts, op12_lexical_search, op13_conversation_repair)
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op12_lexical_search": lexical.SQL, "op13_conversation_repair": repair.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = {"op2_warc_salvage": warc.SQL, "op4_minmax_dedup": minhash.SQL, "op12_lexical_search": lexical.SQL, "op13_conversation_repair": repair.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -386,3 +386,12 @@ def archive_roundtrip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("long"))
     return read.select(as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))
+
+
+#: DuckDB SQL of the query: digests, and who stands for whom.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', x[i]) - 1), 4, '0')), 'string_agg', '') AS bits FROM f)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_reduce(list_transform(range(1, 6), lambda j: CAST(bits[i * 5 + j] AS INTEGER)), lambda s, d: 2 * s + d)]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
