@@ -634,8 +634,8 @@ w0 AS (SELECT video_id, r, unnest({subjects}) AS who, generate_subscripts({subje
 SELECT v.video_id, CASE WHEN {found} THEN 'answered' ELSE 'not_observed' END AS status, CAST({told_num} AS DOUBLE) AS value_num, CAST({told_word} AS VARCHAR) AS value_str, coalesce(ts, '') AS times, coalesce(ids, '') AS ids, coalesce(whos, '') AS subjects FROM v LEFT JOIN c USING (video_id) LEFT JOIN w USING (video_id)"""
 
 
-def _told(spark: SparkSession, sf_dir: str, question: str) -> DataFrame:
-    got = ask.answer(_log(spark, sf_dir), question, ["Gate", "Yard"])
+def _told(spark: SparkSession, sf_dir: str, question: str, log=_log) -> DataFrame:
+    got = ask.answer(log(spark, sf_dir), question, ["Gate", "Yard"])
     times = F.array_join(F.transform("timestamps", lambda t: F.round(t * 100).cast("long").cast("string")), ",")
     return got.select("video_id", "status", "value_num", "value_str", times.alias("times"), F.array_join("event_ids", ",").alias("ids"), F.array_join("subjects", ",").alias("subjects"))
 
@@ -726,6 +726,36 @@ def hysteresis_online(spark, sf_dir):
     return _drained(spark, online.online_hysteresis(_replayed(spark, sf_dir), ["gid"], "ts", "event_id", "f", DWELL, "1 day", 400 * 24 * HOUR)).select("gid", "event_id", "f")
 
 
+# ---- answers over a log with captions and a learned schedule
+
+
+TOLD = """, lx AS (SELECT * REPLACE (CASE WHEN type = 'untouched' AND video_id < '5' AND k % 3 = 0 THEN 'caption' WHEN type = 'stationary' AND video_id < '3' AND k % 2 = 0 THEN 'unexpected_stop' ELSE type END AS type,
+CASE WHEN type = 'untouched' AND video_id < '5' AND k % 3 = 0 THEN CASE WHEN video_id < '3' THEN 'A man with an Umbrella' ELSE 'nothing of note' END WHEN type = 'activity_stop' AND video_id < '6' AND k % 3 = 0 THEN 'motion stops · on schedule' ELSE details END AS details) FROM log)"""
+
+
+def _told_log(spark, sf_dir):
+    """_log with captions, a schedule that some videos have learned, and stops that break it."""
+    k, video = F.col("k"), F.col("video_id")
+    caption = (F.col("type") == "untouched") & (video < "5") & (k % 3 == 0)
+    kind = F.when(caption, "caption").when((F.col("type") == "stationary") & (video < "3") & (k % 2 == 0), "unexpected_stop").otherwise(F.col("type"))
+    said = F.when(caption, F.when(video < "3", "A man with an Umbrella").otherwise("nothing of note")).when((F.col("type") == "activity_stop") & (video < "6") & (k % 3 == 0), "motion stops · on schedule").otherwise(F.col("details"))
+    return _log(spark, sf_dir).withColumns({"type": kind, "details": said})
+
+
+def _told_record(rows: str, **more: str) -> str:
+    return _record(rows, **more).replace(LOG, LOG + TOLD).replace("AS gap_s FROM log)", "AS gap_s FROM lx)")
+
+
+_UMBRELLA = "(SELECT video_id FROM lg WHERE type = 'caption' AND lower(details) LIKE '%umbrella%')"
+_LEARNED = "(SELECT video_id FROM lg WHERE details LIKE '%on schedule%' OR details LIKE '%UNEXPECTED%')"
+ANSWERS_TOLD = {
+    "a_umbrella_told": ("How many different people came with an umbrella?", _told_record(f"SELECT * FROM lg WHERE type = 'enter_view' AND kind = 'person' AND video_id IN {_UMBRELLA}", found=f"v.video_id IN {_UMBRELLA}", num="count(DISTINCT subject)")),
+    "a_unexpected_told": ("Were there any unexpected stops?", _told_record("SELECT * FROM lg WHERE type = 'unexpected_stop' OR (type = 'activity_stop' AND video_id NOT IN (SELECT video_id FROM lg WHERE type = 'unexpected_stop'))", found=f"v.video_id IN {_LEARNED}", num=f"CASE WHEN video_id IN {_LEARNED} THEN count(*) FILTER (type = 'unexpected_stop') END")),
+}
+for _name, (_question, _sql) in ANSWERS_TOLD.items():
+    QUERIES[_name], ORACLES[_name] = (lambda question: lambda spark, sf_dir: _told(spark, sf_dir, question, _told_log))(_question), _sql
+
+
 # ---- archives of arrays
 
 
