@@ -2,6 +2,11 @@
 
 run() writes what a stage returns as Parquet in the shared folder and reads it again for the next, so a lost executor costs
 tasks, not stages.
+
+All stages: rows with a null doc_id, lang or source take part like others (null is a language and a source of its own kind);
+repeated rows are judged alike; long texts are taken whole; further columns of any name come through unchanged up to the last
+stage; an empty table stays empty. A null or empty text goes at the classifier, and so never reaches the later stages, which
+would each keep or drop it as their modules state.
 """
 
 from __future__ import annotations
