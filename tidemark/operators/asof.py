@@ -19,11 +19,13 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, take: li
     sign = -1 if forward else 1
     tie = (1 - F.col("_right")) if not strict else F.col("_right")
     # in the direction of travel: what may be taken at the same time comes first
-    w = Window.partitionBy(*keys).orderBy((F.col("_t") * sign).asc(), tie, F.col("_value").desc() if forward else F.col("_value").asc())
+    w = Window.partitionBy(*keys).orderBy("_along", "_tie", F.col("_value").desc() if forward else F.col("_value").asc())
     found = F.last("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    both = rows.unionByName(asks).withColumn("_found", found)
+    both = rows.unionByName(asks).withColumns({"_along": F.col("_t") * sign, "_tie": tie}).withColumn("_found", found)
     if clamp:
-        edge = F.first("_value", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        # nothing was found up to here, so the first value of the key is the first one from here on: a frame that is the same for
+        # all rows is run through once, one that ends at the last row anew for each row
+        edge = F.first("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         both = both.withColumn("_found", F.coalesce("_found", edge))
     out = both.filter("_right = 0")
     if tolerance is not None:
