@@ -64,10 +64,14 @@ def fit(matches: DataFrame, keys: list[str], time: str, points: str = "points",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for row in b.to_pylist():
-                p = np.array([(x["sx"], x["sy"], x["dx"], x["dy"]) for x in row[points] or ()], float).reshape(-1, 4)
-                seed = int.from_bytes(hashlib.blake2b(repr([row[k] for k in kept]).encode(), digest_size=8).digest(), "little")
+            out, held = [], b.column(points)
+            # the coordinates of all samples of a batch as one array, and where each sample's part begins
+            flat, sizes = held.flatten(), held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            every = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("sx", "sy", "dx", "dy")], axis=1)
+            ends = np.cumsum(sizes)
+            for names, end, size in zip(b.select(kept).to_pylist(), ends.tolist(), sizes.tolist(), strict=True):
+                p = every[end - size : end]
+                seed = int.from_bytes(hashlib.blake2b(repr([names[k] for k in kept]).encode(), digest_size=8).digest(), "little")
                 found = similarity(p[:, 0] + 1j * p[:, 1], p[:, 2] + 1j * p[:, 3], seed)
                 if found is None or not scales[0] < abs(found[0]) < scales[1] or abs(found[1].real) > most_shift or abs(found[1].imag) > most_shift:
                     out.append((None,) * 6)

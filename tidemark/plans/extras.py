@@ -11,10 +11,12 @@ from tidemark.functions import noisy
 from tidemark.operators import registration, resample
 from tidemark.plans import context
 from tidemark.sources import cache
-from tidemark.sources.tables import fresh_path, observations, table
+from tidemark.sources.tables import fresh_path, observations, spread, table
 
 QUERIES, ORACLES = {}, {}
 HOUR = 3_600_000_000
+#: Samples that a task fits, about.
+SAMPLES_A_TASK = 20_000
 OBS = "obs AS (SELECT user_id AS gid, epoch_us(ts) AS us, event_type AS cls, value AS v, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_id, value / 500 AS x, CAST(json_extract(props, '$.k') AS INTEGER) / 100e0 AS y FROM events)"
 
 
@@ -112,6 +114,9 @@ def registered_samples(spark, sf_dir):
     scale = F.when(e % 7 == 0, 2.0).otherwise(1 + (e % 11 - 5) / 50.0)
     rows = observations(spark, sf_dir).select((F.col("gid") % 10).alias("video_id"), e.alias("t"), scale.alias("s"), ((k % 9 - 4) / 100.0).alias("w"), ((e % 13 - 6) / 40.0).alias("tx"), ((e % 5 - 2) / 40.0).alias("ty"))
 
+    # fitting is the work, not reading: samples are dealt out before they have points, as a fit needs no other sample
+    rows = spread(rows, SAMPLES_A_TASK)
+
     def point(i):
         sx, sy = (i * 37 + F.col("t")) % 101 / 101.0, (i * 53 + F.col("t") * 7) % 97 / 97.0
         c, d = F.col("s") * F.cos("w"), F.col("s") * F.sin("w")
