@@ -27,7 +27,8 @@ def summarise(hits: DataFrame, keys: list[str]) -> DataFrame:
 def keep_solid(tracks: DataFrame, least_seconds: float = 0.6, least_hits: int = 4) -> DataFrame:
     """Without flicker, and without what is both short and weak."""
     long = F.col("end") - F.col("start")
-    return tracks.filter(~((long < least_seconds) & (F.col("n") < least_hits)) & ~((long < 3.0) & (F.col("conf") < 0.40)))
+    # a mean's last digits follow the order of its rows; rounded, a track at the very limit isn't weak in any order
+    return tracks.filter(~((long < least_seconds) & (F.col("n") < least_hits)) & ~((long < 3.0) & (F.round("conf", 9) < 0.40)))
 
 
 def solid_hits(hits: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
