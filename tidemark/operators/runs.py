@@ -61,6 +61,15 @@ def flip_short_runs(df: DataFrame, keys: list[str], order: list[str], flag: str,
     return judged.withColumn(flag, F.col(flag) != short).drop("_run", "_length", "_last")
 
 
+def flip_short_spans(spans: DataFrame, keys: list[str], start: str, end: str, flag: str, least: float, step: float | Column = 0.0) -> DataFrame:
+    """flip_short_runs where the maximal runs of a key are rows already: those between others with end - start + step < least get
+    the other flag."""
+    w = _ordered(keys, [start])
+    inner = F.lag(F.lit(1)).over(w).isNotNull() & F.lead(F.lit(1)).over(w).isNotNull()
+    short = inner & (F.col(end) - F.col(start) + (step if isinstance(step, Column) else F.lit(step)) < least)
+    return spans.withColumn("_short", short).withColumn(flag, F.col(flag) != F.col("_short")).drop("_short")
+
+
 def denoise(df: DataFrame, keys: list[str], order: list[str], flag: str, time: str, fill: float, drop: float) -> DataFrame:
     """Two passes: the first flag copies the second; short False runs are filled, then short True runs dropped."""
     w = _ordered(keys, order)

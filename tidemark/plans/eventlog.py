@@ -107,12 +107,19 @@ def zone_visits(tracks: DataFrame, rules: Rules) -> DataFrame:
         ax, ay = sx / F.col("width"), sy / F.col("height")
     marked = runs.with_segment(tracks, KEYS, ORDER, "t", rules.segment_gap).withColumns({"ax": ax, "ay": ay})
     areas = [z for z in rules.zones if z.kind == "area"]
-    tests = F.array(*(F.struct(F.lit(z.name).alias("zone"), g.in_polygon(F.col("ax"), F.col("ay"), list(z.points)).alias("inside")) for z in areas))
     who = [*KEYS, "kind", "cls"]
-    flat = marked.withColumn("mean_conf", F.avg("conf").over(Window.partitionBy(*KEYS))).select(*who, "mean_conf", "seg", "t", "step", F.explode(tests).alias("z")).select(*who, "mean_conf", "seg", "t", "step", "z.zone", "z.inside")
+    # the runs of all zones are numbered in the one order of the samples, which are sorted once; what follows sees runs only
+    marked = marked.withColumns({f"_in{i}": g.in_polygon(F.col("ax"), F.col("ay"), list(z.points)) for i, z in enumerate(areas)})
+    marked = marked.withColumn("mean_conf", F.avg("conf").over(Window.partitionBy(*KEYS)))
+    for i in range(len(areas)):
+        marked = runs.with_run(marked.withColumn("_both", F.struct("seg", f"_in{i}")), KEYS, ORDER, "_both", f"_run{i}").drop("_both")
+    tests = F.array(*(F.struct(F.lit(z.name).alias("zone"), F.col(f"_in{i}").alias("inside"), F.col(f"_run{i}").alias("_run")) for i, z in enumerate(areas)))
     keys = [*KEYS, "zone", "seg"]
-    calm = runs.flip_short_runs(flat, keys, ["t"], "inside", "t", rules.zone_min_dwell, F.col("step"))
-    spans = runs.with_run(calm, keys, ["t"], "inside").filter("inside").groupBy(*keys, "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.first("mean_conf").alias("confidence"))
+    flat = marked.select(*who, "mean_conf", "seg", "t", "step", F.explode(tests).alias("z")).select(*who, "mean_conf", "seg", "t", "step", "z.*")
+    parts = flat.groupBy(*keys, "_run", "inside", "kind", "cls").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.max("step").alias("step"), F.max("mean_conf").alias("confidence"))
+    whole = parts.groupBy(*keys, "_run", "inside").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("step").alias("step"), F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.max("confidence").alias("confidence"))
+    calm = runs.flip_short_spans(whole, keys, "start", "end", "inside", rules.zone_min_dwell, F.col("step"))
+    spans = runs.with_run(calm, keys, ["start"], "inside").filter("inside").groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.max("confidence").alias("confidence"))
     return intervals.merge(spans, [*KEYS, "zone"], max_gap=rules.zone_merge, carry=("kind", "cls", "confidence"))
 
 
@@ -133,16 +140,27 @@ def stays(tracks: DataFrame, rules: Rules) -> DataFrame:
     placed = marked.withColumns({"_x": sx, "_y": sy, "_tall": F.col("y2") - F.col("y1")})
     found = folds.anchored_stays(placed, KEYS, "t", "_x", "_y", rules.stay_tolerance, rules.stay_min, "_tall", part="seg")
     about = tracks.groupBy(*KEYS).agg(F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.avg("conf").alias("confidence"))
-    rows = found.join(about, KEYS)
+    rows = found.join(about.hint("merge"), KEYS)
     return _event(rows, "stationary", "t0", "t1", subject=F.col("gid"), confidence=F.col("confidence"), details=F.format_string("%s does not move for %.1fs", F.col("gid"), F.col("t1") - F.col("t0")))
 
 
+def _with_people(samples: DataFrame, which: Column) -> DataFrame:
+    """The rows of which, once for each person at the same sample of the video, with person and its box x1_p .. y2_p.
+
+    A window rather than a join: samples that are dealt by video needn't be dealt anew, are read once, and never sent to the
+    driver, whatever Spark expects of their size. It holds the people of one sample.
+    """
+    person = F.when(F.col("kind") == "person", F.struct(F.col("gid").alias("person"), *(F.col(c).alias(f"{c}_p") for c in ("x1", "y1", "x2", "y2"))))
+    there = F.collect_list(person).over(Window.partitionBy("video_id", "_sample"))
+    met = samples.filter("video_id IS NOT NULL AND _sample IS NOT NULL").withColumn("_people", there).filter(which)
+    return met.withColumn("_p", F.explode("_people")).select(*samples.columns, "_p.*")
+
+
 def interactions(tracks: DataFrame, rules: Rules) -> DataFrame:
-    """A person's box over a thing's grown box at the same sample, for long enough; joined on video and sample number."""
+    """A person's box over a thing's grown box at the same sample, for long enough; they meet in a window a video and sample."""
     sample = tracks.withColumn("_sample", F.rint(F.col("t") / F.col("step")).cast("long"))
-    people = sample.filter("kind = 'person'").select("video_id", "_sample", F.col("gid").alias("person"), *(F.col(c).alias(f"{c}_p") for c in ("x1", "y1", "x2", "y2")))
-    things = sample.filter("kind <> 'person'")
-    touching = things.join(people, ["video_id", "_sample"]).filter(g.touch_share(_box(), _box("_p"), rules.touch_margin) >= rules.touch_share)
+    things = _with_people(sample, F.col("kind") != "person")
+    touching = things.filter(g.touch_share(_box(), _box("_p"), rules.touch_margin) >= rules.touch_share)
     keys = ["video_id", "gid", "person"]
     marked = runs.with_segment(touching, keys, ["t"], "t", rules.touch_gap)
     marked = marked.withColumn("_sure", F.avg("conf").over(Window.partitionBy(*keys)))
@@ -165,7 +183,8 @@ def untouched(stationary: DataFrame, touched: DataFrame, rules: Rules) -> DataFr
 def left_objects(tracks: DataFrame, log: DataFrame, reach: float = 0.35) -> DataFrame:
     """A bag that first shows inside the frame, keeps still, isn't held, and the nearest person around that time."""
     first = log.filter("type = 'enter_view' AND subject LIKE 'B%' AND details LIKE '%inside the frame%'").select("video_id", F.col("subject").alias("gid"), F.col("start").alias("at0"), "kind", "cls")
-    bags = tracks.drop("kind", "cls").join(first, KEYS)
+    # samples are many more than Spark expects of the events that they come from; no side may be sent to the driver
+    bags = tracks.drop("kind", "cls").join(first.hint("merge"), KEYS)
     w = Window.partitionBy(*KEYS).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     at = bags.withColumns({"cx": cx, "cy": cy}).withColumns({"cx0": F.first("cx").over(w), "cy0": F.first("cy").over(w), "tall": F.first(F.col("y2") - F.col("y1")).over(w)})
@@ -176,12 +195,12 @@ def left_objects(tracks: DataFrame, log: DataFrame, reach: float = 0.35) -> Data
     still = still.filter((F.col("n") >= 5) & (F.col("drift") <= 0.3 * F.greatest("tall", F.lit(8.0))))
     sample = lambda df: df.withColumn("_sample", F.rint(F.col("t") / F.col("step")).cast("long"))
     people = tracks.filter("kind = 'person'")
-    boxes = sample(people).select("video_id", "_sample", *(F.col(c).alias(f"{c}_p") for c in ("x1", "y1", "x2", "y2")))
     inside = (F.col("cx") > F.col("x1_p")) & (F.col("cx") < F.col("x2_p")) & (F.col("cy") > F.col("y1_p")) & (F.col("cy") < F.col("y2_p"))
-    held = sample(at).join(boxes, ["video_id", "_sample"]).filter(inside).groupBy(*KEYS).agg(F.countDistinct("t").alias("held"))
-    free = still.join(held, KEYS, "left").filter(F.coalesce("held", F.lit(0)) < 0.5 * F.col("samples"))
+    centred = sample(tracks).withColumns({"cx": cx, "cy": cy}).select("video_id", "_sample", "gid", "kind", "t", "cx", "cy", "x1", "y1", "x2", "y2")
+    held = _with_people(centred, F.col("gid").startswith("B")).filter(inside).groupBy(*KEYS).agg(F.countDistinct("t").alias("held"))
+    free = still.join(held.hint("merge"), KEYS, "left").filter(F.coalesce("held", F.lit(0)) < 0.5 * F.col("samples"))
     feet = people.select("video_id", F.col("gid").alias("person"), F.col("t"), ((F.col("x1") + F.col("x2")) / 2).alias("px"), F.col("y2").alias("py"))
-    near = asof.band(free.withColumn("t", F.col("at0")), feet, ["video_id"], "t", 4, 1, ["person", "px", "py"]).withColumnsRenamed({"at": "tp", "found_person": "person", "found_px": "px", "found_py": "py"})
+    near = asof.band(free.withColumn("t", F.col("at0")), feet.hint("merge"), ["video_id"], "t", 4, 1, ["person", "px", "py"]).withColumnsRenamed({"at": "tp", "found_person": "person", "found_px": "px", "found_py": "py"})
     far = g.distance(F.col("px"), F.col("py"), F.col("cx0"), F.col("cy0")) / F.greatest("width", "height")
     best = near.withColumn("far", far).groupBy(*KEYS, "at0", "kind", "cls").agg(F.min(F.struct("far", "tp", "person")).alias("b")).filter(F.col("b.far") < reach)
     return _event(best, "object_left", "at0", subject=F.col("gid"), other=F.col("b.person"), confidence=F.least(F.lit(0.95), 1 - F.col("b.far")), details=F.format_string("%s (%s) left by %s", F.col("gid"), F.col("cls"), F.col("b.person")))

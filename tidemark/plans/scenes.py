@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import eventlog, identity
 from tidemark.plans.eventlog import Rules, Zone
-from tidemark.sources.tables import cut, observations
+from tidemark.sources.tables import cut, dealt, observations
 
 QUERIES, ORACLES = {}, {}
 RULES = Rules(zone_min_dwell=1.25, zones=(Zone("Yard", ((0.4, 0.3), (0.6, 0.3), (0.6, 0.8), (0.4, 0.8))),))
 DURATION = 4345.0
+#: Events that a task makes samples of, about; an event is 24 samples on average.
+EVENTS_A_TASK = 40_000
 
 TRACKS = """e0 AS (SELECT user_id AS u, event_id, event_type AS et, epoch_us(ts) // 600000000 - 2840112 AS s0, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
 e1 AS (SELECT u, event_id, et, 2 * s0 + i AS tick, i FROM (SELECT *, unnest(range(4 + k % 40)) AS i FROM e0) QUALIFY row_number() OVER (PARTITION BY u, 2 * s0 + i ORDER BY event_id) = 1),
@@ -51,15 +53,21 @@ def query(sql: str | None = None):
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks with their identities, as the log takes them, and the frame of their video."""
-    obs, e = observations(spark, sf_dir), F.col("event_id")
-    rows = obs.select("gid", "cls", "event_id", (F.floor(F.col("us") / 600_000_000) - 2_840_112).cast("long").alias("s0"), F.posexplode(F.sequence(F.lit(0), 3 + F.col("k") % 40)).alias("i", "_"))
-    rows = rows.groupBy(F.col("gid").alias("u"), (2 * F.col("s0") + F.col("i")).alias("tick")).agg(F.min(F.struct("event_id", "i", "cls")).alias("r")).select("u", "tick", "r.*")
+    obs, e = observations(spark, sf_dir).withColumn("video_id", F.floor(F.col("gid") / 3).cast("string")), F.col("event_id")
+    # events are dealt by video before they become samples, and all that follows keeps to videos, so no sample is shuffled
+    obs = dealt(obs.select("video_id", F.col("gid").alias("u"), "cls", "event_id", "us", "k"), ["video_id"], EVENTS_A_TASK)
+    moves = F.when(F.col("cls").isin("view", "signup"), 0).when(F.col("cls") == "click", 1).when(F.col("cls") == "purchase", 2).otherwise(3)
+    rows = obs.select("video_id", "u", "event_id", moves.alias("m"), (F.floor(F.col("us") / 600_000_000) - 2_840_112).cast("long").alias("s0"), F.posexplode(F.sequence(F.lit(0), 3 + F.col("k") % 40)).alias("i", "_"))
+    # event, place within it and motion as one number that keeps the order of events
+    packed = F.col("event_id") * 256 + F.col("i") * 4 + F.col("m")
+    rows = rows.groupBy("video_id", "u", (2 * F.col("s0") + F.col("i")).alias("tick")).agg(F.min(packed).alias("r"))
+    rows = rows.select("video_id", "u", "tick", F.shiftright("r", 8).alias("event_id"), F.shiftright("r", 2).bitwiseAND(63).cast("int").alias("i"), F.col("r").bitwiseAND(3).alias("m"))
     which = lambda *v: F.when(F.col("u") % 3 == 0, v[0]).when(F.col("u") % 3 == 1, v[1]).otherwise(v[2])
-    still = F.col("cls").isin("view", "signup")
-    cx = F.when(still, 480.0 + e % 5 * 10).when(F.col("cls") == "click", 20.0 + e * 37 % 900 + 3 * F.col("i")).when(F.col("cls") == "purchase", e * 53 % 1000 + 9.0 * F.col("i") - 100).otherwise(500.0 + F.col("i") % 2 * 80)
+    still = F.col("m") == 0
+    cx = F.when(still, 480.0 + e % 5 * 10).when(F.col("m") == 1, 20.0 + e * 37 % 900 + 3 * F.col("i")).when(F.col("m") == 2, e * 53 % 1000 + 9.0 * F.col("i") - 100).otherwise(500.0 + F.col("i") % 2 * 80)
     cy = F.when(still, 250.0 + e % 3 * 10).otherwise(40.0 + e * 29 % 420)
     out = rows.select(
-        F.floor(F.col("u") / 3).cast("string").alias("video_id"), F.concat(which("P", "V", "B"), F.col("u").cast("string")).alias("gid"), which("person", "vehicle", "suitcase").alias("kind"), which("person", "car", "suitcase").alias("cls"),
+        "video_id", F.concat(which("P", "V", "B"), F.col("u").cast("string")).alias("gid"), which("person", "vehicle", "suitcase").alias("kind"), which("person", "car", "suitcase").alias("cls"),
         (F.col("tick") / 2.0).alias("t"), ((30 + e % 60) / 100.0).alias("conf"), cx.alias("cx"), cy.alias("cy"), which(50.0, 160.0, 40.0).alias("w"), (which(120.0, 90.0, 40.0) + 2 * (e % 7)).alias("h"),
     )
     half = lambda c, s, sign: F.col(c) + sign * F.col(s) / 2
