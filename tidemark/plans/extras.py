@@ -246,10 +246,10 @@ def sinks_read_back(spark, sf_dir):
     csv, log, config = (fresh_path(spark, n) for n in ("csv", "log", "config"))
     write_csv(obs.select("event_id", "gid", "k", F.concat(F.lit('a "'), "cls", F.lit('", b')).alias("cls")), csv)
     write_log(obs.select((F.col("gid") % 10).alias("video_id"), "event_id", "v"), log)
-    obs.select("gid").distinct().select("gid", F.struct((3 + F.col("gid") % 4).alias("stop_min")).alias("rules")).write.partitionBy("gid").json(config)
+    obs.select("gid").distinct().select("gid", F.struct((3 + F.col("gid") % 4).alias("stop_min")).alias("rules")).write.json(config)
     rows = read_csv(spark, csv, "event_id long, gid long, k int, cls string").join(spark.read.schema("event_id long, v double, video_id long").parquet(log), "event_id")
     told = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.round(F.sum("v"), 4).alias("total"), F.countDistinct(F.regexp_extract("cls", 'a "(.*)", b', 1)).alias("types"))
-    rules = read_config(spark, config, "gid long, rules struct<stop_min: long>")
+    rules = read_config(spark, config, "gid long, rules struct<stop_min: long>", lines=True)
     return told.join(rules, "gid").select("gid", "n", "k", "total", "types", "rules.stop_min")
 
 
