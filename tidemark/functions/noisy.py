@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 _PIECES = r'(?<=[{}\[\]"\\])|(?=[{}\[\]"\\])'
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once: within a lambda Spark computes an expression anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _closed(pieces: Column, at: Column) -> Column:
     """The text from piece number at, an opening bracket, to where it closes; null if it doesn't."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(False).alias("done"))
@@ -24,19 +29,24 @@ def _closed(pieces: Column, at: Column) -> Column:
         new = F.struct((s["n"] + 1).alias("n"), depth.alias("depth"), F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), escaped.alias("escaped"), (depth == 0).alias("done"))
         return F.when(s["done"], s).otherwise(new)
 
-    found = F.aggregate(F.slice(pieces, at + 1, F.size(pieces) - at), start, step)
-    return F.when(found["done"], F.array_join(F.slice(pieces, at + 1, found["n"]), ""))
+    def within(most: Column) -> Column:
+        found = F.aggregate(F.slice(pieces, at + 1, most), start, step)
+        return _bound(found, lambda s: F.when(s["done"], F.array_join(F.slice(pieces, at + 1, s["n"]), "")))
+
+    # most brackets close soon, and a fold can't stop early: few pieces are asked before all that follow
+    rest = F.size(pieces) - at
+    return F.coalesce(within(F.least(rest, F.lit(64))), F.when(rest > 64, within(F.least(rest, F.lit(2048)))), F.when(rest > 2048, within(rest)))
 
 
 def _first_in(chunk: Column) -> Column:
     """The first object of a chunk, else its first array."""
-    pieces = F.split(chunk, _PIECES)
-
-    def first(opener: str) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.get(pieces, i) == opener)
-        return F.get(F.filter(F.transform(places, lambda i: _closed(pieces, i)), lambda c: F.try_parse_json(c).isNotNull()), F.lit(0))
+    def first(pieces: Column, opener: str) -> Column:
+        places = F.filter(F.transform(pieces, lambda p, i: F.when(p == opener, i)), lambda i: i.isNotNull())
+        whole = lambda i: _bound(_closed(pieces, i), lambda c: F.when(F.try_parse_json(c).isNotNull(), c))
+        # what has been found stays, and no later bracket is asked
+        return F.aggregate(places, F.lit(None).cast("string"), lambda found, i: F.when(found.isNotNull(), found).otherwise(whole(i)))
 
-    return F.coalesce(first("{"), first("["))
+    return _bound(F.split(chunk, _PIECES), lambda pieces: F.coalesce(first(pieces, "{"), first(pieces, "[")))
 
 
 def first_json(text: Column) -> Column:
