@@ -117,7 +117,8 @@ k3 AS (SELECT gid, min(a) AS "start", max(b) AS "end" FROM k2 GROUP BY gid, i) S
 def log_untouched(spark, sf_dir):
     """Things that stay and that nobody touches."""
     rows = tracks(spark, sf_dir)
-    return eventlog.untouched(eventlog.stays(rows, RULES), eventlog.interactions(rows, RULES), RULES).select("video_id", "subject", "cls", "start", "end")
+    # people's stays, which are never left untouched, aren't folded
+    return eventlog.untouched(eventlog.stays(rows.filter("kind <> 'person'"), RULES), eventlog.interactions(rows, RULES), RULES).select("video_id", "subject", "cls", "start", "end")
 
 
 @query(f"""WITH {SEEN}, fi AS (SELECT subject AS gid, "start" AS at0 FROM seen WHERE type = 'enter_view' AND subject LIKE 'B%' AND details LIKE '%inside the frame%'),
