@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,11 +17,11 @@ BOX = ("x1", "y1", "x2", "y2")
 
 def summarise(hits: DataFrame, keys: list[str]) -> DataFrame:
     """keys, track, cls (mode, least on ties), kind, start, end, n, conf, first_box and last_box of each track."""
-    box = F.struct(*BOX)
-    counts = hits.groupBy(*keys, "track", "cls").agg(F.count(F.lit(1)).alias("c"))
-    mode = counts.groupBy(*keys, "track").agg(F.min(F.struct((-F.col("c")).alias("o"), "cls")).alias("m")).select(*keys, "track", F.col("m.cls").alias("cls"))
-    out = hits.groupBy(*keys, "track").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("n"), F.avg("conf").alias("conf"), F.min_by(box, "t").alias("first_box"), F.max_by(box, "t").alias("last_box"))
-    return out.join(mode, [*keys, "track"]).withColumn("kind", kind_of(F.col("cls")))
+    box, every = F.struct(*BOX), [*keys, "track"]
+    by_class = hits.groupBy(*every, "cls").agg(F.count(F.lit(1)).alias("c"), F.min("t").alias("start"), F.max("t").alias("end"), F.sum("conf").alias("conf"), F.count("conf").alias("told"), F.min_by(box, "t").alias("first_box"), F.max_by(box, "t").alias("last_box"))
+    mode = F.min(F.struct((-F.col("c")).alias("o"), "cls"))["cls"].alias("cls")
+    out = by_class.groupBy(*every).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("c").alias("n"), F.try_divide(F.sum("conf"), F.sum("told")).alias("conf"), F.min_by("first_box", "start").alias("first_box"), F.max_by("last_box", "end").alias("last_box"), mode)
+    return out.select(*every, "start", "end", "n", "conf", "first_box", "last_box", "cls", kind_of(F.col("cls")).alias("kind"))
 
 
 def keep_solid(tracks: DataFrame, least_seconds: float = 0.6, least_hits: int = 4) -> DataFrame:
@@ -34,27 +34,39 @@ def keep_solid(tracks: DataFrame, least_seconds: float = 0.6, least_hits: int =
 def solid_hits(hits: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Track summaries and their hits without flicker, short weak tracks, duplicates and ghosts.
 
-    Each step is a written table, which keeps the plans of what follows small.
+    Hits are summed up and compared where they lie: hits that are dealt by keys are not shuffled, tracks and who lies in whom
+    are. Each step is a written table, which keeps the plans of what follows small.
     """
     tracks = cut(keep_solid(summarise(hits, keys)), "tracks")
-    named = cut(hits.join(tracks.select(*keys, "track", "kind"), [*keys, "track"]), "hits")
-    gone = cut(folds.duplicate_tracks(named.select(*keys, "track", "kind", "t", *BOX), keys, "t"), "duplicates")
-    tracks, named = (x.join(gone, [*keys, "track"], "left_anti") for x in (tracks, named))
-    hidden = cut(ghosts(named.drop("kind"), tracks, keys), "ghosts")
-    return tuple(x.join(hidden, [*keys, "track"], "left_anti") for x in (tracks, named.drop("kind")))
-
-
-def ghosts(hits: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and track of weak people inside vehicles and of static things inside people, most of the time."""
-    about = hits.drop("cls", "conf").join(tracks.select(*keys, "track", "kind", F.col("conf").alias("mean_conf")), [*keys, "track"])
-    host = about.filter("kind IN ('person', 'vehicle')").select(*keys, "t", F.col("track").alias("host"), F.col("kind").alias("host_kind"), *(F.col(c).alias(f"{c}_h") for c in BOX))
-    weak = about.filter("(kind = 'person' AND mean_conf < 0.45) OR track >= 100000")
-    inside = g.contained_share(tuple(F.col(c) for c in BOX), tuple(F.col(f"{c}_h") for c in BOX))
-    in_car = (F.col("kind") == "person") & (F.col("host_kind") == "vehicle") & (inside > 0.8)
-    in_person = (F.col("track") >= 100000) & (F.col("host_kind") == "person") & (inside > 0.5)
-    hidden = weak.join(host, [*keys, "t"]).filter((F.col("track") != F.col("host")) & (in_car | in_person)).groupBy(*keys, "track").agg(F.countDistinct("t").alias("hidden"))
-    n = weak.groupBy(*keys, "track", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(hidden, [*keys, "track"]).filter(F.col("hidden") >= F.when(F.col("track") >= 100000, 0.5).otherwise(0.6) * F.col("n")).select(*keys, "track")
+    mine = tracks.select(*keys, "track", "kind", "n", "conf", (F.col("end") - F.col("start")).alias("long"))
+    others = tracks.select(*keys, F.col("track").alias("other"), F.col("kind").alias("other_kind"))
+    inside = folds.nested(hits, keys, "t", 0.5).join(mine, [*keys, "track"]).join(others, [*keys, "other"])
+    inside = cut(inside.filter(_covers() | _hides()), "inside")
+    gone = cut(folds.covered_tracks(inside.filter(_covers()), keys, "t", 0.6), "duplicates")
+    tracks, inside = (x.join(gone, [*keys, "track"], "left_anti") for x in (tracks, inside))
+    hidden = ghosts(inside.join(gone.withColumnRenamed("track", "other"), [*keys, "other"], "left_anti"), keys)
+    tracks = tracks.join(cut(hidden, "ghosts"), [*keys, "track"], "left_anti")
+    return tracks, hits.join(tracks.select(*keys, "track"), [*keys, "track"], "left_semi")
+
+
+def _covers() -> Column:
+    """A short track lies in one of its kind."""
+    return (F.col("long") <= 4.0) & (F.col("kind") == F.col("other_kind")) & (F.col("share") > 0.6)
+
+
+def _hides() -> Column:
+    """A weak person lies in a vehicle, or a static thing in a person."""
+    person, static = F.col("kind") == "person", F.col("track") >= 100000
+    in_car = person & ((F.col("conf") < 0.45) | static) & (F.col("other_kind") == "vehicle") & (F.col("share") > 0.8)
+    return in_car | (static & (F.col("other_kind") == "person") & (F.col("share") > 0.5))
+
+
+def ghosts(inside: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and track of weak people inside vehicles and of static things inside people, most of the time.
+
+    inside: keys, t, track, other and share of boxes within others, and of the track kind, n, mean conf and other_kind."""
+    hidden = inside.filter(_hides()).groupBy(*keys, "track").agg(F.countDistinct("t").alias("hidden"), F.first("n").alias("n"))
+    return hidden.filter(F.col("hidden") >= F.when(F.col("track") >= 100000, 0.5).otherwise(0.6) * F.col("n")).select(*keys, "track")
 
 
 def candidates(tracks: DataFrame, looks: DataFrame, keys: list[str], width: float, height: float, most_gap: float = 180.0) -> DataFrame:
