@@ -4,13 +4,15 @@ A row is folded in once the watermark has passed it, in the order of time and ti
 `late` behind the newest one; rows later than that are dropped by Spark and counted in the query's progress. A key that has
 been silent for longer than `expire` ends: what it still holds is told and its state is removed, and rows after such a pause
 begin anew. State lies in the state store and is restored with the checkpoint; it is bounded by the rows of `late`, plus
-`ahead` rows of a stay or the rows of a run shorter than `least`.
+`ahead` rows of a stay or the rows of a run shorter than `least`. All that a key keeps is one value with its rows packed, as a
+key's cost is its calls to the state store: it is read once and written once when rows come or the watermark passes one.
 
 The session needs the RocksDB state store, which use_state_store() sets.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from statistics import median
 
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidemark.sources.tables import ship
 
@@ -30,41 +32,46 @@ def use_state_store(spark: SparkSession) -> None:
 class _InOrder(StatefulProcessor):
     """Holds rows until the watermark has passed them and hands them to step() in order; finish() ends a key.
 
-    rows are tuples (us, ...) of the columns of `row`. `state` is the type of what a fold keeps besides them.
+    rows are tuples (us, ...) of the columns. `state` is the type of what a fold keeps besides them.
     """
 
-    def __init__(self, columns: list[str], row: StructType, state: StructType, result: StructType, n_keys: int, expire_us: int):
-        self._columns, self._row, self._state_type, self._result, self._n_keys, self._expire = columns, row, state, result, n_keys, expire_us
+    def __init__(self, columns: list[str], state: StructType, result: StructType, expire_us: int):
+        self._columns, self._state_type, self._result, self._expire = columns, state, result, expire_us
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self._row)
-        self._queue = handle.getListState("queue", self._row)
-        self._fold = handle.getValueState("fold", self._state_type)
+        packed = [StructField(n, BinaryType()) for n in ("waiting", "queue")]
+        self._kept = handle.getValueState("kept", StructType([*self._state_type, *packed]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = [r for part in rows for r in self._tuples(part)]
-        yield self._advance(key, fresh, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
     def _tuples(self, part: pd.DataFrame) -> list[tuple]:
-        own = part[self._columns].astype(object)
-        return [tuple(None if v is None or v is pd.NaT or v != v else v.item() if hasattr(v, "item") else v for v in r) for r in own.itertuples(index=False, name=None)]
-
-    def _advance(self, key, fresh: list[tuple], watermark_ms: int) -> pd.DataFrame:
-        waiting = [tuple(r) for r in self._waiting.get()] if self._waiting.exists() else []
-        waiting = sorted([*waiting, *fresh], key=lambda r: tuple((v is not None, v) for v in r))
+        plain = lambda v: None if v is None or v is pd.NaT or v != v else v.item() if hasattr(v, "item") else v
+        return list(zip(*([plain(v) for v in part[c].tolist()] for c in self._columns), strict=True))
+
+    def _in_order(self, rows: list[tuple]) -> list[tuple]:
+        try:
+            return sorted(rows)
+        except TypeError:  # nulls come first
+            return sorted(rows, key=lambda r: tuple((v is not None, v) for v in r))
+
+    def _advance(self, key, fresh: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        kept = self._kept.get()
+        *fold, waiting, queue = kept or (None,) * (len(self._state_type) + 2)
+        waiting, queue = (pickle.loads(bytes(rows)) if rows else [] for rows in (waiting, queue))
+        waiting = self._in_order([*waiting, *fresh])
         passed = watermark_ms * 1000
         due = [r for r in waiting if r[0] <= passed]
         waiting = waiting[len(due) :]
-        queue = [tuple(r) for r in self._queue.get()] if self._queue.exists() else []
-        fold = list(self._fold.get()) if self._fold.exists() else None
-        last, inner = (fold[0], fold[1:]) if fold else (None, None)
+        last, inner = (fold[0], fold[1:]) if fold[0] is not None else (None, None)
         told: list[tuple] = []
         for r in due:
             if last is not None and r[0] - last > self._expire:
@@ -75,16 +82,16 @@ class _InOrder(StatefulProcessor):
         if last is not None and not waiting and last + self._expire < passed:
             told += self.finish(inner, queue)
             last, queue = None, []
-        for state, rows in ((self._waiting, waiting), (self._queue, queue)):
-            state.put(rows) if rows else state.clear()
-        if last is None:
-            self._fold.clear()
-        else:
-            self._fold.update((last, *inner))
+        if last is not None or waiting:
+            ended = [None] * len(self._state_type)
+            self._kept.update((*((last, *inner) if last is not None else ended), *(pickle.dumps(rows) if rows else None for rows in (waiting, queue))))
+        elif kept:
+            self._kept.clear()
         wake = waiting[0][0] if waiting else last + self._expire + 1000 if last is not None else None
         if wake is not None and -(-wake // 1000) > watermark_ms:
             self._handle.registerTimer(-(-wake // 1000))
-        return pd.DataFrame([(*key, *r) for r in told], columns=self._result.names)
+        if told:
+            yield pd.DataFrame([(*key, *r) for r in told], columns=self._result.names)
 
     def step(self, inner, queue: list[tuple], row: tuple, told: list[tuple]):
         raise NotImplementedError
@@ -164,11 +171,7 @@ def _run(stream: DataFrame, keys: list[str], time: str, late: str, columns: dict
     ship(stream.sparkSession)
     typed = stream.withColumn(time, F.col(time).cast("timestamp")).filter(F.col(time).isNotNull()).withWatermark(time, late)
     rows = typed.select(*keys, time, *(c.alias(f"v_{n}") for n, c in columns.items()))
-    return rows.groupBy(*keys).transformWithStateInPandas(make([f"v_{n}" for n in columns], rows), result, "append", "EventTime")
-
-
-def _types(df: DataFrame, names: list[str]) -> StructType:
-    return StructType([StructField(n.removeprefix("v_"), df.schema[n].dataType) for n in names])
+    return rows.groupBy(*keys).transformWithStateInPandas(make([f"v_{n}" for n in columns]), result, "append", "EventTime")
 
 
 def online_stays(stream: DataFrame, keys: list[str], time: str, x: str, y: str, tolerance: float, least_us: int, late: str, expire_us: int, height: str | None = None, ahead: int = 11, floor: float = 8.0) -> DataFrame:
@@ -176,7 +179,7 @@ def online_stays(stream: DataFrame, keys: list[str], time: str, x: str, y: str,
     columns = {"us": F.unix_micros(time), "x": F.col(x).cast("double"), "y": F.col(y).cast("double"), **({"tall": F.col(height).cast("double")} if height else {})}
     result = StructType([*(stream.schema[k] for k in keys), *StructType.fromDDL("t0 long, t1 long, n long").fields])
     state = StructType.fromDDL("last long, t0 long, t1 long, n long, x double, y double, reach double")
-    make = lambda names, rows: _Stays(names, _types(rows, names), state, result, len(keys), expire_us, tolerance=tolerance, least=least_us, ahead=ahead if height else 1, floor=floor)
+    make = lambda names: _Stays(names, state, result, expire_us, tolerance=tolerance, least=least_us, ahead=ahead if height else 1, floor=floor)
     return _run(stream.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, time, late, columns, make, result)
 
 
@@ -186,7 +189,7 @@ def online_hysteresis(stream: DataFrame, keys: list[str], time: str, tie: str, f
     columns = {"us": F.unix_micros(time), tie: F.col(tie), flag: F.col(flag).cast("boolean")}
     result = StructType([*(stream.schema[k] for k in keys), *StructType.fromDDL("us long").fields, StructField(tie, stream.schema[tie].dataType), *StructType.fromDDL(f"`{flag}` boolean").fields])
     state = StructType.fromDDL("last long, flag boolean, t0 long, told boolean")
-    make = lambda names, rows: _Hysteresis(names, _types(rows, names), state, result, len(keys), expire_us, flag=2, least=least_us, step_us=step_us)
+    make = lambda names: _Hysteresis(names, state, result, expire_us, flag=2, least=least_us, step_us=step_us)
     return _run(stream, keys, time, late, columns, make, result)
 
 
