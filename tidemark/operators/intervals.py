@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,31 +45,50 @@ def _levels(df: DataFrame, bucket: int, start: str, end: str) -> DataFrame:
     return df.withColumn("_level", F.when(span <= 1, 0).otherwise(F.ceil(F.log2(span.cast("double")))).cast("int"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bucket: int, start: str = "start", end: str = "end") -> DataFrame:
+def _packed(df: DataFrame, keys: list[str], start: str, end: str, most: int) -> DataFrame:
+    """Rows of the same keys and interval as one, `most` of them at most, in order: keys, start, end, _rows (their other columns)."""
+    rest = [c for c in df.columns if c not in (*keys, start, end)]
+    same = Window.partitionBy(*keys, start, end).orderBy(start, *(c for c, kind in df.dtypes if c in rest and "map<" not in kind and "variant" not in kind))
+    part = F.floor((F.row_number().over(same) - 1) / most)
+    return df.select(*keys, start, end, F.struct(*rest).alias("_row"), part.alias("_part")).groupBy(*keys, start, end, "_part").agg(F.collect_list("_row").alias("_rows")).drop("_part")
+
+
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bucket: int, start: str = "start", end: str = "end", pack: int = 1024) -> DataFrame:
     """Pairs with a common instant: keys, a's and b's columns with the prefixes a_ and b_.
 
     Buckets of bucket, 2 * bucket, 4 * bucket, ... An interval of any length lies at home in one or two buckets of the level
     of its own length, and visits one or two at each higher level that some interval is at home in. A pair meets where the
     longer one is at home, in the first bucket that both touch: equal keys, each pair once, and no row for each bucket of a
-    long interval. What is collected is the levels that occur, 64 numbers at most.
+    long interval. The levels that occur, 64 numbers at most, are a scalar of the same plan, so what a and b are made from is
+    shuffled once for both.
+
+    Rows of the same interval are sent and compared as one, up to pack of them, and dealt out after the join: their pairs
+    come one after the other, with times that stay the same, which a file holds as runs. Few rows make many pairs, so the
+    join's tasks are as many as the session's shuffle partitions, however little is sent.
     """
-    a, b = _levels(a, bucket, start, end), _levels(b, bucket, start, end)
-    levels = [sorted(r[0] for r in df.select("_level").distinct().collect() if r[0] is not None) for df in (a, b)]
+    known = [df.filter(reduce(and_, (F.col(c).isNotNull() for c in (*keys, start, end)))) for df in (a, b)]
+    packed = [_levels(_packed(df, keys, start, end, pack), bucket, start, end) for df in known]
+    found = [_levels(df, bucket, start, end).agg(F.collect_set("_level")).scalar() for df in known]
+    homes, visits = packed, [df.withColumn("_found", other) for df, other in zip(packed, reversed(found), strict=True)]
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     node = lambda c, level: F.floor(F.floor(F.col(c) / bucket) / F.pow(F.lit(2.0), level)).cast("long")
 
     def side(df: DataFrame, p: str, at: Column) -> DataFrame:
         """df once for each bucket of the levels in the array at."""
-        rows = df.select(*keys, *(F.col(c).alias(p + c) for c in df.columns if c not in (*keys, "_level")), F.explode(at).alias("_at"))
+        rows = df.select(*keys, *(F.col(c).alias(p + c) for c in (start, end, "_rows")), F.explode(at).alias("_at"))
         first, last = node(p + start, F.col("_at")), node(p + end, F.col("_at"))
-        return rows.select("*", first.alias(f"_{p}first"), F.explode(F.sequence(first, last)).alias("_node")).withColumnRenamed("_at", "_level")
+        return rows.select("*", first.alias(f"_{p}first"), F.explode(F.sequence(first, last)).alias("_node")).withColumnRenamed("_at", "_level").repartition(tasks, *on)
+
+    def row(df: DataFrame, p: str) -> list[Column]:
+        return [F.col(p + c if c in (start, end) else f"_{p}row.{c}").alias(p + c) for c in df.columns if c not in keys]
 
-    home = F.array("_level")
-    up = lambda found, least: F.filter(F.array(*map(F.lit, found)).cast("array<int>"), lambda x: x >= least)
-    on, order = [*keys, "_level", "_node"], [*keys, *(f"a_{c}" for c in a.columns if c not in (*keys, "_level")), *(f"b_{c}" for c in b.columns if c not in (*keys, "_level"))]
-    longer = side(a, "a_", home).join(side(b, "b_", up(levels[0], F.col("_level"))), on)
-    shorter = side(b, "b_", home).join(side(a, "a_", up(levels[1], F.col("_level") + 1)), on)
+    home, up = F.array("_level"), lambda least: F.filter("_found", lambda x: x >= least)
+    on, both = [*keys, "_level", "_node"], [*keys, *(p + c for p in ("a_", "b_") for c in (start, end, "_rows"))]
+    longer = side(homes[0], "a_", home).join(side(visits[1], "b_", up(F.col("_level"))), on)
+    shorter = side(homes[1], "b_", home).join(side(visits[0], "a_", up(F.col("_level") + 1)), on)
     meet = (F.col(f"a_{start}") <= F.col(f"b_{end}")) & (F.col(f"b_{start}") <= F.col(f"a_{end}")) & (F.col("_node") == F.greatest("_a_first", "_b_first"))
-    return longer.filter(meet).select(*order).unionByName(shorter.filter(meet).select(*order))
+    met = longer.filter(meet).select(*both).unionByName(shorter.filter(meet).select(*both))
+    return met.withColumn("_a_row", F.explode("a__rows")).withColumn("_b_row", F.explode("b__rows")).select(*keys, *row(a, "a_"), *row(b, "b_"))
 
 
 def inside_any(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str = "start", end: str = "end") -> DataFrame:
