@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+#: Of overlaps: packs of a part, equal rows that go as one, and about so many pairs of a batch.
+PACKS, WIDE, SAME, BATCH = 128, 4, 256, 100_000
+
 
 def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", max_gap: float = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """Unites intervals whose start is at most max_gap after the greatest end so far: keys, start, end, n, and of the columns in
@@ -45,16 +52,50 @@ def _levels(df: DataFrame, bucket: int, start: str, end: str) -> DataFrame:
     return df.withColumn("_level", F.when(span <= 1, 0).otherwise(F.ceil(F.log2(span.cast("double")))).cast("int"))
 
 
-def _packed(df: DataFrame, keys: list[str], start: str, end: str, most: int) -> DataFrame:
-    """Rows of the same keys and interval as one, `most` of them at most, in order: keys, start, end, _rows (their other columns)."""
-    rest = [c for c in df.columns if c not in (*keys, start, end)]
-    same = Window.partitionBy(*keys, start, end).orderBy(start, *(c for c, kind in df.dtypes if c in rest and "map<" not in kind and "variant" not in kind))
-    part = F.floor((F.row_number().over(same) - 1) / most)
-    return df.select(*keys, start, end, F.struct(*rest).alias("_row"), part.alias("_part")).groupBy(*keys, start, end, "_part").agg(F.collect_list("_row").alias("_rows")).drop("_part")
-
-
-def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bucket: int, start: str = "start", end: str = "end", pack: int = 1024) -> DataFrame:
-    """Pairs with a common instant: keys, a's and b's columns with the prefixes a_ and b_.
+def _spans(start: np.ndarray, end: np.ndarray, first: np.ndarray, home: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """An order of rows, and what lies in it: equal intervals, SAME rows of one at most, by the least rank of their rows."""
+    rows = np.lexsort((rank, end, start))
+    s, e, r, places = start[rows], end[rows], rank[rows], np.arange(len(rows))
+    new = np.r_[True, (s[1:] != s[:-1]) | (e[1:] != e[:-1])]
+    at = np.flatnonzero(new | ((places - np.maximum.accumulate(np.where(new, places, 0))) % SAME == 0))
+    n = np.diff(at, append=len(rows))
+    spans = {"at": at, "n": n, "start": s[at], "end": e[at], "first": first[rows][at], "home": home[rows][at], "least": r[at], "most": r[at + n - 1]}
+    return rows, _at(spans, np.argsort(r[at], kind="stable"))
+
+
+def _at(spans: dict[str, np.ndarray], i: np.ndarray | slice) -> dict[str, np.ndarray]:
+    return {c: v[i] for c, v in spans.items()}
+
+
+def _met(a: dict[str, np.ndarray], b: dict[str, np.ndarray], node: int, pack: int, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of the spans that meet in this bucket. Four kinds, by which begins and which ends first, so that one
+    kind's pairs share all of one; of a kind, the next span of a meets nearly what the one before it met, up to some place."""
+    for i in range(0, len(a["at"]), pack):
+        x = _at(a, slice(i, i + pack))
+        above = np.searchsorted(b["least"], x["most"].max(), "right") if once else 0
+        cuts = [*range(0, above, pack), *range(above, len(b["at"]), WIDE * pack), len(b["at"])]
+        for j, k in zip(cuts[:-1], cuts[1:], strict=True):
+            y = _at(b, slice(j, k))
+            if once and x["least"].min() >= y["most"].max():
+                continue
+            by = [{c: _at(side, np.argsort(side[c], kind="stable")) for c in ("start", "end")} for side in (x, y)]
+            for early, late, c, d in ((False, False, "start", "end"), (True, True, "start", "end"), (True, False, "end", "start"), (False, True, "start", "end")):
+                u, v = by[0][c], by[1][d]
+                s, e, f, least = (u[c][:, None] for c in ("start", "end", "first", "least"))
+                meet = (s <= v["end"]) & (v["start"] <= e) & ((s < v["start"]) == early) & ((e > v["end"]) == late) & (np.maximum(f, v["first"]) == node)
+                p, q = np.nonzero(meet & (least < v["most"]) if once else meet)
+                n = u["n"][p] * v["n"][q]
+                upto = np.cumsum(n)
+                parts = np.unique(np.r_[0, np.searchsorted(upto, np.arange(BATCH, n.sum(), BATCH)), len(p)])
+                for lo, hi in zip(parts[:-1], parts[1:], strict=True):
+                    m = np.repeat(np.arange(lo, hi), n[lo:hi])
+                    each, of_b = np.arange(len(m)) - (upto - n)[m] + (upto - n)[lo], v["n"][q[m]]
+                    yield u["at"][p[m]] + each // of_b, v["at"][q[m]] + each % of_b
+
+
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bucket: int, start: str = "start", end: str = "end", pack: int = 256, once: str | None = None) -> DataFrame:
+    """Pairs with a common instant: keys, a's and b's columns with the prefixes a_ and b_. once: a column of numbers; only pairs
+    with less of it in a than in b.
 
     Buckets of bucket, 2 * bucket, 4 * bucket, ... An interval of any length lies at home in one or two buckets of the level
     of its own length, and visits one or two at each higher level that some interval is at home in. A pair meets where the
@@ -62,33 +103,61 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bucket: int, start: st
     long interval. The levels that occur, 64 numbers at most, are a scalar of the same plan, so what a and b are made from is
     shuffled once for both.
 
-    Rows of the same interval are sent and compared as one, up to pack of them, and dealt out after the join: their pairs
-    come one after the other, with times that stay the same, which a file holds as runs. Few rows make many pairs, so the
-    join's tasks are as many as the session's shuffle partitions, however little is sent.
+    A bucket's rows are dealt into parts of PACKS * pack, and each two parts meet in one task, pack by pack, however many rows
+    a bucket has. Few rows make many pairs, so the tasks are as many as the session's shuffle partitions. Pairs come in an
+    order that a file holds in few bytes: a row of a with row after row of b, the next one with nearly the same rows again;
+    those with one in the other apart, so that the common time is one's whole length; equal intervals together.
     """
-    known = [df.filter(reduce(and_, (F.col(c).isNotNull() for c in (*keys, start, end)))) for df in (a, b)]
-    packed = [_levels(_packed(df, keys, start, end, pack), bucket, start, end) for df in known]
-    found = [_levels(df, bucket, start, end).agg(F.collect_set("_level")).scalar() for df in known]
-    homes, visits = packed, [df.withColumn("_found", other) for df, other in zip(packed, reversed(found), strict=True)]
+    known = [df.filter(reduce(and_, (F.col(c).isNotNull() for c in (*keys, start, end, *([once] if once else []))))) for df in (a, b)]
+    levels = [_levels(df, bucket, start, end) for df in known]
+    found = [df.agg(F.collect_set("_level")).scalar() for df in levels]
     tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    node = lambda c, level: F.floor(F.floor(F.col(c) / bucket) / F.pow(F.lit(2.0), level)).cast("long")
-
-    def side(df: DataFrame, p: str, at: Column) -> DataFrame:
-        """df once for each bucket of the levels in the array at."""
-        rows = df.select(*keys, *(F.col(c).alias(p + c) for c in (start, end, "_rows")), F.explode(at).alias("_at"))
-        first, last = node(p + start, F.col("_at")), node(p + end, F.col("_at"))
-        return rows.select("*", first.alias(f"_{p}first"), F.explode(F.sequence(first, last)).alias("_node")).withColumnRenamed("_at", "_level").repartition(tasks, *on)
-
-    def row(df: DataFrame, p: str) -> list[Column]:
-        return [F.col(p + c if c in (start, end) else f"_{p}row.{c}").alias(p + c) for c in df.columns if c not in keys]
-
-    home, up = F.array("_level"), lambda least: F.filter("_found", lambda x: x >= least)
-    on, both = [*keys, "_level", "_node"], [*keys, *(p + c for p in ("a_", "b_") for c in (start, end, "_rows"))]
-    longer = side(homes[0], "a_", home).join(side(visits[1], "b_", up(F.col("_level"))), on)
-    shorter = side(homes[1], "b_", home).join(side(visits[0], "a_", up(F.col("_level") + 1)), on)
-    meet = (F.col(f"a_{start}") <= F.col(f"b_{end}")) & (F.col(f"b_{start}") <= F.col(f"a_{end}")) & (F.col("_node") == F.greatest("_a_first", "_b_first"))
-    met = longer.filter(meet).select(*both).unionByName(shorter.filter(meet).select(*both))
-    return met.withColumn("_a_row", F.explode("a__rows")).withColumn("_b_row", F.explode("b__rows")).select(*keys, *row(a, "a_"), *row(b, "b_"))
+    rest = [[c for c in df.columns if c not in keys] for df in (a, b)]
+    rows = [F.struct(*names) for names in rest]
+    kinds = [df.select(row).schema[0].dataType for df, row in zip((a, b), rows, strict=True)]
+    node = lambda c: F.floor(F.floor(F.col(c) / bucket) / F.pow(F.lit(2.0), F.col("_at"))).cast("long")
+    on = [*keys, "_level", "_node"]
+
+    def side(k: int) -> DataFrame:
+        """a's (0) or b's (1) rows once for each bucket that they are at home in or visit."""
+        at = levels[k].withColumn("_found", found[1 - k]).withColumn("_at", F.explode(F.concat(F.array("_level"), F.filter("_found", lambda x: x > F.col("_level")))))
+        held = [(row if i == k else F.lit(None).cast(kind)).alias(f"_{i}") for i, (row, kind) in enumerate(zip(rows, kinds, strict=True))]
+        placed = at.select(*keys, F.lit(k).alias("_side"), (F.col("_at") == F.col("_level")).alias("_home"), F.col("_at").alias("_level"), node(start).alias("_first"), node(end).alias("_last"), *held)
+        return placed.withColumn("_node", F.explode(F.sequence("_first", "_last"))).drop("_last")
+
+    order = [f"_{k}.{c}" for k in (0, 1) for c in (*([once] if once else []), start, end, *(c for c, kind in (a, b)[k].dtypes if c in rest[k] and "map<" not in kind and "variant" not in kind))]
+    place = F.row_number().over(Window.partitionBy(*on, "_side").orderBy(*order)) - 1
+    placed = side(0).unionByName(side(1)).repartition(tasks, *on).withColumn("_part", F.floor(place / F.lit(PACKS * pack)).cast("int"))
+    last = [F.max(F.when(F.col("_side") == k, F.col("_part"))).over(Window.partitionBy(*on)) for k in (0, 1)]
+    mine = F.col("_side") == 0
+    dealt = placed.withColumn("_last", F.when(mine, last[1]).otherwise(last[0])).withColumn("_other", F.explode(F.sequence(F.lit(0), "_last")))
+    sent = dealt.select(*on, F.when(mine, F.col("_part")).otherwise(F.col("_other")).alias("_pa"), F.when(mine, F.col("_other")).otherwise(F.col("_part")).alias("_pb"), "_side", "_home", "_first", "_0", "_1")
+    names = [*keys, *(p + c for p, of in zip(("a_", "b_"), rest, strict=True) for c in of)]
+    schema = StructType([*(StructField(k, a.schema[k].dataType) for k in keys), *(StructField(p + c, df.schema[c].dataType) for p, df, of in zip(("a_", "b_"), (a, b), rest, strict=True) for c in of)])
+
+    def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).combine_chunks()
+        sides, home, first = (group.column(c).to_numpy() for c in ("_side", "_home", "_first"))
+        held, ranks, spans = [], [], []
+        for k in (0, 1):
+            mine = np.flatnonzero(sides == k)
+            row = group.column(f"_{k}").combine_chunks().take(pa.array(mine))
+            s, e = (row.field(c).to_numpy(zero_copy_only=False) for c in (start, end))
+            rank = row.field(once).to_numpy(zero_copy_only=False) if once else np.zeros(len(mine))
+            rows, own = _spans(s, e, first[mine], home[mine], rank)
+            held.append(row.take(pa.array(rows)).flatten())
+            ranks.append(rank[rows])
+            spans.append(own)
+        node = key[len(keys) + 1].as_py()
+        for own, other in ((spans[0]["home"], spans[1]["home"] | True), (~spans[0]["home"], spans[1]["home"])):
+            for i, j in _met(_at(spans[0], own), _at(spans[1], other), node, pack, once is not None):
+                if once:
+                    i, j = (x[ranks[0][i] < ranks[1][j]] for x in (i, j))
+                columns = [c.take(pa.array(x)) for of, x in zip(held, (i, j), strict=True) for c in of]
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(k, len(i)) for k in key[: len(keys)]), *columns], names)
+
+    groups = [*on, "_pa", "_pb"]
+    return sent.repartition(tasks, *groups).groupBy(*groups).applyInArrow(pairs, schema)
 
 
 def inside_any(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str = "start", end: str = "end") -> DataFrame:
