@@ -258,6 +258,9 @@ def test_a_bucket_of_intervals_is_dealt_out(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", usual)
     assert len(at) > 2
+    exact = df.filter("i < 40").selectExpr("k", "cast(start + 0.25 AS decimal(20, 2)) AS start", "cast(end + 0.25 AS decimal(20, 2)) AS end", "i")
+    few = [r for r in rows if r[3] < 40]
+    assert sorted(map(tuple, intervals.overlaps(exact, exact, ["k"], 10).select("a_i", "b_i").collect())) == sorted((x[3], y[3]) for x in few for y in few if x[1] <= y[2] and y[1] <= x[2])
     meet = [(x, y) for x in rows for y in rows if x[1] <= y[2] and y[1] <= x[2]]
     assert sorted(map(tuple, pairs)) == sorted((x[3], y[3]) for x, y in meet)
     assert sorted(map(tuple, once)) == sorted((x[3], y[3]) for x, y in meet if None not in (x[4], y[4]) and x[4] < y[4])

@@ -54,6 +54,15 @@ def _levels(df: DataFrame, bucket: int, start: str, end: str) -> DataFrame:
     return df.withColumn("_level", F.when(span <= 1, 0).otherwise(F.ceil(F.log2(span.cast("double")))).cast("int"))
 
 
+def _comparable(columns: list[pa.Array]) -> list[np.ndarray]:
+    """The columns as arrays that compare as they do; decimals by their places in the order of all."""
+    arrays = [c.to_numpy(zero_copy_only=False) for c in columns]
+    if all(x.dtype != object for x in arrays):
+        return arrays
+    places = np.unique(np.concatenate(arrays), return_inverse=True)[1]
+    return np.split(places, np.cumsum([len(x) for x in arrays])[:-1])
+
+
 def _spans(start: np.ndarray, end: np.ndarray, first: np.ndarray, home: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """An order of rows, and what lies in it: equal intervals, SAME rows of one at most, by the least rank of their rows."""
     rows = np.lexsort((rank, end, start))
@@ -135,12 +144,15 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bucket: int, start: st
     def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(batches).combine_chunks()
         sides, home, first = (group.column(c).to_numpy() for c in ("_side", "_home", "_first"))
-        held, ranks, spans = [], [], []
+        mines, own_rows, held, ranks, spans = [], [], [], [], []
         for k in (0, 1):
             mine = np.flatnonzero(sides == k)
             row = group.column(f"_{k}").combine_chunks().take(pa.array(mine))
-            s, e = (row.field(c).to_numpy(zero_copy_only=False) for c in (start, end))
-            rank = row.field(once).to_numpy(zero_copy_only=False) if once else np.zeros(len(mine))
+            mines.append(mine)
+            own_rows.append(row)
+        times = _comparable([row.field(c) for row in own_rows for c in (start, end)])
+        asked = _comparable([row.field(once) for row in own_rows]) if once else [np.zeros(len(mine)) for mine in mines]
+        for row, mine, s, e, rank in zip(own_rows, mines, times[::2], times[1::2], asked, strict=True):
             rows, own = _spans(s, e, first[mine], home[mine], rank)
             held.append(row.take(pa.array(rows)).flatten())
             ranks.append(rank[rows])
